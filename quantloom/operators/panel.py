@@ -81,25 +81,33 @@ def daily_returns(prices: DataFrame, price: str = "adj_close", name: str = "ret"
     return prices.withColumn(name, ratio(price, F.lag(price).over(by_bar())) - 1)
 
 
-def bar_return(price: str, bars: int, reference_lag: bool = False) -> Column:
-    """Return over ``bars`` bars; NULL before that many bars exist.
+def return_features(
+    prices: DataFrame, price: str = "adj_close", bars: Mapping[str, int] = RETURN_BARS, reference_lag: bool = False
+) -> DataFrame:
+    """Returns over several numbers of bars; NULL before that many bars exist.
 
     ``reference_lag`` looks one bar less far back, a known off-by-one of older code.
     """
     w = by_bar()
-    past = F.lag(price, bars - 1 if reference_lag else bars).over(w) if not (reference_lag and bars == 1) else F.col(price)
-    return F.when(F.row_number().over(w) > bars, change(price, past))
+    shift = 1 if reference_lag else 0
+    past = prices.select(
+        "*", F.row_number().over(w).alias("_n"), *[F.lag(price, n - shift).over(w).alias(f"_p{n}") for n in bars.values()]
+    )
+    return past.select(
+        *prices.columns, *[F.when(F.col("_n") > n, change(price, f"_p{n}")).alias(c) for c, n in bars.items()]
+    )
 
 
-def return_features(prices: DataFrame, price: str = "adj_close", reference_lag: bool = False) -> DataFrame:
-    return prices.select("*", *[bar_return(price, n, reference_lag).alias(c) for c, n in RETURN_BARS.items()])
+def _z_parts(value: str, n: int) -> list[Column]:
+    """Window values behind a self-relative z-score, named once so that Spark computes
+    each of them once (it evaluates every occurrence of a window expression)."""
+    w = trailing(n)
+    return [F.avg(value).over(w).alias(f"{value}_m"), F.stddev_samp(value).over(w).alias(f"{value}_s")]
 
 
-def _rolling_z(value: str, n: int) -> Column:
-    w = trailing(n)
-    spread = F.stddev_samp(value).over(w)
-    seen = F.count(F.lit(1)).over(w)
-    return F.when((seen >= n) & (spread > 0), (F.col(value) - F.avg(value).over(w)) / spread)
+def _z(value: str, n: int) -> Column:
+    spread_ = F.col(f"{value}_s")
+    return F.when((F.col("bar_no") >= n) & (spread_ > 0), (F.col(value) - F.col(f"{value}_m")) / spread_)
 
 
 def bar_features(prices: DataFrame, forward: int = 21, reference_lag: bool = False) -> DataFrame:
@@ -107,46 +115,79 @@ def bar_features(prices: DataFrame, forward: int = 21, reference_lag: bool = Fal
     with the forward returns used as labels."""
     w = by_bar()
     p, v = "adj_close", "volume"
-    first = spread(prices.select("ticker", "date", p, v)).select(
+    lags = sorted({1, *[n - 1 if reference_lag else n for n in RETURN_BARS.values()]} - {0})
+    first = spread(prices.select("ticker", "date", p, F.col(v).cast("double").alias(v))).select(
         "ticker",
         "date",
         p,
         v,
         F.row_number().over(w).alias("bar_no"),
-        (ratio(p, F.lag(p).over(w)) - 1).alias("ret"),
-        *[bar_return(p, n, reference_lag).alias(c) for c, n in RETURN_BARS.items()],
-        change(F.lead(p, forward).over(w), F.col(p)).alias("future_return"),
-        change(F.lead(p, 2 * forward).over(w), F.col(p)).alias("future_return_2m"),
+        *[F.lag(p, n).over(w).alias(f"_p{n}") for n in lags],
+        F.lead(p, forward).over(w).alias("_f1"),
+        F.lead(p, 2 * forward).over(w).alias("_f2"),
     )
-    mean_v20 = F.avg(v).over(trailing(20))
-    sd_v20 = F.stddev_samp(v).over(trailing(20))
-    sma50, sma200 = F.avg(p).over(trailing(50)), F.avg(p).over(trailing(200))
-    high, low = F.max(p).over(trailing(252)), F.min(p).over(trailing(252))
-    count_ret = lambda n: F.count("ret").over(trailing(n))
-    second = first.select(
-        "*",
-        (F.stddev_samp("ret").over(trailing(19)) * YEAR).alias("volatility_20d"),
-        (F.stddev_samp("ret").over(trailing(59)) * YEAR).alias("volatility_60d"),
-        change(p, sma50).alias("dist_from_sma_50"),
-        change(p, sma200).alias("dist_from_sma_200"),
-        change(p, high).alias("dist_from_52w_high"),
-        change(p, low).alias("dist_from_52w_low"),
-        positive_ratio(v, mean_v20).alias("volume_ratio_20"),
-        positive_ratio(v, F.avg(v).over(trailing(60))).alias("volume_ratio_60"),
-        F.when(sd_v20 > 0, (F.col(v) - mean_v20) / sd_v20).alias("volume_zscore"),
-        positive_ratio(F.avg(v).over(trailing(5)), mean_v20).alias("volume_5d_ratio"),
-        full(F.sum("ret").over(trailing(21)), count_ret(21), 21).alias("_sum21"),
-        full(F.sum("ret").over(trailing(63)), count_ret(63), 63).alias("_sum63"),
-        full(F.stddev_samp("ret").over(trailing(20)) * YEAR, count_ret(20), 20).alias("_vol20"),
-        full(mean_v20, F.count(v).over(trailing(20)), 20).alias("_mv20"),
+
+    def past(n: int) -> Column:
+        n = n - 1 if reference_lag else n
+        return F.col(p) if n == 0 else F.col(f"_p{n}")
+
+    first = first.select(
+        "ticker",
+        "date",
+        p,
+        v,
+        "bar_no",
+        (ratio(p, "_p1") - 1).alias("ret"),
+        *[F.when(F.col("bar_no") > n, change(p, past(n))).alias(c) for c, n in RETURN_BARS.items()],
+        change("_f1", p).alias("future_return"),
+        change("_f2", p).alias("future_return_2m"),
     )
-    return second.select(
+    rolled = first.select(
         "*",
-        _rolling_z("_sum21", 60).alias("return_1m_zscore"),
-        _rolling_z("_sum63", 120).alias("return_3m_zscore"),
-        _rolling_z("_vol20", 60).alias("vol_zscore_rolling"),
-        _rolling_z("_mv20", 60).alias("volume_zscore_rolling"),
-    ).drop("_sum21", "_sum63", "_vol20", "_mv20")
+        F.stddev_samp("ret").over(trailing(19)).alias("_sd19"),
+        F.stddev_samp("ret").over(trailing(59)).alias("_sd59"),
+        F.stddev_samp("ret").over(trailing(20)).alias("_sd20"),
+        F.count("ret").over(trailing(20)).alias("_c20"),
+        F.sum("ret").over(trailing(21)).alias("_s21"),
+        F.count("ret").over(trailing(21)).alias("_c21"),
+        F.sum("ret").over(trailing(63)).alias("_s63"),
+        F.count("ret").over(trailing(63)).alias("_c63"),
+        F.avg(p).over(trailing(50)).alias("_a50"),
+        F.avg(p).over(trailing(200)).alias("_a200"),
+        F.max(p).over(trailing(252)).alias("_hi"),
+        F.min(p).over(trailing(252)).alias("_lo"),
+        F.avg(v).over(trailing(5)).alias("_v5"),
+        F.avg(v).over(trailing(20)).alias("_v20"),
+        F.stddev_samp(v).over(trailing(20)).alias("_vs20"),
+        F.avg(v).over(trailing(60)).alias("_v60"),
+    )
+    second = rolled.select(
+        *first.columns,
+        (F.col("_sd19") * YEAR).alias("volatility_20d"),
+        (F.col("_sd59") * YEAR).alias("volatility_60d"),
+        change(p, "_a50").alias("dist_from_sma_50"),
+        change(p, "_a200").alias("dist_from_sma_200"),
+        change(p, "_hi").alias("dist_from_52w_high"),
+        change(p, "_lo").alias("dist_from_52w_low"),
+        positive_ratio(v, "_v20").alias("volume_ratio_20"),
+        positive_ratio(v, "_v60").alias("volume_ratio_60"),
+        F.when(F.col("_vs20") > 0, (F.col(v) - F.col("_v20")) / F.col("_vs20")).alias("volume_zscore"),
+        positive_ratio("_v5", "_v20").alias("volume_5d_ratio"),
+        full(F.col("_s21"), F.col("_c21"), 21).alias("_sum21"),
+        full(F.col("_s63"), F.col("_c63"), 63).alias("_sum63"),
+        full(F.col("_sd20") * YEAR, F.col("_c20"), 20).alias("_vol20"),
+        full(F.col("_v20"), F.col("bar_no"), 20).alias("_mv20"),
+    )
+    parts = second.select(
+        "*", *_z_parts("_sum21", 60), *_z_parts("_sum63", 120), *_z_parts("_vol20", 60), *_z_parts("_mv20", 60)
+    )
+    return parts.select(
+        *[c for c in second.columns if not c.startswith("_")],
+        _z("_sum21", 60).alias("return_1m_zscore"),
+        _z("_sum63", 120).alias("return_3m_zscore"),
+        _z("_vol20", 60).alias("vol_zscore_rolling"),
+        _z("_mv20", 60).alias("volume_zscore_rolling"),
+    )
 
 
 def benchmark_features(bench: DataFrame, forward: int = 21) -> DataFrame:
@@ -193,11 +234,17 @@ def trailing_beta(prices: DataFrame, bench: DataFrame, lookback: int = 252) -> D
     w = previous(lookback)
     valid = F.col("ret").isNotNull() & F.col("spy_ret").isNotNull()
     market = F.when(valid, F.col("spy_ret"))
-    var = F.var_pop(market).over(w)
-    pairs = F.count(F.when(valid, 1)).over(w)
-    beta = F.when(var > 0, clip(F.covar_samp("ret", "spy_ret").over(w) / var, -1.0, 3.0)).otherwise(F.lit(1.0))
-    early = (F.row_number().over(by_bar()) <= 60) | (pairs <= 30)
-    return r.select("ticker", "date", F.when(early, F.lit(1.0)).otherwise(beta).alias("beta"))
+    rolled = r.select(
+        "ticker",
+        "date",
+        F.row_number().over(by_bar()).alias("_n"),
+        F.count(market).over(w).alias("_pairs"),
+        F.var_pop(market).over(w).alias("_var"),
+        F.covar_samp("ret", "spy_ret").over(w).alias("_cov"),
+    )
+    beta = F.when(F.col("_var") > 0, clip(F.col("_cov") / F.col("_var"), -1.0, 3.0)).otherwise(F.lit(1.0))
+    early = (F.col("_n") <= 60) | (F.col("_pairs") <= 30)
+    return rolled.select("ticker", "date", F.when(early, F.lit(1.0)).otherwise(beta).alias("beta"))
 
 
 def benchmark_joined(prices: DataFrame, bench: DataFrame) -> DataFrame:
@@ -257,21 +304,29 @@ def live_features(prices: DataFrame, min_bars: int = 100) -> DataFrame:
         F.col("_last"),
     )
 
+    rolled = base.select(
+        "*",
+        *[F.lag("close", n).over(w).alias(f"_p{n}") for n in (3, 5, 21, 63, 126)],
+        F.first("close").over(upto()).alias("_open"),
+        F.max("close").over(upto()).alias("_hi"),
+        F.min("close").over(upto()).alias("_lo"),
+        F.stddev_samp("_r").over(trailing(20)).alias("_sd20"),
+        F.stddev_samp("_r").over(trailing(60)).alias("_sd60"),
+        F.avg("close").over(trailing(50)).alias("_a50"),
+        F.avg("close").over(trailing(200)).alias("_a200"),
+        F.avg("volume").over(trailing(20)).alias("_v20"),
+        F.stddev_samp("volume").over(trailing(20)).alias("_vs20"),
+    ).where(f"date = _last AND _n >= {min_bars}")
+
     def back(n: int) -> Column:
-        return F.when(
-            F.col("_n") >= n,
-            ratio("close", F.coalesce(F.lag("close", n).over(w), F.first("close").over(upto()))) - 1,
-        )
+        return F.when(F.col("_n") >= n, ratio("close", F.coalesce(f"_p{n}", "_open")) - 1)
 
     def sma_gap(n: int) -> Column:
-        return change("close", full(F.avg("close").over(trailing(n)), F.col("_n"), n))
+        return change("close", full(F.col(f"_a{n}"), F.col("_n"), n))
 
-    spread_v = F.stddev_samp("volume").over(trailing(20))
-    rows = base.select(
+    return rolled.select(
         "ticker",
         "date",
-        F.col("_last"),
-        F.col("_n"),
         F.col("close").alias("current_price"),
         F.col("_r").alias("return_1d"),
         back(3).alias("return_3d"),
@@ -279,16 +334,15 @@ def live_features(prices: DataFrame, min_bars: int = 100) -> DataFrame:
         back(21).alias("return_1m"),
         back(63).alias("return_3m"),
         back(126).alias("return_6m"),
-        (F.stddev_samp("_r").over(trailing(20)) * YEAR).alias("volatility_20d"),
-        (F.stddev_samp("_r").over(trailing(60)) * YEAR).alias("volatility_60d"),
+        (F.col("_sd20") * YEAR).alias("volatility_20d"),
+        (F.col("_sd60") * YEAR).alias("volatility_60d"),
         sma_gap(50).alias("dist_from_sma_50"),
         sma_gap(200).alias("dist_from_sma_200"),
-        change("close", F.max("close").over(upto())).alias("dist_from_52w_high"),
-        change("close", F.min("close").over(upto())).alias("dist_from_52w_low"),
-        positive_ratio("volume", F.avg("volume").over(trailing(20))).alias("volume_ratio_20"),
-        F.when(spread_v > 0, (F.col("volume") - F.avg("volume").over(trailing(20))) / spread_v).alias("volume_zscore"),
+        change("close", "_hi").alias("dist_from_52w_high"),
+        change("close", "_lo").alias("dist_from_52w_low"),
+        positive_ratio("volume", "_v20").alias("volume_ratio_20"),
+        F.when(F.col("_vs20") > 0, (F.col("volume") - F.col("_v20")) / F.col("_vs20")).alias("volume_zscore"),
     )
-    return rows.where(f"date = _last AND _n >= {min_bars}").drop("_last", "_n")
 
 
 LIVE_RANKED = [

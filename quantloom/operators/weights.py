@@ -99,8 +99,8 @@ def holdings_change(weights: DataFrame, slots: str | Column, keys: Sequence[str]
     both = align_weights(weights, carried_forward(weights, keys), [*keys, "date"])
     first = weights.groupBy(*keys).agg(F.min("date").alias("_first"))
     out = both.groupBy(*keys, "date").agg(
-        F.count_if("weight_before = 0 AND weight_now <> 0").alias("entered"),
-        F.count_if("weight_now = 0 AND weight_before <> 0").alias("exited"),
+        F.count_if(F.expr("weight_before = 0 AND weight_now <> 0")).alias("entered"),
+        F.count_if(F.expr("weight_now = 0 AND weight_before <> 0")).alias("exited"),
     )
     out = out.join(F.broadcast(first), list(keys)).where("date > _first").drop("_first")
     return out.withColumn("turnover", (F.col("entered") + F.col("exited")) / (2.0 * size))

@@ -92,7 +92,7 @@ class Market:
         )
         w = Window.partitionBy("l_suppkey").orderBy("q")
         n = F.col("n")
-        r = lambda c: F.round(c, 6)
+        r = lambda c: F.round(c + 1.371e-8, 6)  # noqa: E731  (off exact ties)
         return q.select(
             ticker_of("l_suppkey").alias("ticker"),
             F.date_sub(F.add_months("q", 3), 1).alias("date"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,22 +33,22 @@ def local_session(cores: str | int = "*", app: str = "quantloom", **extra: str)
     return spark
 
 
+def _set_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY, None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quantloom-ckpt-"))
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the folder the cluster names.
 
     Used where one result feeds several branches that must agree even when an
     executor is lost. A temporary folder is chosen only in local runs that name none.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY, None)
-    if not context.getCheckpointDir():
-        if named:
-            context.setCheckpointDir(named)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-ckpt-"))
-        else:
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        _set_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -59,3 +60,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *(keys or ("ticker",)))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh subfolder of the shared checkpoint folder for tables a plan writes and re-reads."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        _set_checkpoint_dir(spark)
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -39,7 +39,7 @@ def _(m):
 @case("e02_compounded_return", "ticker date:d r21:6 r63:6 r126:6", f"""SELECT ticker, date, adj_close / lag(adj_close, 21) OVER {_W} - 1 AS r21,
   adj_close / lag(adj_close, 63) OVER {_W} - 1 AS r63, adj_close / lag(adj_close, 126) OVER {_W} - 1 AS r126 FROM prices""")
 def _(m):
-    return m.prices().select("ticker", "date", *[panel.bar_return("adj_close", n).alias(f"r{n}") for n in (21, 63, 126)])
+    return panel.return_features(m.prices(), bars={"r21": 21, "r63": 63, "r126": 126})
 
 
 @case("e03_volatility", "ticker date:d volatility_20d:6 volatility_60d:6", "SELECT ticker, date, volatility_20d, volatility_60d FROM px")

@@ -92,15 +92,15 @@ CTES: dict[str, str] = {
   avg(l_quantity) AS aq, avg(l_discount) AS ad, avg(l_tax) AS tx, count(*) AS n, sum(l_extendedprice) AS rev,
   sum(l_extendedprice * l_discount) AS earn, sum(l_extendedprice * (l_discount - 0.05::DOUBLE)) AS fcf FROM lineitem GROUP BY 1, 2""",
     "fund": """SELECT ticker, CAST(q + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS date,
-  CASE WHEN n % 7 <> 0 THEN round(ap / 2000, 6) END AS pe_ratio, CASE WHEN n % 9 <> 0 THEN round(ap / 40000, 6) END AS peg_ratio,
-  round(aq / 10, 6) AS pb_ratio, round(aq / 15, 6) AS ps_ratio, round(ap / 4000, 6) AS ev_to_ebitda,
-  round(ad * 3, 6) AS roe, round(ad, 6) AS roa, round(tx * 25, 6) AS debt_to_equity,
-  CASE WHEN n % 8 <> 0 THEN round(ad * 2, 6) END AS profit_margin, round(ad * 2.5::DOUBLE, 6) AS operating_margin,
-  round(ad * 8, 6) AS gross_margin, round(n / 10::DOUBLE, 6) AS current_ratio, round(n / 15::DOUBLE, 6) AS quick_ratio,
-  round(rev / lag(rev) OVER (PARTITION BY ticker ORDER BY q) - 1, 6) AS revenue_growth,
-  round(earn / nullif(lag(earn) OVER (PARTITION BY ticker ORDER BY q), 0) - 1, 6) AS earnings_growth,
-  CASE WHEN n % 13 = 0 THEN 0.0::DOUBLE ELSE round(tx, 6) END AS dividend_yield,
-  CASE WHEN n % 11 <> 0 THEN round(tx * 12, 6) END AS payout_ratio,
+  CASE WHEN n % 7 <> 0 THEN round(ap / 2000 + 1.371e-8::DOUBLE, 6) END AS pe_ratio, CASE WHEN n % 9 <> 0 THEN round(ap / 40000 + 1.371e-8::DOUBLE, 6) END AS peg_ratio,
+  round(aq / 10 + 1.371e-8::DOUBLE, 6) AS pb_ratio, round(aq / 15 + 1.371e-8::DOUBLE, 6) AS ps_ratio, round(ap / 4000 + 1.371e-8::DOUBLE, 6) AS ev_to_ebitda,
+  round(ad * 3 + 1.371e-8::DOUBLE, 6) AS roe, round(ad + 1.371e-8::DOUBLE, 6) AS roa, round(tx * 25 + 1.371e-8::DOUBLE, 6) AS debt_to_equity,
+  CASE WHEN n % 8 <> 0 THEN round(ad * 2 + 1.371e-8::DOUBLE, 6) END AS profit_margin, round(ad * 2.5::DOUBLE + 1.371e-8::DOUBLE, 6) AS operating_margin,
+  round(ad * 8 + 1.371e-8::DOUBLE, 6) AS gross_margin, round(n / 10::DOUBLE + 1.371e-8::DOUBLE, 6) AS current_ratio, round(n / 15::DOUBLE + 1.371e-8::DOUBLE, 6) AS quick_ratio,
+  round(rev / lag(rev) OVER (PARTITION BY ticker ORDER BY q) - 1 + 1.371e-8::DOUBLE, 6) AS revenue_growth,
+  round(earn / nullif(lag(earn) OVER (PARTITION BY ticker ORDER BY q), 0) - 1 + 1.371e-8::DOUBLE, 6) AS earnings_growth,
+  CASE WHEN n % 13 = 0 THEN 0.0::DOUBLE ELSE round(tx + 1.371e-8::DOUBLE, 6) END AS dividend_yield,
+  CASE WHEN n % 11 <> 0 THEN round(tx * 12 + 1.371e-8::DOUBLE, 6) END AS payout_ratio,
   CASE WHEN n % 10 <> 0 THEN CAST(round(fcf * 1000, 0) AS BIGINT) END AS free_cash_flow FROM fundq""",
     "uni": """SELECT CAST(date_trunc('quarter', date) + INTERVAL 3 MONTH AS DATE) AS snapshot_date, ticker FROM prices
   GROUP BY 1, 2 HAVING count(*) >= 18""",
