@@ -26,9 +26,18 @@ def ticker_of(key: str) -> F.Column:
     return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 9, "0"))
 
 
+_OPEN: dict[tuple[str, str], "Market"] = {}
+
+
 class Market:
     """Lazily built views over one data folder."""
 
+    @classmethod
+    def at(cls, spark: SparkSession, folder: str) -> "Market":
+        """One instance per application and folder, so that the written month-end and
+        score tables are built once and then shared, like any stored feature table."""
+        return _OPEN.setdefault((spark.sparkContext.applicationId, folder.rstrip("/")), cls(spark, folder))
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")

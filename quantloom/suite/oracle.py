@@ -220,4 +220,4 @@ def compose(body: str) -> str:
     visit(body, ())
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + body

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.plans.derived import Market
-from quantloom.suite.oracle import compose
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,13 +62,13 @@ def case(name: str, contract: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(Market(spark, folder)).select(*[_spark_column(n, k) for n, k in columns])
+            return build(Market.at(spark, folder)).select(*[_spark_column(n, k) for n, k in columns])
 
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
             head = ", ".join(_sql_column(n, k) for n, k in columns)
-            ORACLE[name] = compose(f"SELECT {head} FROM ({sql})")
+            ORACLE[name] = f"SELECT {head} FROM ({sql})"
         return build
 
     return wrap
