@@ -44,6 +44,13 @@ def no_nan(c: str | Column) -> Column:
     return F.when(~F.isnan(col(c)), col(c))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over pairs; NULL where a side does not vary (the built-in
+    raises a division error there)."""
+    a, b = F.when(col(y).isNotNull(), col(x)), F.when(col(x).isNotNull(), col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def nonzero(c: str | Column) -> Column:
     """Zero counts as missing."""
     return F.when(col(c) != 0, col(c))

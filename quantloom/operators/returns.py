@@ -207,3 +207,37 @@ def next_trading_day(dates: DataFrame, prices: DataFrame) -> DataFrame:
     return asof_forward(asked, calendar.withColumn("next_date", F.col("date")), ["next_date"], on=["series"]).select(
         F.col("asked_date").alias("date"), "next_date"
     )
+
+
+def reconcile(picks: DataFrame, prices: DataFrame, days: int = 30, price: str = "adj_close") -> DataFrame:
+    """Outcome of logged sessions: entry on the next trading day, exit ``days`` later or
+    at the latest price; names without an entry are skipped."""
+    calendar = trading_calendar(prices).select("date", F.col("next_date").alias("entry_date"))
+    planned = join_calendar(picks, calendar, how="inner").where("entry_date IS NOT NULL")
+    planned = planned.withColumn("exit_date", F.date_add("entry_date", days))
+    wanted = planned.select("ticker", F.explode(F.array("entry_date", "exit_date")).alias("date")).distinct()
+    found = asof_forward(wanted, prices.select("ticker", "date", F.col(price).alias("px")), ["px"], tolerance_days=TOLERANCE_DAYS)
+    entry = found.select("ticker", F.col("date").alias("entry_date"), F.col("px").alias("entry_price"))
+    exit_ = found.select("ticker", F.col("date").alias("exit_date"), F.col("px").alias("_exit"))
+    latest = prices.groupBy("ticker").agg(F.max_by(price, "date").alias("_latest"))
+    rows = planned.join(entry, ["ticker", "entry_date"]).where("entry_price > 0").join(exit_, ["ticker", "exit_date"], "left").join(latest, "ticker")
+    gain = change(F.coalesce("_exit", "_latest"), "entry_price")
+    return rows.groupBy("session_id").agg(
+        (F.sum(F.col("weight") * gain) / F.sum("weight")).alias("portfolio_return"), F.count(F.lit(1)).alias("n_priced")
+    )
+
+
+def mark_to_market(holdings: DataFrame, prices: DataFrame, price: str = "close") -> DataFrame:
+    """Σ shares × price per trading day, each holding valid until the next rebalance."""
+    dates = holdings.select("date").distinct()
+    spans = dates.withColumn("_until", F.lead("date").over(Window.orderBy("date")))
+    rows = join_calendar(holdings, spans, how="inner").withColumnRenamed("date", "_from")
+    # Equal join on (ticker, month) keeps the date test to one holding period.
+    last = F.coalesce(F.date_sub("_until", 1), F.add_months("_from", 1200))
+    horizon = prices.agg(F.max("date").alias("_end"))
+    rows = rows.crossJoin(F.broadcast(horizon)).withColumn("_last", F.least(last, F.col("_end"))).where("_last >= _from")
+    months = F.explode(F.sequence(F.trunc("_from", "MM"), F.trunc("_last", "MM"), F.expr("interval 1 month")))
+    rows = rows.withColumn("_month", months)
+    bars = prices.select("ticker", "date", F.col(price).alias("_p"), F.trunc("date", "MM").alias("_month"))
+    met = rows.join(bars, ["ticker", "_month"]).where("date >= _from AND date <= _last")
+    return met.groupBy("date").agg(F.sum(F.col("shares") * F.col("_p")).alias("value"))

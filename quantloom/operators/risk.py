@@ -215,23 +215,32 @@ def book_metrics(weights: DataFrame, means: DataFrame, cov: DataFrame, rf: float
     return out.withColumn("sharpe", F.when(F.col("volatility") > 0, (F.col("expected_return") - rf) / F.col("volatility")).otherwise(0.0))
 
 
-def assess(sheet: DataFrame) -> DataFrame:
-    """Verbal labels of a tear sheet."""
-
-    def label(value: str, rungs: list[tuple[float, str]], other: str, strict: bool = True) -> Column:
-        chain = None
-        for t, name in rungs:
-            test = F.col(value) > t
-            chain = F.when(test, name) if chain is None else chain.when(test, name)
-        return chain.otherwise(other)
-
-    beta = F.when(F.col("beta") < 0.8, "DEFENSIVE").when(F.col("beta") <= 1.2, "MARKET-LIKE").otherwise("AGGRESSIVE")
-    ahead = F.col("annual_return") > F.col("spy_annual_return")
-    return sheet.select(
+def assess(sheet: DataFrame, years: DataFrame, precision: DataFrame | None = None, keys: Sequence[str] = STRATEGY) -> DataFrame:
+    """Verbal labels of a tear sheet, and a verdict from the share of years ahead and the
+    average precision of the top decile (``precision``: one row, ``avg_precision``)."""
+    share = years.groupBy(*keys).agg(F.avg((F.col("excess_return") > 0).cast("double")).alias("share_ahead"))
+    rows = sheet.join(F.broadcast(share), list(keys))
+    if precision is None:
+        rows = rows.withColumn("avg_precision", F.lit(None).cast("double"))
+    else:
+        rows = rows.crossJoin(F.broadcast(precision.select("avg_precision")))
+    s, d, b, i = F.col("sharpe"), F.abs("max_drawdown"), F.col("beta"), F.col("information_ratio")
+    ahead = F.col("share_ahead")
+    return rows.select(
         "*",
-        label("sharpe", [(1.0, "EXCELLENT"), (0.5, "GOOD"), (0.0, "ACCEPTABLE")], "POOR").alias("sharpe_label"),
-        label("max_drawdown", [(-0.15, "LOW"), (-0.25, "MODERATE")], "HIGH").alias("drawdown_label"),
-        beta.alias("beta_label"),
-        label("information_ratio", [(0.5, "STRONG"), (0.0, "POSITIVE")], "NEGATIVE").alias("ratio_label"),
-        F.when(ahead & (F.col("sharpe") > 0.5), "PASS").when(ahead, "MARGINAL").otherwise("FAIL").alias("verdict"),
+        F.when(s > 1.0, "EXCELLENT").when(s > 0.5, "GOOD").otherwise("WEAK").alias("sharpe_label"),
+        F.when(d > 0.30, "HIGH RISK").when(d > 0.20, "MODERATE").otherwise("ACCEPTABLE").alias("drawdown_label"),
+        F.when(b > 1.5, "HIGH").when(b > 1.0, "ABOVE-MARKET").otherwise("DEFENSIVE").alias("beta_label"),
+        F.when(i > 0.5, "STRONG").when(i > 0, "POSITIVE").otherwise("NONE").alias("ratio_label"),
+        F.when((ahead >= 0.6) & (F.col("avg_precision") > 0.12), "ROBUST").when(ahead >= 0.5, "MARGINAL").otherwise("WEAK").alias("verdict"),
+    )
+
+
+def assess_ic(summary: DataFrame) -> DataFrame:
+    """Labels of an information-coefficient summary."""
+    ic, ir = F.col("mean_ic"), F.col("ic_ir")
+    return summary.select(
+        "*",
+        F.when(ic > 0.05, "STRONG").when(ic > 0.02, "MODERATE").when(ic > 0, "WEAK").otherwise("NONE").alias("ic_label"),
+        F.when(ir > 0.5, "STABLE").when(ir > 0.2, "MODERATE").otherwise("UNSTABLE").alias("stability_label"),
     )

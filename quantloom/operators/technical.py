@@ -239,7 +239,9 @@ def volume_block(prices: DataFrame) -> DataFrame:
     rolled = base.select(
         "*",
         *[F.avg("v").over(trailing(k)).alias(f"_a{k}") for k in (5, 10, 20)],
-        F.corr("_r", "_dv").over(trailing(20)).alias("_corr"),
+        F.covar_pop("_r", "_dv").over(trailing(20)).alias("_cov"),
+        F.stddev_pop(F.when(F.col("_dv").isNotNull(), F.col("_r"))).over(trailing(20)).alias("_sr"),
+        F.stddev_pop(F.when(F.col("_r").isNotNull(), F.col("_dv"))).over(trailing(20)).alias("_sv"),
         F.sum("_obv").over(trailing(10)).alias("_o"),
         F.sum("v").over(trailing(10)).alias("_t"),
     )
@@ -251,7 +253,7 @@ def volume_block(prices: DataFrame) -> DataFrame:
         safe(F.when(F.col("_a5") > 0, F.col("v") / F.col("_a5")), 1.0).alias("volume_vs_avg_5d"),
         safe(F.when(F.col("_a20") > 0, F.col("v") / F.col("_a20")), 1.0).alias("volume_vs_avg_20d"),
         safe(F.when((n > 10) & (F.col("_a10") > 0), F.col("_a5") / F.col("_a10")), 1.0).alias("volume_trend_5d"),
-        safe(F.when(n > 20, F.col("_corr")), 0.0).alias("price_volume_corr"),
+        safe(F.when(n > 20, F.try_divide(F.col("_cov"), F.col("_sr") * F.col("_sv"))), 0.0).alias("price_volume_corr"),
         safe(F.when((n > 10) & (F.col("_t") > 0), F.col("_o") / F.col("_t")), 0.0).alias("obv_10d"),
     )
 

@@ -13,7 +13,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.columns import by_bar, full, trailing
+from quantloom.functions.columns import by_bar, correlation, full, trailing
 from quantloom.functions.distributions import p_normal, p_student
 from quantloom.operators.xsection import pct_rank
 
@@ -58,7 +58,7 @@ def information_coefficient(rows: DataFrame, by: Sequence[str], score: str, actu
     valid = rows.where(F.col(score).isNotNull() & F.col(actual).isNotNull()).select(*by, *[k for k in key if k not in by], score, actual)
     ranked = pct_rank(valid, by, {score: "_rs", actual: "_ra"}, [k for k in key if k not in by])
     out = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.corr("_rs", "_ra").alias("_ic"), F.corr(score, actual).alias("_p")
+        F.count(F.lit(1)).alias("n_samples"), correlation("_rs", "_ra").alias("_ic"), correlation(score, actual).alias("_p")
     )
     enough = F.col("n_samples") >= least
     out = out.withColumn("ic", F.when(enough, F.col("_ic")).otherwise(0.0)).withColumn(

@@ -187,7 +187,8 @@ def overlay_summary(book: DataFrame, keys: Sequence[str] = DATE) -> DataFrame:
 def conviction(scores: DataFrame, gamma: float = 2.0, score: str = "score", keys: Sequence[str] = DATE) -> DataFrame:
     """Min-max to [0, 1], centre, signed power, then standardise (population spread)."""
     r = _stats(scores, keys, _lo=F.min(score), _hi=F.max(score))
-    x = (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-8) - 0.5
+    width = F.col("_hi") - F.col("_lo")
+    x = F.when(width > 1e-8, (F.col(score) - F.col("_lo")) / width).otherwise(0.5) - 0.5
     r = r.withColumn("_x", F.signum(x) * F.pow(F.abs(x), F.lit(gamma)))
     s = _stats(r, keys, _m=F.avg("_x"), _s=F.stddev_pop("_x"))
     return s.withColumn("conviction", (F.col("_x") - F.col("_m")) / (F.col("_s") + 1e-8)).drop("_lo", "_hi", "_x", "_m", "_s")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import by_bar, ratio
-from quantloom.operators import news, panel, regime, returns, scores, technical, weights
+from quantloom.operators import labels, news, panel, regime, returns, scores, technical, weights
 from quantloom.operators.asof import asof_backward, sample_at, trading_calendar
 from quantloom.operators.xsection import pct_rank
 from quantloom.plans import monthly
@@ -201,6 +201,13 @@ class Market:
         )
         return reliable(pct_rank(rows, ["date"], {"return_6m": "score"}))
 
+    def scored_targets(self) -> DataFrame:
+        """Scores beside the binary target, for model quality measures."""
+        rows = labels.residual_return(labels.smooth_return(self.month_table()))
+        rows = labels.binary_target(pct_rank(rows, ["date"], {"future_return_resid": "future_return_resid_rank"}))
+        rows = rows.select("ticker", "date", "target_binary", "future_return_resid").where("target_binary IS NOT NULL")
+        return rows.join(self.scores().select("ticker", "date", "score"), ["ticker", "date"]).where("score IS NOT NULL").withColumn("year", F.year("date"))
+
     def books(self) -> DataFrame:
         """Inverse-volatility weighted top-n books of the three strategies."""
         ranked = weights.top_n(self.scores(), max(BOOKS.values()), position="place")

@@ -164,7 +164,11 @@ _part("h15_low_volatility_vol_beta", ["lowvol_volatility", "lowvol_beta"])
 _part("h16_low_volatility_stability_drawdown", ["lowvol_stability", "lowvol_drawdown"])
 _part("h17_sentiment_parts", ["sentiment_level", "sentiment_ratio", "sentiment_trend", "sentiment_conviction"])
 _part("h18_model_score", ["return_points", "ml_prediction_score"])
-_part("h26_strategy_scores", [f"{n}_score" for n in _S])
+
+
+@case("h26_strategy_scores", "ticker date:d " + " ".join(f"{n}_score:4" for n in _S), "SELECT * FROM scored")
+def _(m):
+    return scores.with_scores(m.screen_rows())
 
 
 @case("h19_composite", "ticker date:d regime composite_score:4", "SELECT * FROM ana")

@@ -119,11 +119,21 @@ def _(m):
     return risk.curves(m.strategy_returns(), ["portfolio_return", "spy_return", "gross_return"])
 
 
-@case("j17_assessment_labels", "strategy sharpe_label drawdown_label beta_label ratio_label verdict", """SELECT strategy, CASE WHEN sharpe > 1 THEN 'EXCELLENT' WHEN sharpe > 0.5 THEN 'GOOD' WHEN sharpe > 0 THEN 'ACCEPTABLE' ELSE 'POOR' END AS sharpe_label,
-  CASE WHEN max_drawdown > -0.15 THEN 'LOW' WHEN max_drawdown > -0.25 THEN 'MODERATE' ELSE 'HIGH' END AS drawdown_label, CASE WHEN beta < 0.8 THEN 'DEFENSIVE' WHEN beta <= 1.2 THEN 'MARKET-LIKE' ELSE 'AGGRESSIVE' END AS beta_label,
-  CASE WHEN information_ratio > 0.5 THEN 'STRONG' WHEN information_ratio > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS ratio_label, CASE WHEN annual_return > spy_annual_return AND sharpe > 0.5 THEN 'PASS' WHEN annual_return > spy_annual_return THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM sheet""")
+@case("j17_assessment_labels", "strategy sharpe_label drawdown_label beta_label ratio_label verdict", """SELECT h.strategy, CASE WHEN sharpe > 1 THEN 'EXCELLENT' WHEN sharpe > 0.5 THEN 'GOOD' ELSE 'WEAK' END AS sharpe_label,
+  CASE WHEN abs(max_drawdown) > 0.30 THEN 'HIGH RISK' WHEN abs(max_drawdown) > 0.20 THEN 'MODERATE' ELSE 'ACCEPTABLE' END AS drawdown_label, CASE WHEN beta > 1.5 THEN 'HIGH' WHEN beta > 1 THEN 'ABOVE-MARKET' ELSE 'DEFENSIVE' END AS beta_label,
+  CASE WHEN information_ratio > 0.5 THEN 'STRONG' WHEN information_ratio > 0 THEN 'POSITIVE' ELSE 'NONE' END AS ratio_label, CASE WHEN ahead >= 0.6 AND avg_precision > 0.12 THEN 'ROBUST' WHEN ahead >= 0.5 THEN 'MARGINAL' ELSE 'WEAK' END AS verdict
+  FROM sheet h JOIN (SELECT strategy, avg(CAST(excess_return > 0 AS DOUBLE)) AS ahead FROM years GROUP BY 1) y ON y.strategy = h.strategy CROSS JOIN (SELECT avg(precision_10) AS avg_precision FROM quality) q""")
 def _(m):
-    return risk.assess(risk.tear_sheet(m.strategy_returns()))
+    from quantloom.operators import evaluation, summaries
+
+    precision = evaluation.yearly_quality(m.scored_targets()).agg(F.avg("precision_10").alias("avg_precision"))
+    monthly = m.strategy_returns()
+    return risk.assess(risk.tear_sheet(monthly), summaries.yearly(monthly), precision)
+
+
+@case("j17_ic_labels", "ic_label stability_label", f"SELECT CASE WHEN a > 0.05 THEN 'STRONG' WHEN a > 0.02 THEN 'MODERATE' WHEN a > 0 THEN 'WEAK' ELSE 'NONE' END AS ic_label, CASE WHEN ir > 0.5 THEN 'STABLE' WHEN ir > 0.2 THEN 'MODERATE' ELSE 'UNSTABLE' END AS stability_label FROM (SELECT avg(ic) AS a, avg(ic) / stddev_pop(ic) AS ir FROM icdate)")
+def _(m):
+    return risk.assess_ic(validation.ic_summary(validation.information_coefficient(_ic_rows(m), ["date"], "score", "future_return_resid", p_values=False)))
 
 
 # -- K ----------------------------------------------------------------------------
@@ -142,6 +152,9 @@ def _ic_sql(by):
             f"{rank_sql('score', by)} AS rs, {rank_sql('future_return_resid', by)} AS ra FROM icr) GROUP BY 1")
 
 
+add_cte("icdate", _ic_sql("date"))
+
+
 def _ic_rows(m):
     target = residual_return(smooth_return(m.month_table())).select("ticker", "date", "future_return_resid")
     return m.scores().select("ticker", "date", "score").join(target, ["ticker", "date"]).withColumn("year", F.year("date"))
