@@ -88,8 +88,7 @@ def style_returns(returns: DataFrame, exposure: DataFrame, days: DataFrame, shar
 
 def loadings(exposure: DataFrame) -> DataFrame:
     """Z-scored style exposures clipped to ±2."""
-    keyed = exposure.withColumn("_all", F.lit(1))
-    return zscore(keyed, ["_all"], {f: f"{f}_load" for f in STYLE_COEFFICIENTS}, limit=2.0).drop("_all")
+    return zscore(exposure, [], {f: f"{f}_load" for f in STYLE_COEFFICIENTS}, limit=2.0)
 
 
 def residual_returns(returns: DataFrame, market: DataFrame, exposure: DataFrame, lookback: int = 252) -> DataFrame:

@@ -67,23 +67,18 @@ def date_split(rows: DataFrame, train_end: str, validation_end: str) -> DataFram
 def latest_share(rows: DataFrame, share: float = 0.2, by: Sequence[str] = (), tie: Sequence[str] = ("ticker",)) -> DataFrame:
     """Mark the newest share of the rows (by date) as validation; the first
     ``int((1 − share)·n)`` rows stay training rows."""
-    keys = list(by) or ["_all"]
-    base = rows if by else rows.withColumn("_all", F.lit(1))
-    base = base.withColumn("_day", F.datediff("date", F.lit("1900-01-01").cast("date")).cast("double"))
+    keys = list(by)
+    base = rows.withColumn("_day", F.datediff("date", F.lit("1900-01-01").cast("date")).cast("double"))
     early = extreme_share(base, keys, "_day", 1 - share, tie, largest=False).select(*keys, "date", *tie, F.lit(0).alias("is_validation"))
-    out = base.drop("_day").join(early, [*keys, "date", *tie], "left").fillna(1, ["is_validation"])
-    return out if by else out.drop("_all")
+    return base.drop("_day").join(early, [*keys, "date", *tie], "left").fillna(1, ["is_validation"])
 
 
 def decay_weights(rows: DataFrame, rate: float = 0.02, by: Sequence[str] = ()) -> DataFrame:
     """exp(−rate · months before the newest row), scaled to a mean of 1."""
-    keys = list(by) or ["_all"]
-    base = rows if by else rows.withColumn("_all", F.lit(1))
-    aged = group_stats(base, keys, {"_newest": F.max("date")})
+    aged = group_stats(rows, by, {"_newest": F.max("date")})
     aged = aged.withColumn("_raw", F.exp(-rate * F.datediff("_newest", "date") / 30.0))
-    out = group_stats(aged, keys, {"_mean": F.avg("_raw")})
-    out = out.withColumn("sample_weight", F.col("_raw") / F.col("_mean")).drop("_newest", "_raw", "_mean")
-    return out if by else out.drop("_all")
+    out = group_stats(aged, by, {"_mean": F.avg("_raw")})
+    return out.withColumn("sample_weight", F.col("_raw") / F.col("_mean")).drop("_newest", "_raw", "_mean")
 
 
 # -- models -----------------------------------------------------------------------------
@@ -100,7 +95,7 @@ def probability(model, rows: DataFrame, name: str) -> DataFrame:
 
 def balanced(rows: DataFrame, target: str = "target_binary", weight: str = "sample_weight") -> DataFrame:
     """Weight positives by negatives / positives, on top of the sample weight."""
-    scale = class_balance(rows.withColumn("_all", F.lit(1)), target, ["_all"]).select("scale_pos_weight")
+    scale = class_balance(rows, target, []).select("scale_pos_weight")
     out = rows.crossJoin(F.broadcast(scale))
     w = F.col(weight) * F.when(F.col(target) == 1, F.col("scale_pos_weight")).otherwise(1.0)
     return out.withColumn("_w", w).drop("scale_pos_weight").withColumn("label", F.col(target).cast("double"))

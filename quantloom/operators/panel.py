@@ -98,16 +98,29 @@ def return_features(
     )
 
 
-def _z_parts(value: str, n: int) -> list[Column]:
-    """Window values behind a self-relative z-score, named once so that Spark computes
-    each of them once (it evaluates every occurrence of a window expression)."""
+def _moments(value: str, n: int) -> list[Column]:
+    """Count, sum and sum of squares of the last n bars, named once so that Spark computes
+    each of them once. Plain sums cost a fraction of the running-variance update that a
+    sliding standard deviation repeats for every bar of its frame."""
     w = trailing(n)
-    return [F.avg(value).over(w).alias(f"{value}_m"), F.stddev_samp(value).over(w).alias(f"{value}_s")]
+    x = F.col(value)
+    return [F.count(x).over(w).alias(f"{value}_n{n}"), F.sum(x).over(w).alias(f"{value}_s{n}"), F.sum(x * x).over(w).alias(f"{value}_q{n}")]
+
+
+def _mean(value: str, n: int) -> Column:
+    return ratio(f"{value}_s{n}", f"{value}_n{n}")
+
+
+def _sd(value: str, n: int) -> Column:
+    """Sample standard deviation from the moments; rounding noise of a constant frame is 0."""
+    k, s1, s2 = (F.col(f"{value}_{c}{n}") for c in "nsq")
+    centred = s2 - s1 * s1 / k
+    return F.when(k > 1, F.sqrt(F.when(centred > 1e-13 * s2, centred).otherwise(0.0) / (k - 1)))
 
 
 def _z(value: str, n: int) -> Column:
-    spread_ = F.col(f"{value}_s")
-    return F.when((F.col("bar_no") >= n) & (spread_ > 0), (F.col(value) - F.col(f"{value}_m")) / spread_)
+    spread_ = _sd(value, n)
+    return F.when((F.col("bar_no") >= n) & (spread_ > 0), (F.col(value) - _mean(value, n)) / spread_)
 
 
 def bar_features(prices: DataFrame, forward: int = 21, reference_lag: bool = False) -> DataFrame:
@@ -142,44 +155,58 @@ def bar_features(prices: DataFrame, forward: int = 21, reference_lag: bool = Fal
         change("_f1", p).alias("future_return"),
         change("_f2", p).alias("future_return_2m"),
     )
-    rolled = first.select(
+    # Means and sums come from running totals (a growing frame is one update per bar, a
+    # sliding one n); spreads and extremes keep their exact sliding frames.
+    h = upto()
+    first = first.select(
         "*",
-        F.stddev_samp("ret").over(trailing(19)).alias("_sd19"),
-        F.stddev_samp("ret").over(trailing(59)).alias("_sd59"),
-        F.stddev_samp("ret").over(trailing(20)).alias("_sd20"),
-        F.count("ret").over(trailing(20)).alias("_c20"),
-        F.sum("ret").over(trailing(21)).alias("_s21"),
-        F.count("ret").over(trailing(21)).alias("_c21"),
-        F.sum("ret").over(trailing(63)).alias("_s63"),
-        F.count("ret").over(trailing(63)).alias("_c63"),
-        F.avg(p).over(trailing(50)).alias("_a50"),
-        F.avg(p).over(trailing(200)).alias("_a200"),
+        F.sum(p).over(h).alias("_tp"),
+        F.sum(v).over(h).alias("_tv"),
+        F.coalesce(F.sum("ret").over(h), F.lit(0.0)).alias("_tr"),
+        F.count("ret").over(h).alias("_tc"),
+    )
+    spans = {"_tp": (50, 200), "_tv": (5, 20, 60), "_tr": (21, 63), "_tc": (21, 63)}
+    first = first.select("*", *[F.coalesce(F.lag(t, n).over(w), F.lit(0)).alias(f"{t}{n}") for t, ns in spans.items() for n in ns])
+    since = lambda t, n: F.col(t) - F.col(f"{t}{n}")
+    mean = lambda t, n: since(t, n) / F.least(F.col("bar_no"), F.lit(n))
+    totals = [c for c in first.columns if c.startswith("_")]
+    rolled = first.select(
+        *[c for c in first.columns if c not in totals],
+        mean("_tp", 50).alias("_a50"),
+        mean("_tp", 200).alias("_a200"),
+        mean("_tv", 5).alias("_v5"),
+        mean("_tv", 20).alias("_v20"),
+        mean("_tv", 60).alias("_v60"),
+        since("_tr", 21).alias("_s21"),
+        since("_tr", 63).alias("_s63"),
+        since("_tc", 21).alias("_c21"),
+        since("_tc", 63).alias("_c63"),
+        *_moments("ret", 19),
+        *_moments("ret", 20),
+        *_moments("ret", 59),
         F.max(p).over(trailing(252)).alias("_hi"),
         F.min(p).over(trailing(252)).alias("_lo"),
-        F.avg(v).over(trailing(5)).alias("_v5"),
-        F.avg(v).over(trailing(20)).alias("_v20"),
-        F.stddev_samp(v).over(trailing(20)).alias("_vs20"),
-        F.avg(v).over(trailing(60)).alias("_v60"),
+        *_moments(v, 20),
     )
     second = rolled.select(
-        *first.columns,
-        (F.col("_sd19") * YEAR).alias("volatility_20d"),
-        (F.col("_sd59") * YEAR).alias("volatility_60d"),
+        *[c for c in first.columns if c not in totals],
+        (_sd("ret", 19) * YEAR).alias("volatility_20d"),
+        (_sd("ret", 59) * YEAR).alias("volatility_60d"),
         change(p, "_a50").alias("dist_from_sma_50"),
         change(p, "_a200").alias("dist_from_sma_200"),
         change(p, "_hi").alias("dist_from_52w_high"),
         change(p, "_lo").alias("dist_from_52w_low"),
         positive_ratio(v, "_v20").alias("volume_ratio_20"),
         positive_ratio(v, "_v60").alias("volume_ratio_60"),
-        F.when(F.col("_vs20") > 0, (F.col(v) - F.col("_v20")) / F.col("_vs20")).alias("volume_zscore"),
+        F.when(_sd(v, 20) > 0, (F.col(v) - F.col("_v20")) / _sd(v, 20)).alias("volume_zscore"),
         positive_ratio("_v5", "_v20").alias("volume_5d_ratio"),
         full(F.col("_s21"), F.col("_c21"), 21).alias("_sum21"),
         full(F.col("_s63"), F.col("_c63"), 63).alias("_sum63"),
-        full(F.col("_sd20") * YEAR, F.col("_c20"), 20).alias("_vol20"),
+        full(_sd("ret", 20) * YEAR, F.col("ret_n20"), 20).alias("_vol20"),
         full(F.col("_v20"), F.col("bar_no"), 20).alias("_mv20"),
     )
     parts = second.select(
-        "*", *_z_parts("_sum21", 60), *_z_parts("_sum63", 120), *_z_parts("_vol20", 60), *_z_parts("_mv20", 60)
+        "*", *_moments("_sum21", 60), *_moments("_sum63", 120), *_moments("_vol20", 60), *_moments("_mv20", 60)
     )
     return parts.select(
         *[c for c in second.columns if not c.startswith("_")],

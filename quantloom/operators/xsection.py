@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import clip
+from quantloom.session import if_small
 
 BUCKETS_PER_OCTAVE = 64
 
@@ -29,10 +30,11 @@ def join_calendar(df: DataFrame, per_date: DataFrame, on: str | Sequence[str] =
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
-    """Attach per-group aggregates as columns.
+    """Attach per-group aggregates as columns; no keys means one group of all rows.
 
-    Groups keyed by date alone are calendar-bounded and broadcast. For other keys the
-    optimizer chooses by the measured size, with skew splitting beyond the threshold.
+    The one-row and the per-date table have a proven bound and are broadcast. Any other
+    table is broadcast only after its size was measured; beyond the limit the join
+    shuffles with adaptive skew splitting.
     """
     return attach_stats(df, [(keys, stats)])
 
@@ -42,7 +44,12 @@ def attach_stats(df: DataFrame, groups: Sequence[tuple[Sequence[str], Mapping[st
     out = df
     for keys, stats in groups:
         table = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-        out = join_calendar(out, table) if list(keys) == ["date"] else out.join(table, list(keys), "left")
+        if not keys:
+            out = out.crossJoin(F.broadcast(table))
+        elif list(keys) == ["date"]:
+            out = join_calendar(out, table)
+        else:
+            out = out.join(if_small(table), list(keys), "left")
     return out
 
 

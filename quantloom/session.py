@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -68,3 +69,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not context.getCheckpointDir():
         _set_checkpoint_dir(spark)
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A broadcast side only when its measured size allows it.
+
+    The table (an aggregate) is written once, counted, and marked for broadcast up to
+    ``rows`` rows; beyond that it is returned plain and the join shuffles, with adaptive
+    skew splitting.
+    """
+    table = reliable(df)
+    return F.broadcast(table) if table.count() <= rows else table

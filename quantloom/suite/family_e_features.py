@@ -9,6 +9,7 @@ from quantloom.operators import panel
 from quantloom.operators.asof import asof_backward
 from quantloom.operators.panel import LIVE_RANKED, RETURN_BARS
 from quantloom.operators.xsection import pct_rank
+from quantloom.session import reliable
 from quantloom.suite.oracle import add_cte, prev, rank_sql, w
 from quantloom.suite.registry import case
 
@@ -164,5 +165,5 @@ _lr = ", ".join(f"{rank_sql(c, 'one')} AS {c}_rank" for c in LIVE_RANKED)
 @case("e24_live_features", "ticker date:d current_price:4 " + " ".join(f"{c}:6 {c}_rank:6" for c in LIVE_RANKED),
       f"SELECT *, {_lr} FROM (SELECT *, 1 AS one FROM live)")
 def _(m):
-    rows = panel.live_features(m.prices(), min_bars=60).withColumn("one", F.lit(1))
-    return pct_rank(rows, ["one"], {c: f"{c}_rank" for c in LIVE_RANKED})
+    rows = reliable(panel.live_features(m.prices(), min_bars=60))
+    return pct_rank(rows, [], {c: f"{c}_rank" for c in LIVE_RANKED})

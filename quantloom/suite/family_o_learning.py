@@ -43,7 +43,7 @@ def _features(m):
     """Model rows: month-end features with ranks and targets, written once."""
     if not hasattr(m, "_model_rows"):
         columns = [*learn.MODEL_RAW, *[f"{c}_rank" for c in learn.MODEL_RAW], "market_volatility", "market_trend"]
-        rows = cross_section(m.month_rows()).where("target_excess IS NOT NULL")
+        rows = cross_section(m.month_rows())
         m._model_columns = columns
         m._model_rows = reliable(rows.select("ticker", "date", *columns, "target_binary", "target_regression", "future_return_resid", "future_return_resid_rank"))
     return m._model_rows, m._model_columns
@@ -173,14 +173,15 @@ def _(m):
     return metadata.crossJoin(F.broadcast(scored))
 
 
-@case("o18_retrain_due", "sector last_trained:d age_days:i retrain:i", """SELECT sector, last_trained, today - last_trained AS age_days, CASE WHEN today - last_trained >= 90 THEN 1 ELSE 0 END AS retrain FROM (SELECT sector, max(date) FILTER (n >= 250) AS last_trained, (SELECT max(date) FROM prices) AS today FROM (
+@case("o18_retrain_due", "sector last_trained:d age_days:i retrain:i", """SELECT sector, coalesce(last_trained, DATE '1900-01-01') AS last_trained, coalesce(today - last_trained, -1) AS age_days, CASE WHEN coalesce(today - last_trained, 90) >= 90 THEN 1 ELSE 0 END AS retrain FROM (SELECT sector, max(date) FILTER (n >= 160) AS last_trained, (SELECT max(date) FROM prices) AS today FROM (
   SELECT sector, date_trunc('month', date) AS mo, max(date) AS date, count(*) AS n FROM prices p JOIN meta g ON g.ticker = p.ticker GROUP BY 1, 2) GROUP BY 1)""")
 def _(m):
     rows = m.prices().join(m.meta().select("ticker", "sector"), "ticker")
     months = rows.groupBy("sector", F.trunc("date", "MM").alias("mo")).agg(F.max("date").alias("date"), F.count(F.lit(1)).alias("n"))
-    registry = months.groupBy("sector").agg(F.max(F.when(F.col("n") >= 250, F.col("date"))).alias("last_trained"))
+    registry = months.groupBy("sector").agg(F.max(F.when(F.col("n") >= 160, F.col("date"))).alias("last_trained"))
     today = m.prices().agg(F.max("date").alias("today"))
-    return learn.retrain_due(registry.crossJoin(F.broadcast(today)), F.col("today"))
+    due = learn.retrain_due(registry.crossJoin(F.broadcast(today)), F.col("today"))
+    return due.withColumn("last_trained", F.coalesce("last_trained", F.lit("1900-01-01").cast("date"))).fillna(-1, ["age_days"])
 
 
 @case("o19_neutral_prediction", "ticker date:d direction_prob:6 predicted_return:6 confidence:6 signal", "SELECT e.ticker, e.date, coalesce(score, 0.5) AS direction_prob, coalesce((score - 0.5) * 10, 0) AS predicted_return, coalesce(abs(score - 0.5) * 2, 0) AS confidence, CASE WHEN score IS NULL THEN 'HOLD' WHEN score > 0.5 THEN 'BUY' ELSE 'SELL' END AS signal FROM (SELECT t.ticker, m.date FROM (SELECT DISTINCT ticker FROM prices) t CROSS JOIN mends m) e JOIN (SELECT ticker, min(date) AS f FROM prices GROUP BY 1) a ON a.ticker = e.ticker AND e.date >= a.f LEFT JOIN (SELECT * FROM scores WHERE score IS NOT NULL) s ON s.ticker = e.ticker AND s.date = e.date")
