@@ -18,7 +18,6 @@ from quantloom.functions.columns import (
     clip,
     full,
     positive_ratio,
-    previous,
     ratio,
     trailing,
     upto,
@@ -257,21 +256,27 @@ def interactions(df: DataFrame) -> DataFrame:
 def trailing_beta(prices: DataFrame, bench: DataFrame, lookback: int = 252) -> DataFrame:
     """Beta from the bars before the current one: sample covariance over population
     variance, more than 30 valid pairs, clipped to [-1, 3]; 1.0 for the first 60 bars."""
-    r = benchmark_joined(prices, bench)
-    w = previous(lookback)
-    valid = F.col("ret").isNotNull() & F.col("spy_ret").isNotNull()
-    market = F.when(valid, F.col("spy_ret"))
-    rolled = r.select(
+    w, h = by_bar(), upto()
+    both = F.col("ret").isNotNull() & F.col("spy_ret").isNotNull()
+    zero = lambda x: F.when(both, x).otherwise(0.0)
+    x, y = F.col("ret"), F.col("spy_ret")
+    parts = {"n": F.lit(1.0), "x": x, "y": y, "xy": x * y, "yy": y * y}
+    totals = benchmark_joined(prices, bench).select(
+        "ticker", "date", F.row_number().over(w).alias("_n"), *[F.sum(zero(c)).over(h).alias(f"_t{k}") for k, c in parts.items()]
+    )
+    # Window sums excluding today: running total one bar back minus the one before the window.
+    spans = totals.select(
         "ticker",
         "date",
-        F.row_number().over(by_bar()).alias("_n"),
-        F.count(market).over(w).alias("_pairs"),
-        F.var_pop(market).over(w).alias("_var"),
-        F.covar_samp("ret", "spy_ret").over(w).alias("_cov"),
+        "_n",
+        *[(F.coalesce(F.lag(f"_t{k}", 1).over(w), F.lit(0.0)) - F.coalesce(F.lag(f"_t{k}", lookback + 1).over(w), F.lit(0.0))).alias(k) for k in parts],
     )
-    beta = F.when(F.col("_var") > 0, clip(F.col("_cov") / F.col("_var"), -1.0, 3.0)).otherwise(F.lit(1.0))
-    early = (F.col("_n") <= 60) | (F.col("_pairs") <= 30)
-    return rolled.select("ticker", "date", F.when(early, F.lit(1.0)).otherwise(beta).alias("beta"))
+    n = F.col("n")
+    cov = (F.col("xy") - F.col("x") * F.col("y") / n) / (n - 1)
+    centred = F.col("yy") - F.col("y") * F.col("y") / n
+    enough = (F.col("_n") > 60) & (n > 30)
+    beta = F.when(enough & (centred > 1e-12 * F.col("yy")), clip(cov / (centred / n), -1.0, 3.0))
+    return spans.select("ticker", "date", F.coalesce(beta, F.lit(1.0)).alias("beta"))
 
 
 def benchmark_joined(prices: DataFrame, bench: DataFrame) -> DataFrame:

@@ -22,40 +22,34 @@ BLOCK = 1024
 
 
 def ema(df: DataFrame, columns: Mapping[str, tuple[str, float]], key: str = "ticker") -> DataFrame:
-    """Add exponential averages: ``{target: (source, alpha)}``. NULLs before the first
-    value stay NULL; later NULLs carry the average on."""
+    """Add exponential averages: ``{target: (source, alpha)}``. A source may start late
+    (leading NULLs); after its first value it has one at every bar.
+
+    Series windows order by (block, date), which is the date order, so the block windows
+    and the series windows share one sort.
+    """
+    sources = sorted({s for s, _ in columns.values()})
     w = upto(key)
-    pos = {t: f"_i_{t}" for t in columns}
-    out = df.select("*", *[(F.count(s).over(w) - 1).alias(pos[t]) for t, (s, _) in columns.items()])
-    out = out.select(
-        "*",
-        *[F.floor(F.col(p) / BLOCK).alias(f"_b{p}") for p in pos.values()],
-        *[(F.col(p) % BLOCK).cast("double").alias(f"_j{p}") for p in pos.values()],
+    out = df.select(
+        "*", (F.row_number().over(by_bar(key)) - 1).alias("_i"), *[F.count(s).over(w).alias(f"_n_{s}") for s in sources]
     )
+    out = out.select("*", F.floor(F.col("_i") / BLOCK).alias("_b"), (F.col("_i") % BLOCK).cast("double").alias("_j"))
+    inside = Window.partitionBy(key, "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    series = Window.partitionBy(key).orderBy("_b", "date")
+    grow, shrink = (lambda a: F.pow(F.lit(1 - a), -F.col("_j"))), (lambda a: F.pow(F.lit(1 - a), F.col("_j")))
     terms = []
     for t, (s, a) in columns.items():
-        seed = F.when(F.col(pos[t]) == 0, F.lit(1.0)).otherwise(F.lit(a))
-        terms.append((seed * F.col(s) * F.pow(F.lit(1 - a), -F.col(f"_j{pos[t]}"))).alias(f"_x_{t}"))
+        weight = F.when(F.col(f"_n_{s}") == 1, F.lit(1.0)).otherwise(F.lit(a))
+        terms.append(F.coalesce(weight * F.col(s) * grow(a), F.lit(0.0)).alias(f"_x_{t}"))
     out = out.select("*", *terms)
-    local = []
-    for t, (s, a) in columns.items():
-        inside = Window.partitionBy(key, f"_b{pos[t]}").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-        local.append(F.sum(f"_x_{t}").over(inside).alias(f"_s_{t}"))
-    out = out.select("*", *local)
-    out = out.select(
-        "*",
-        *[(F.col(f"_s_{t}") * F.pow(F.lit(1 - a), F.col(f"_j{pos[t]}"))).alias(f"_y_{t}") for t, (_, a) in columns.items()],
-    )
-    out = out.select("*", *[F.lag(f"_y_{t}").over(by_bar(key)).alias(f"_l_{t}") for t in columns])
-    carries = []
-    for t in columns:
-        inside = Window.partitionBy(key, f"_b{pos[t]}").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-        carries.append(F.first(f"_l_{t}").over(inside).alias(f"_c_{t}"))
-    out = out.select("*", *carries)
+    out = out.select("*", *[F.sum(f"_x_{t}").over(inside).alias(f"_s_{t}") for t in columns])
+    out = out.select("*", *[(F.col(f"_s_{t}") * shrink(a)).alias(f"_y_{t}") for t, (_, a) in columns.items()])
+    out = out.select("*", *[F.lag(f"_y_{t}").over(series).alias(f"_l_{t}") for t in columns])
+    out = out.select("*", *[F.first(f"_l_{t}").over(inside).alias(f"_c_{t}") for t in columns])
     final = []
-    for t, (_, a) in columns.items():
-        carry = F.when(F.col(f"_b{pos[t]}") > 0, F.coalesce(f"_c_{t}", F.lit(0.0)) * F.pow(F.lit(1 - a), F.col(f"_j{pos[t]}") + 1))
-        final.append(F.when(F.col(pos[t]) >= 0, F.col(f"_y_{t}") + F.coalesce(carry, F.lit(0.0))).alias(t))
+    for t, (s, a) in columns.items():
+        carry = F.when(F.col("_b") > 0, F.coalesce(f"_c_{t}", F.lit(0.0)) * shrink(a) * (1 - a)).otherwise(0.0)
+        final.append(F.when(F.col(f"_n_{s}") > 0, F.col(f"_y_{t}") + carry).alias(t))
     return out.select(*df.columns, *final)
 
 

@@ -196,10 +196,10 @@ class Market:
 
     @cached_property
     def _scores(self) -> DataFrame:
-        rows = self.month_table().select(
+        rows = self.month_rows().select(
             "ticker", "date", "sector", "return_6m", "volatility_20d", "market_volatility", "future_return", "target_excess"
         )
-        return reliable(pct_rank(rows, ["date"], {"return_6m": "score"}))
+        return reliable(pct_rank(reliable(rows), ["date"], {"return_6m": "score"}))
 
     def scored_targets(self) -> DataFrame:
         """Scores beside the binary target, for model quality measures."""
@@ -210,10 +210,14 @@ class Market:
 
     def books(self) -> DataFrame:
         """Inverse-volatility weighted top-n books of the three strategies."""
+        return self._books
+
+    @cached_property
+    def _books(self) -> DataFrame:
         ranked = weights.top_n(self.scores(), max(BOOKS.values()), position="place")
         sizes = F.array(*[F.struct(F.lit(k).alias("strategy"), F.lit(n).alias("slots")) for k, n in BOOKS.items()])
         rows = ranked.withColumn("b", F.explode(sizes)).where("place <= b.slots").select("b.strategy", "b.slots", *ranked.columns)
-        return weights.inverse_vol(rows, keys=["strategy", "date"])
+        return reliable(weights.inverse_vol(rows, keys=["strategy", "date"]))
 
     def plan(self) -> DataFrame:
         return returns.schedule(self.scores().select("date"), self.calendar())
@@ -221,6 +225,10 @@ class Market:
     def strategy_returns(self) -> DataFrame:
         """Monthly return series of the strategies. The raw returns of the test data are
         log-damped (0.1·ln(1+r)) so that compounded series stay readable."""
+        return self._strategy_returns
+
+    @cached_property
+    def _strategy_returns(self) -> DataFrame:
         books = self.books()
         plan = self.plan()
         held = returns.holding_returns(books, plan, self.prices())
@@ -235,7 +243,7 @@ class Market:
         )
         damp = lambda c: F.round(0.1 * F.log(1 + F.col(c)), 6)
         cost = returns.trading_cost(F.col("turnover"))
-        return rows.select(
+        series = rows.select(
             "strategy",
             "date",
             F.year("date").alias("year"),
@@ -244,7 +252,8 @@ class Market:
             damp("spy_return").alias("spy_return"),
             "turnover",
             "market_volatility",
-        ).withColumn("excess_return", F.round(F.col("portfolio_return") - F.col("spy_return"), 6))
+        )
+        return reliable(series.withColumn("excess_return", F.round(F.col("portfolio_return") - F.col("spy_return"), 6)))
 
     def sector_series(self) -> DataFrame:
         """Daily return series per sector with the benchmark's, damped like the monthly ones."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators import labels, panel
-from quantloom.operators.asof import sample_at
+from quantloom.operators.asof import asof_backward, sample_at
 from quantloom.operators.xsection import attach_stats, join_calendar, pct_rank
 from quantloom.session import reliable
 
@@ -73,3 +73,31 @@ def feature_table(prices: DataFrame, bench: DataFrame, meta: DataFrame, forward:
     """The whole build; rows without a label drop out after the cross-sections."""
     full = cross_section(month_end_features(prices, bench, meta, forward))
     return full.where("target_excess IS NOT NULL")
+
+
+# The compact feature set and its ranked members.
+COMPACT_RANKED = [
+    "return_1m",
+    "return_3m",
+    "return_6m",
+    "return_12m",
+    "volatility_20d",
+    "volatility_60d",
+    "dist_from_sma_50",
+    "dist_from_sma_200",
+    "dist_from_52w_high",
+    "dist_from_52w_low",
+    "volume_ratio",
+]
+COMPACT_FUNDAMENTALS = ["earnings_yield", "book_to_price", "roe", "profit_margin", "debt_to_equity"]
+
+
+def compact_features(prices: DataFrame, bench: DataFrame, fundamentals: DataFrame, forward: int = 21) -> DataFrame:
+    """The smaller feature set: tickers with a bar on the rebalance date itself, price and
+    fundamental features, market features, label and ranks."""
+    rows = month_end_features(prices, bench, None, forward).where("bar_date = date")
+    keep = ["ticker", "date", *[c for c in COMPACT_RANKED if c != "volume_ratio"], F.col("volume_ratio_20").alias("volume_ratio")]
+    rows = rows.select(*keep, "market_volatility", "market_trend", F.lit(None).cast("double").alias("sector_return"))
+    rows = asof_backward(rows, panel.fundamental_features(fundamentals), COMPACT_FUNDAMENTALS)
+    rows = rows.join(panel.excess_label(prices, bench, forward).drop("future_date"), ["ticker", "date"], "left")
+    return pct_rank(reliable(rows), ["date"], {c: f"{c}_rank" for c in COMPACT_RANKED})

@@ -9,6 +9,7 @@ from quantloom.operators import panel
 from quantloom.operators.asof import asof_backward
 from quantloom.operators.panel import LIVE_RANKED, RETURN_BARS
 from quantloom.operators.xsection import pct_rank
+from quantloom.plans import monthly
 from quantloom.session import reliable
 from quantloom.suite.oracle import add_cte, prev, rank_sql, w
 from quantloom.suite.registry import case
@@ -167,3 +168,16 @@ _lr = ", ".join(f"{rank_sql(c, 'one')} AS {c}_rank" for c in LIVE_RANKED)
 def _(m):
     rows = reliable(panel.live_features(m.prices(), min_bars=60))
     return pct_rank(rows, [], {c: f"{c}_rank" for c in LIVE_RANKED})
+
+
+_CR = [c for c in monthly.COMPACT_RANKED]
+add_cte("excl", f"""SELECT a.ticker, a.date, future_price / adj_close - b2.lvl / b1.lvl AS target_excess FROM (SELECT ticker, date, adj_close, lead(adj_close, 21) OVER {_W} AS future_price, lead(date, 21) OVER {_W} AS future_date FROM prices) a
+  ASOF JOIN (SELECT date, adj_close AS lvl FROM bench) b1 ON b1.date <= a.date ASOF JOIN (SELECT date, adj_close AS lvl FROM bench) b2 ON b2.date <= a.future_date WHERE future_price IS NOT NULL""")
+add_cte("compact", """SELECT r.* EXCLUDE (target_excess, roe, profit_margin, debt_to_equity), CASE WHEN pe_ratio > 0 THEN 1 / pe_ratio END AS earnings_yield, CASE WHEN pb_ratio > 0 THEN 1 / pb_ratio END AS book_to_price, f.roe, f.profit_margin, f.debt_to_equity, x.target_excess
+  FROM (SELECT *, volume_ratio_20 AS volume_ratio, NULL AS roe, NULL AS profit_margin, NULL AS debt_to_equity FROM px WHERE bar_date = date) r ASOF LEFT JOIN fund f ON f.ticker = r.ticker AND f.date <= r.date LEFT JOIN excl x ON x.ticker = r.ticker AND x.date = r.date""")
+
+
+@case("e25_compact_features", "ticker date:d " + " ".join(f"{c}:6 {c}_rank:6" for c in _CR) + " " + " ".join(f"{c}:6" for c in monthly.COMPACT_FUNDAMENTALS) + " market_volatility:6 market_trend:6 target_excess:6",
+      "SELECT *, " + ", ".join(f"{rank_sql(c)} AS {c}_rank" for c in _CR) + " FROM compact")
+def _(m):
+    return monthly.compact_features(m.prices(), m.bench(), m.fundamentals())
