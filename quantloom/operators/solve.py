@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import by_bar
 from quantloom.operators import weights
-from quantloom.session import reliable
+from quantloom.session import reliable, scratch
 
 KEYS = ("strategy", "date")
 
@@ -150,17 +150,17 @@ def turnover_path(targets: DataFrame, step: float = 0.05, dust: float = 0.001, k
     held before it.
 
     The recursion runs over rebalance dates (a calendar, read to the driver); one date of
-    all strategies is one distributed step, so no strategy is gathered into a task. Steps
-    are checkpointed to keep the plan short.
+    all strategies is one distributed step, so no strategy is gathered into a task. Each
+    step is written to the shared folder and read back, which keeps every plan short.
     """
     keys = list(keys)
+    spark = targets.sparkSession
     targets = reliable(targets.select(*keys, "date", "ticker", "weight"))
     dates = [r[0] for r in targets.select("date").distinct().orderBy("date").collect()]
-    held, done = None, None
+    root, held = scratch(spark, "turnover"), None
     for day in dates:
-        today = targets.where(F.col("date") == F.lit(day)).drop("date")
+        today = targets.where(F.col("date") == F.lit(day)).select(*keys, "ticker", "weight")
         now = today if held is None else weights.limit_turnover(today, held, keys, step, dust)
-        now = reliable(now.select(*keys, "ticker", "weight").coalesce(8))
-        dated = now.withColumn("date", F.lit(day))
-        held, done = now, dated if done is None else done.unionByName(dated)
-    return done
+        now.select(*keys, "ticker", "weight").write.parquet(f"{root}/date={day}")
+        held = spark.read.schema(today.schema).parquet(f"{root}/date={day}")
+    return spark.read.schema(targets.schema).parquet(root)
