@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import exact_dedup, mixing, url_filter
+from quantloom.llm import exact_dedup, language, mixing, tokens, toxicity, url_filter
 from quantloom.llm.common import table
 
 
@@ -12,8 +12,11 @@ def _over(name, build):
 
 QUERIES = {
     "op1_exact_dedup": _over("documents", exact_dedup.op1),
+    "op4_language_id": _over("documents", language.op4),
     "op7_url_filter": _over("pages", url_filter.op7),
+    "op8_toxicity": lambda spark, folder: toxicity.op8(table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op9_mixing": _over("documents", mixing.op9),
+    "op10_token_counts": _over("documents", tokens.op10),
 }
 
 ORACLE = {
