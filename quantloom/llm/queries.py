@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import exact_dedup, language, mixing, tokens, toxicity, url_filter
+from quantloom.llm import decontamination, exact_dedup, language, mixing, tokens, toxicity, url_filter
 from quantloom.llm.common import table
 
 
@@ -12,6 +12,7 @@ def _over(name, build):
 
 QUERIES = {
     "op1_exact_dedup": _over("documents", exact_dedup.op1),
+    "op3_decontamination": lambda spark, folder: decontamination.op3(table(spark, folder, "documents"), table(spark, folder, "benchmark")),
     "op4_language_id": _over("documents", language.op4),
     "op7_url_filter": _over("pages", url_filter.op7),
     "op8_toxicity": lambda spark, folder: toxicity.op8(table(spark, folder, "documents"), table(spark, folder, "labels")),
@@ -21,6 +22,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op3_decontamination": decontamination.OP3_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
