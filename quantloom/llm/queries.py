@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontamination, exact_dedup, language, mixing, tokens, toxicity, url_filter
+from quantloom.llm import decontamination, exact_dedup, language, mixing, near_dedup, tokens, toxicity, url_filter
 from quantloom.llm.common import table
 
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_exact_dedup": _over("documents", exact_dedup.op1),
     "op3_decontamination": lambda spark, folder: decontamination.op3(table(spark, folder, "documents"), table(spark, folder, "benchmark")),
     "op4_language_id": _over("documents", language.op4),
+    "op6_near_dedup": _over("documents", near_dedup.op6),
     "op7_url_filter": _over("pages", url_filter.op7),
     "op8_toxicity": lambda spark, folder: toxicity.op8(table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op9_mixing": _over("documents", mixing.op9),
