@@ -45,7 +45,8 @@ PER_LABEL = 2500
 THRESHOLD = 0.3
 #: A lexicon entry stands in so many sampled toxic documents (or this share of them), after so many
 #: different words (copies of one text show one), at least.
-LEAST_DOCS, LEAST_SHARE, LEAST_PLACES = 3, 0.01, 3
+LEAST_DOCS, LEAST_SHARE = 3, 0.01
+LEAST_PLACES, PLACES_PER_DOC = 3, 0.4
 #: Share of toxic documents among those with the entry: sure insults, and suspect words.
 SURE, SUSPECT_FROM = 0.95, 0.4
 BEGINNINGS = (4, 5, 6, 7)
@@ -281,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Gra
     a, b = F.col("a") * (known[1] / totals[1]), F.col("b") * (known[0] / totals[0])
     passing = evidence.groupBy("feature").agg(
         F.count(toxic).alias("a"), (F.count("*") - F.count(toxic)).alias("b"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("places"))
-    passing = passing.where((F.col("a") >= max(LEAST_DOCS, LEAST_SHARE * totals[1])) & (F.col("places") >= LEAST_PLACES)).select("feature", (a / (a + b)).alias("likely")).where(F.col("likely") >= SUSPECT_FROM)
+    passing = passing.where((F.col("a") >= max(LEAST_DOCS, LEAST_SHARE * totals[1])) & (F.col("places") >= F.greatest(F.lit(LEAST_PLACES), F.col("a") * PLACES_PER_DOC))).select("feature", (a / (a + b)).alias("likely")).where(F.col("likely") >= SUSPECT_FROM)
     rows = evidence.where("toxic = 1").join(passing, "feature").groupBy("doc_id").agg(F.collect_list(F.struct("feature", "likely")).alias("found")).collect()
     likely = {x.feature: x.likely for r in rows for x in r.found}
     sure, suspect = choose({r.doc_id: [x.feature for x in r.found] for r in rows}, likely)
