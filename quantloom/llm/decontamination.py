@@ -153,7 +153,8 @@ def intersect(queries: Queries, terms: np.ndarray, places: np.ndarray, slop: int
             fits = lists[np.minimum(near, len(lists) - 1)]
             kept = (near < len(lists)) & (fits <= wanted + slop) & (fits >= wanted - slop)
             window, start = window[kept], start[kept]
-        yield window, start
+        if len(window):
+            yield window, start
 
 
 def matches(post: Column, queries: Queries, slop: int = 0) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quantloom.llm import decontamination, exact_dedup, language, mixing, near_dedup, tokens, toxicity, url_filter
-from quantloom.llm.common import table
+from quantloom.llm.common import stored, table  # noqa: F401
 
 
 def _over(name, build):
