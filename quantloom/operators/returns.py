@@ -203,7 +203,8 @@ def last_in_window(spans: DataFrame, prices: DataFrame, start: str, end: str, pr
 def next_trading_day(dates: DataFrame, prices: DataFrame) -> DataFrame:
     """First trading day strictly after each date, trading day or not."""
     calendar = trading_calendar(prices).select("date").withColumn("series", F.lit("calendar"))
-    asked = dates.select(F.col("date").alias("asked_date"), F.date_add("date", 1).alias("date")).withColumn("series", F.lit("calendar"))
+    # both sides are calendars: one row per date
+    asked = dates.select("date").distinct().select(F.col("date").alias("asked_date"), F.date_add("date", 1).alias("date")).withColumn("series", F.lit("calendar"))
     return asof_forward(asked, calendar.withColumn("next_date", F.col("date")), ["next_date"], on=["series"]).select(
         F.col("asked_date").alias("date"), "next_date"
     )

@@ -73,7 +73,7 @@ def tail_risk(returns: DataFrame, value: str = "r", level: float = 0.95, keys: S
     """VaR and the mean loss strictly beyond it (VaR itself when there is none)."""
     var = returns.groupBy(*keys).agg(historical_var(value, level).alias("var"))
     beyond = F.when(F.col(value) < -F.col("var"), F.col(value))
-    out = returns.join(F.broadcast(var), list(keys)).groupBy(*keys, "var").agg((-F.avg(beyond)).alias("_c"))
+    out = returns.join(var, list(keys)).groupBy(*keys, "var").agg((-F.avg(beyond)).alias("_c"))
     return out.withColumn("cvar", F.greatest(F.coalesce("_c", "var"), F.lit(0.0))).drop("_c")
 
 
@@ -102,7 +102,7 @@ def downside_deviation(value: str = "r", threshold: float = 0.0, periods: int =
 def calmar(returns: DataFrame, value: str = "r", periods: int = 252, keys: Sequence[str] = STRATEGY) -> DataFrame:
     """Annualised mean over the worst drawdown; NULL (unbounded) without drawdown and with gain."""
     mean = returns.groupBy(*keys).agg((F.avg(value) * periods).alias("annual_mean"))
-    out = mean.join(F.broadcast(max_drawdown(returns, value, keys)), list(keys))
+    out = mean.join(max_drawdown(returns, value, keys), list(keys))
     value_ = F.when(F.col("max_drawdown") != 0, F.col("annual_mean") / F.abs("max_drawdown")).when(F.col("annual_mean") <= 0, F.lit(0.0))
     return out.withColumn("calmar", value_)
 
@@ -118,8 +118,8 @@ def all_metrics(returns: DataFrame, value: str = "r", rf: float = 0.04, level: f
         sortino(value, rf, periods).alias("sortino_ratio"),
         omega(value, rf / periods).alias("omega_ratio"),
     )
-    out = base.join(F.broadcast(tail_risk(returns, value, level, keys)), list(keys))
-    out = out.join(F.broadcast(calmar(returns, value, periods, keys).drop("annual_mean")), list(keys))
+    out = base.join(tail_risk(returns, value, level, keys), list(keys))
+    out = out.join(calmar(returns, value, periods, keys).drop("annual_mean"), list(keys))
     return out.withColumn("sharpe_ratio", (F.col("mean_return") - rf) / F.col("volatility"))
 
 
@@ -145,7 +145,7 @@ def tear_sheet(monthly: DataFrame, rf: float = 0.05, keys: Sequence[str] = STRAT
     )
     dd = max_drawdown(monthly.withColumn("r", p), "r", keys)
     spy_dd = max_drawdown(monthly.withColumn("r", b), "r", keys).withColumnRenamed("max_drawdown", "spy_max_drawdown")
-    out = out.join(F.broadcast(dd), list(keys)).join(F.broadcast(spy_dd), list(keys))
+    out = out.join(dd, list(keys)).join(spy_dd, list(keys))
     over = lambda num, den: F.when(den > 0, num / den).otherwise(0.0)
     down = F.coalesce("_down", "volatility")
     out = out.select(
@@ -180,7 +180,7 @@ def equity_metrics(daily: DataFrame, value: str = "r", benchmark: str = "b", rf:
         downside(value).alias("_down"),
     )
     annual = lambda c: F.pow(1 + F.col(c), 365.0 / F.col("days")) - 1
-    out = base.join(F.broadcast(max_drawdown(daily, value, keys)), list(keys))
+    out = base.join(max_drawdown(daily, value, keys), list(keys))
     out = out.withColumn("annual_return", annual("total_return")).withColumn("annual_benchmark", annual("benchmark_return"))
     excess = F.col("_mu") - rf / 252
     return out.select(
@@ -219,7 +219,7 @@ def assess(sheet: DataFrame, years: DataFrame, precision: DataFrame | None = Non
     """Verbal labels of a tear sheet, and a verdict from the share of years ahead and the
     average precision of the top decile (``precision``: one row, ``avg_precision``)."""
     share = years.groupBy(*keys).agg(F.avg((F.col("excess_return") > 0).cast("double")).alias("share_ahead"))
-    rows = sheet.join(F.broadcast(share), list(keys))
+    rows = sheet.join(share, list(keys))
     if precision is None:
         rows = rows.withColumn("avg_precision", F.lit(None).cast("double"))
     else:

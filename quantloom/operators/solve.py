@@ -47,7 +47,7 @@ def _covariance(x: np.ndarray, annual: float = 252.0, shrinkage: float = 0.3) ->
 
 def project_capped_simplex(w: np.ndarray, low: float, high: float) -> np.ndarray:
     """Nearest vector with low ≤ w ≤ high and Σ w = 1, by bisection on the shift. Bounds
-    too tight for the number of names are widened to 1/n."""
+    that no such vector can meet (see ``feasible``) are widened to 1/n."""
     n = len(w)
     low, high = min(low, 1.0 / n), max(high, 1.0 / n)
     a, b = w.min() - high - 1.0, w.max() - low + 1.0
@@ -60,6 +60,11 @@ def project_capped_simplex(w: np.ndarray, low: float, high: float) -> np.ndarray
     return np.clip(w - (a + b) / 2, low, high)
 
 
+def feasible(n: int, low: float, high: float) -> bool:
+    """Whether n weights within the bounds can sum to 1."""
+    return n * low <= 1.0 <= n * high
+
+
 def kelly_weights(samples: DataFrame, max_position: float = 0.25, shrinkage: float = 0.3, keys: Sequence[str] = KEYS) -> DataFrame:
     """Σ⁻¹μ per group, floored at 0, capped, scaled to 1; equal weights if nothing is left."""
     keys = list(keys)
@@ -91,7 +96,8 @@ def constrained_weights(
     """Long-only weights with box bounds by projected gradient per group.
 
     ``max_sharpe`` and ``mean_variance`` use the score as expected return; ``risk_parity``
-    equalises each name's share of the variance.
+    equalises each name's share of the variance. ``bounds_met`` is false where a group has too
+    few or too many names for the bounds, which are then widened to 1/n.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
@@ -102,14 +108,16 @@ def constrained_weights(
         cov = _covariance(x)
         n = len(names)
         scale = np.trace(cov) / n
+        # one scale for return and risk, so that the trade-off between them is as given
         cov, w = cov / scale, np.full(n, 1.0 / n)
+        gain = mu / scale
 
         def objective(v: np.ndarray) -> float:
             var = v @ cov @ v
             if method == "min_variance":
                 return var
             if method == "mean_variance":
-                return risk_aversion / 2 * var - v @ mu
+                return risk_aversion / 2 * var - v @ gain
             if method == "max_sharpe":
                 return -(v @ mu - rf) / np.sqrt(var)
             part = v * (cov @ v) / var
@@ -138,11 +146,11 @@ def constrained_weights(
                 rate *= 0.5
                 if rate < 1e-8:
                     break
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * n for k in keys}, "ticker": names, "weight": project_capped_simplex(w, low, high)})
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * n for k in keys}, "ticker": names, "weight": project_capped_simplex(w, low, high), "bounds_met": feasible(n, low, high)})
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.schema if f.name in keys)
     ordered = samples.select(*[c for c in samples.columns if c in keys], "ticker", "lag_date", "ret", "score")
-    return ordered.groupBy(*keys).applyInPandas(solve, f"{schema}, ticker string, weight double")
+    return ordered.groupBy(*keys).applyInPandas(solve, f"{schema}, ticker string, weight double, bounds_met boolean")
 
 
 def turnover_path(targets: DataFrame, step: float = 0.05, dust: float = 0.001, keys: Sequence[str] = ("strategy",)) -> DataFrame:

@@ -2,14 +2,16 @@
 
 Exponential averages are recursive, y(t) = (1−a)·y(t−1) + a·x(t), seeded with the first
 value. They are computed with windows, not with per-row Python: the series is cut into
-blocks of 1,024 bars, inside a block the recursion has the closed form
+blocks, inside a block the recursion has the closed form
 (1−a)^j · Σ a·x(i)·(1−a)^(−i), and the carry from earlier blocks is the closing value of
-the previous block. Contributions older than one full block are below 10^-30 relative
-and vanish in double precision, so this equals the recursion.
+the previous block. The block length follows from a: as long as the growing factor stays
+finite (below 10^200), which is also so long that what is older than one full block weighs
+less than 10^-30 and cannot change a double. Averages whose lengths fit share their blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
@@ -18,12 +20,38 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import by_bar, full, ratio, trailing, upto
 from quantloom.session import spread
 
-BLOCK = 1024
+#: Largest growing factor inside a block, and the greatest weight that may be left out.
+GROWTH, NEGLIGIBLE = 1e200, 1e-30
+
+
+def _block_length(alpha: float) -> int:
+    return max(1, int(math.log(GROWTH) / -math.log1p(-alpha))) if alpha < 1 else 1
+
+
+def _shared_blocks(columns: Mapping[str, tuple[str, float]]) -> list[tuple[int, dict[str, tuple[str, float]]]]:
+    """(block length, columns): columns share the blocks of the fastest one as long as a block
+    still covers all the history that they can show."""
+    out: list[tuple[int, dict]] = []
+    for name, (source, alpha) in sorted(columns.items(), key=lambda c: -c[1][1]):
+        if out and (alpha >= 1 or (1 - alpha) ** out[-1][0] <= NEGLIGIBLE):
+            out[-1][1][name] = (source, alpha)
+        else:
+            out.append((_block_length(alpha), {name: (source, alpha)}))
+    return out
 
 
 def ema(df: DataFrame, columns: Mapping[str, tuple[str, float]], key: str = "ticker") -> DataFrame:
     """Add exponential averages: ``{target: (source, alpha)}``. A source may start late
     (leading NULLs); after its first value it has one at every bar.
+    """
+    out = df
+    for block, some in _shared_blocks(columns):
+        out = _ema(out, some, key, block)
+    return out.select(*df.columns, *columns)
+
+
+def _ema(df: DataFrame, columns: Mapping[str, tuple[str, float]], key: str, block: int) -> DataFrame:
+    """Exponential averages over blocks of one length.
 
     Series windows order by (block, date), which is the date order, so the block windows
     and the series windows share one sort.
@@ -33,7 +61,7 @@ def ema(df: DataFrame, columns: Mapping[str, tuple[str, float]], key: str = "tic
     out = df.select(
         "*", (F.row_number().over(by_bar(key)) - 1).alias("_i"), *[F.count(s).over(w).alias(f"_n_{s}") for s in sources]
     )
-    out = out.select("*", F.floor(F.col("_i") / BLOCK).alias("_b"), (F.col("_i") % BLOCK).cast("double").alias("_j"))
+    out = out.select("*", F.floor(F.col("_i") / block).alias("_b"), (F.col("_i") % block).cast("double").alias("_j"))
     inside = Window.partitionBy(key, "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     series = Window.partitionBy(key).orderBy("_b", "date")
     grow, shrink = (lambda a: F.pow(F.lit(1 - a), -F.col("_j"))), (lambda a: F.pow(F.lit(1 - a), F.col("_j")))

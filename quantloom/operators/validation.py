@@ -10,46 +10,53 @@ import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.columns import by_bar, correlation, full, trailing
+from quantloom.functions.columns import correlation, full, trailing
 from quantloom.functions.distributions import p_normal, p_student
 from quantloom.operators.xsection import pct_rank
 
 STRATEGY = ("strategy",)
 
 
-def _draw(*parts: Column) -> Column:
-    """Uniform in (0, 1) from a hash of the parts."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
+#: Iterations that one row carries to a task.
+ROUND = 100
 
 
-def _indexed(returns: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    w = by_bar(*keys)
-    return returns.where(F.col(value).isNotNull()).select(*keys, (F.row_number().over(w) - 1).alias("idx"), F.col(value).alias("x"))
+def _draw(*parts: Column) -> Column:
+    """Uniform in (0, 1) from the MD5 of the parts, which any engine repeats."""
+    digest = F.substring(F.md5(F.concat_ws("/", *[p.cast("string") for p in parts])), 1, 13)
+    return (F.conv(digest, 16, 10).cast("double") + F.lit(0.5)) / F.lit(2.0**52)
 
 
-def bootstrap(returns: DataFrame, value: str = "r", n_iter: int = 10_000, seed: int = 42, keys: Sequence[str] = STRATEGY) -> DataFrame:
-    """Mean, P(mean ≤ 0) and 95 % interval from resampled means.
+def _iterations(series: DataFrame, n_iter: int, keys: Sequence[str]) -> DataFrame:
+    """Each series with every iteration number, spread over tasks in rounds.
 
-    The iterations of a series are spread over tasks; each draw picks an index by hash
-    and meets the series (a small table) by key.
+    A series is one array (a value per date, so bounded by the calendar); draws are made
+    inside the row and are never shuffled.
     """
+    rounds = F.explode(F.sequence(F.lit(0), F.lit((n_iter - 1) // ROUND)))
+    spread_ = series.withColumn("_round", rounds).repartition(*keys, "_round")
+    last = F.least(F.col("_round") * ROUND + ROUND - 1, F.lit(n_iter - 1))
+    return spread_.withColumn("iteration", F.explode(F.sequence(F.col("_round") * ROUND, last))).drop("_round")
+
+
+def bootstrap(returns: DataFrame, value: str = "r", n_iter: int = 10_000, seed: int = 42, keys: Sequence[str] = STRATEGY) -> DataFrame:
+    """Mean, P(mean ≤ 0) and 95 % interval from resampled means."""
     keys = list(keys)
-    rows = _indexed(returns, value, keys)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    rounds = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("iteration"))
-    rounds = rounds.repartition(*keys, "iteration")
-    draws = rounds.select(*keys, "n", "iteration", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k"))
-    draws = draws.withColumn("idx", F.floor(_draw(F.lit(seed), *[F.col(c) for c in keys], "iteration", "k") * F.col("n")).cast("int"))
-    means = draws.join(rows, [*keys, "idx"]).groupBy(*keys, "iteration").agg(F.avg("x").alias("m"))
-    out = means.groupBy(*keys).agg(
+    rows = returns.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.avg(value).alias("mean"), F.count(F.lit(1)).cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("date", F.col(value).alias("x")))).alias("xs"))
+    rows = rows.withColumn("xs", F.col("xs.x"))
+    draw = lambda k: F.get(F.col("xs"), F.floor(_draw(F.lit(seed), *[F.col(c) for c in keys], F.col("iteration"), k) * F.col("n")).cast("int"))
+    total = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda acc, k: acc + draw(k))
+    means = _iterations(rows, n_iter, keys).select(*keys, "mean", (total / F.col("n")).alias("m"))
+    return means.groupBy(*keys).agg(
+        F.first("mean").alias("mean"),
         F.avg((F.col("m") <= 0).cast("double")).alias("p_value"),
         F.percentile("m", 0.025).alias("ci_low"),
         F.percentile("m", 0.975).alias("ci_high"),
     )
-    return sizes.drop("n").join(out, keys)
 
 
 def information_coefficient(rows: DataFrame, by: Sequence[str], score: str, actual: str, key: Sequence[str] = ("ticker",), least: int = 10, p_values: bool = True) -> DataFrame:
@@ -90,16 +97,15 @@ def t_test(returns: DataFrame, value: str = "r", mean0: float = 0.0, keys: Seque
 
 
 def monte_carlo(returns: DataFrame, value: str = "r", n_sims: int = 10_000, periods: int | None = None, seed: int = 42, keys: Sequence[str] = STRATEGY) -> DataFrame:
-    """Terminal wealth of normal paths with the series' mean and spread."""
+    """Terminal wealth of normal paths with the series' mean and spread (Box-Muller from two draws)."""
     keys = list(keys)
     stats = returns.groupBy(*keys).agg(
         F.avg(value).alias("mu"), F.stddev_samp(value).alias("sd"), (F.lit(periods) if periods else F.count(value)).cast("int").alias("n")
     )
-    paths = stats.select(*keys, "mu", "sd", "n", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("path")).repartition(*keys, "path")
-    steps = paths.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("step"))
-    cols = [F.lit(seed), *[F.col(c) for c in keys], F.col("path"), F.col("step")]
-    normal = F.sqrt(-2 * F.log(_draw(*cols, F.lit(1)))) * F.cos(2 * math.pi * _draw(*cols, F.lit(2)))
-    wealth = steps.groupBy(*keys, "path").agg(F.product(1 + F.col("mu") + F.col("sd") * normal).alias("w"))
+    cols = [F.lit(seed), *[F.col(c) for c in keys], F.col("iteration")]
+    normal = lambda k: F.sqrt(-2 * F.log(_draw(*cols, k, F.lit(1)))) * F.cos(2 * math.pi * _draw(*cols, k, F.lit(2)))
+    path = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(1.0), lambda acc, k: acc * (1 + F.col("mu") + F.col("sd") * normal(k)))
+    wealth = _iterations(stats, n_sims, keys).select(*keys, path.alias("w"))
     return wealth.groupBy(*keys).agg(
         F.avg("w").alias("mean_terminal"),
         F.median("w").alias("median_terminal"),
@@ -122,25 +128,21 @@ def sharpe_test(returns: DataFrame, value: str = "r", benchmark: float = 0.40, r
 def permutation_test(returns: DataFrame, value: str = "r", benchmark: str = "b", n_iter: int = 10_000, seed: int = 42, keys: Sequence[str] = STRATEGY) -> DataFrame:
     """P(difference of means of a random relabelling ≥ the observed one).
 
-    A relabelling orders the pooled returns by hash and calls the first half strategy;
-    one (series, iteration) group is one pooled series, and iterations run in parallel.
+    A relabelling orders the pooled returns of a series by draws of (seed, series,
+    iteration, date, side) and calls the first ones strategy.
     """
     keys = list(keys)
-    pooled = returns.select(*keys, "date", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(value).alias("x")), F.struct(F.lit(1).alias("side"), F.col(benchmark).alias("x")))).alias("p"))
-    pooled = pooled.select(*keys, "date", "p.side", "p.x").where("x IS NOT NULL")
-    seen = pooled.groupBy(*keys).agg(
-        (F.avg(F.when(F.col("side") == 0, F.col("x"))) - F.avg(F.when(F.col("side") == 1, F.col("x")))).alias("observed_difference"),
-        F.count_if(F.col("side") == 0).alias("n_own"),
-        F.count(F.lit(1)).alias("n_all"),
-        F.sum("x").alias("total"),
-    )
-    rounds = pooled.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("iteration"))
-    order = Window.partitionBy(*keys, "iteration").orderBy(F.xxhash64(F.lit(seed), "iteration", "date", "side"), "date", "side")
-    shuffled = rounds.withColumn("k", F.row_number().over(order)).join(F.broadcast(seen), keys)
-    own = shuffled.where("k <= n_own").groupBy(*keys, "iteration", "n_own", "n_all", "total", "observed_difference").agg(F.sum("x").alias("s"))
-    diff = F.col("s") / F.col("n_own") - (F.col("total") - F.col("s")) / (F.col("n_all") - F.col("n_own"))
-    out = own.groupBy(*keys, "observed_difference").agg(F.avg((diff >= F.col("observed_difference")).cast("double")).alias("p_value"))
-    return out
+    own, other = F.collect_list(F.struct("date", F.lit(0).alias("side"), F.col(value).alias("x"))), F.collect_list(F.struct("date", F.lit(1).alias("side"), F.col(benchmark).alias("x")))
+    series = returns.groupBy(*keys).agg(
+        (F.avg(value) - F.avg(benchmark)).alias("observed_difference"), F.count(value).cast("int").alias("n_own"), F.concat(own, other).alias("pool"))
+    series = series.withColumn("pool", F.filter("pool", lambda p: p["x"].isNotNull()))
+    series = series.withColumn("total", F.aggregate("pool", F.lit(0.0), lambda acc, p: acc + p["x"]))
+    cols = [F.lit(seed), *[F.col(c) for c in keys], F.col("iteration")]
+    drawn = F.transform("pool", lambda p: F.struct(_draw(*cols, F.date_format(p["date"], "yyyy-MM-dd"), p["side"]).alias("u"), p["date"].alias("date"), p["side"].alias("side"), p["x"].alias("x")))
+    first = F.slice(F.array_sort(drawn), F.lit(1), F.col("n_own"))
+    rounds = _iterations(series, n_iter, keys).withColumn("s", F.aggregate(first, F.lit(0.0), lambda acc, p: acc + p["x"]))
+    diff = F.col("s") / F.col("n_own") - (F.col("total") - F.col("s")) / (F.size("pool") - F.col("n_own"))
+    return rounds.groupBy(*keys, "observed_difference").agg(F.avg((diff >= F.col("observed_difference")).cast("double")).alias("p_value"))
 
 
 def regime_stability(returns: DataFrame, value: str = "r", bars: int = 60, periods: int = 252, keys: Sequence[str] = STRATEGY) -> DataFrame:
@@ -148,7 +150,7 @@ def regime_stability(returns: DataFrame, value: str = "r", bars: int = 60, perio
     w = trailing(bars, *keys)
     rolled = returns.select(*keys, "date", F.col(value).alias("_x"), full(F.sum(value).over(w), F.count(value).over(w), bars).alias("_roll"))
     ends = rolled.groupBy(*keys).agg(F.min("_roll").alias("_lo"), F.max("_roll").alias("_hi"))
-    rows = rolled.where("_roll IS NOT NULL").join(F.broadcast(ends), list(keys))
+    rows = rolled.where("_roll IS NOT NULL").join(ends, list(keys))
     third = (F.col("_hi") - F.col("_lo")) / 3
     regime = F.when(F.col("_roll") <= F.col("_lo") + third, "Bear").when(F.col("_roll") <= F.col("_lo") + 2 * third, "Neutral").otherwise("Bull")
     out = rows.groupBy(*keys, regime.alias("regime")).agg(F.avg("_x").alias("_m"), F.stddev_samp("_x").alias("_s"), F.count(F.lit(1)).alias("n_periods"))
@@ -170,7 +172,7 @@ def mean_interval(returns: DataFrame, value: str = "r", level: float = 0.95, per
     return out.select(*keys, "mean_annual_return", (F.col("mean_annual_return") - half).alias("ci_lower"), (F.col("mean_annual_return") + half).alias("ci_upper"))
 
 
-def full_report(returns: DataFrame, value: str = "r", benchmark: str = "b", n_iter: int = 1_000, keys: Sequence[str] = STRATEGY) -> DataFrame:
+def full_report(returns: DataFrame, value: str = "r", benchmark: str = "b", n_iter: int = 10_000, keys: Sequence[str] = STRATEGY) -> DataFrame:
     """t-test, Monte Carlo, Sharpe test, permutation test and interval per series."""
     excess = returns.withColumn("_e", F.col(value) - F.col(benchmark))
     parts = [

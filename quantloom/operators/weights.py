@@ -76,7 +76,7 @@ def carried_forward(weights: DataFrame, keys: Sequence[str] = ("strategy",)) ->
     """Each date's weights keyed by the following rebalance date of the strategy."""
     dates = weights.select(*keys, "date").distinct()
     follow = dates.withColumn("_next", F.lead("date").over(Window.partitionBy(*keys).orderBy("date")))
-    moved = weights.join(F.broadcast(follow), [*keys, "date"]).where("_next IS NOT NULL")
+    moved = weights.join(follow, [*keys, "date"]).where("_next IS NOT NULL")
     return moved.drop("date").withColumnRenamed("_next", "date")
 
 
@@ -86,7 +86,7 @@ def weight_turnover(weights: DataFrame, keys: Sequence[str] = ("strategy",)) ->
     first = weights.groupBy(*keys).agg(F.min("date").alias("_first"))
     turn = both.groupBy(*keys, "date").agg((F.sum(F.abs(F.col("weight_now") - F.col("weight_before"))) / 2).alias("turnover"))
     return (
-        turn.join(F.broadcast(first), list(keys))
+        turn.join(first, list(keys))
         .withColumn("turnover", F.when(F.col("date") == F.col("_first"), 0.0).otherwise(F.col("turnover")))
         .drop("_first")
     )
@@ -102,7 +102,7 @@ def holdings_change(weights: DataFrame, slots: str | Column, keys: Sequence[str]
         F.count_if(F.expr("weight_before = 0 AND weight_now <> 0")).alias("entered"),
         F.count_if(F.expr("weight_now = 0 AND weight_before <> 0")).alias("exited"),
     )
-    out = out.join(F.broadcast(first), list(keys)).where("date > _first").drop("_first")
+    out = out.join(first, list(keys)).where("date > _first").drop("_first")
     return out.withColumn("turnover", (F.col("entered") + F.col("exited")) / (2.0 * size))
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import clip
-from quantloom.session import if_small
 
 BUCKETS_PER_OCTAVE = 64
 
@@ -33,8 +32,8 @@ def group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column])
     """Attach per-group aggregates as columns; no keys means one group of all rows.
 
     The one-row and the per-date table have a proven bound and are broadcast. Any other
-    table is broadcast only after its size was measured; beyond the limit the join
-    shuffles with adaptive skew splitting.
+    table is joined plainly: the adaptive planner broadcasts it where its measured bytes
+    allow, else it shuffles with skew splitting.
     """
     return attach_stats(df, [(keys, stats)])
 
@@ -49,7 +48,7 @@ def attach_stats(df: DataFrame, groups: Sequence[tuple[Sequence[str], Mapping[st
         elif list(keys) == ["date"]:
             out = join_calendar(out, table)
         else:
-            out = out.join(if_small(table), list(keys), "left")
+            out = out.join(table, list(keys), "left")
     return out
 
 

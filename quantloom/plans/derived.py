@@ -148,16 +148,18 @@ class Market:
         )
 
     def news(self) -> DataFrame:
-        """Scored articles; a dated headline per document."""
+        """Scored articles, one per document: the first line is the headline, longer texts
+        count with more confidence."""
         n = self.table("supplier").agg(F.count(F.lit(1)).alias("n_suppliers"))
         rows = self.table("documents").join(self.table("labels"), "doc_id", "left").crossJoin(F.broadcast(n))
-        confidence = F.least(F.col("n_chars"), F.lit(5000)) / 5000.0
+        confidence = F.col("n_chars") / (F.col("n_chars") + 2000.0)
         label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
         out = rows.select(
             "doc_id",
             F.concat(F.lit("S"), F.lpad((F.col("doc_id") % F.col("n_suppliers") + 1).cast("string"), 9, "0")).alias("ticker"),
             (F.lit("2000-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, cast(doc_id as int))")).alias("published_at"),
-            F.substring("text", 1, 40).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
+            "text",
             label.alias("label"),
             confidence.alias("confidence"),
             ((F.col("doc_id") % 10) / 10.0).alias("relevance"),

@@ -43,14 +43,15 @@ def _set_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder the cluster names.
+    """Cut lineage: write Parquet to the shared folder the cluster names and read it back.
 
-    Used where one result feeds several branches that must agree even when an
-    executor is lost. A temporary folder is chosen only in local runs that name none.
+    Used where one result feeds several branches that must agree even when an executor is
+    lost. The table keeps column pruning, pushdown and statistics. A temporary folder is
+    chosen only in local runs that name none.
     """
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        _set_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -70,13 +71,3 @@ def scratch(spark: SparkSession, name: str) -> str:
         _set_checkpoint_dir(spark)
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
-
-def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A broadcast side only when its measured size allows it.
-
-    The table (an aggregate) is written once, counted, and marked for broadcast up to
-    ``rows`` rows; beyond that it is returned plain and the join shuffles, with adaptive
-    skew splitting.
-    """
-    table = reliable(df)
-    return F.broadcast(table) if table.count() <= rows else table

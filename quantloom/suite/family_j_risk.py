@@ -72,12 +72,12 @@ def _(m):
     return m.sector_series().groupBy("strategy").agg(F.skewness("r").alias("skewness"), F.kurtosis("r").alias("kurtosis"))
 
 
-@case("j10_all_metrics", "strategy mean_return:6 volatility:6 sharpe_ratio:6 skewness:6 kurtosis:6 var:8 cvar:8 max_drawdown:6 downside_deviation:6 sortino_ratio:6 calmar:6 omega_ratio:6".replace(" var:8", ""),
-      f"""SELECT s.strategy, avg(r) * 252 AS mean_return, stddev_samp(r) * sqrt(252) AS volatility, (avg(r) * 252 - 0.04) / (stddev_samp(r) * sqrt(252)) AS sharpe_ratio, any_value(k.skewness) AS skewness, any_value(k.kurtosis) AS kurtosis, any_value(t.cvar) AS cvar,
+@case("j10_all_metrics", "strategy mean_return:6 volatility:6 sharpe_ratio:6 skewness:6 kurtosis:6 value_at_risk:8 cvar:8 max_drawdown:6 downside_deviation:6 sortino_ratio:6 calmar:6 omega_ratio:6",
+      f"""SELECT s.strategy, avg(r) * 252 AS mean_return, stddev_samp(r) * sqrt(252) AS volatility, (avg(r) * 252 - 0.04) / (stddev_samp(r) * sqrt(252)) AS sharpe_ratio, any_value(k.skewness) AS skewness, any_value(k.kurtosis) AS kurtosis, any_value(t.var) AS value_at_risk, any_value(t.cvar) AS cvar,
   any_value(d.max_drawdown) AS max_drawdown, stddev_samp(CASE WHEN r < 0 THEN r END) * sqrt(252) AS downside_deviation, (avg(r) - 0.04::DOUBLE / 252) / stddev_samp(CASE WHEN r < 0 THEN r END) AS sortino_ratio, avg(r) * 252 / abs(any_value(d.max_drawdown)) AS calmar,
   sum(greatest(r - 0.04::DOUBLE / 252, 0)) / -sum(least(r - 0.04::DOUBLE / 252, 0)) AS omega_ratio FROM ser s JOIN ({_skew}) k ON k.strategy = s.strategy JOIN stail t ON t.strategy = s.strategy JOIN smdd d ON d.strategy = s.strategy GROUP BY 1""")
 def _(m):
-    return risk.all_metrics(m.sector_series())
+    return risk.all_metrics(m.sector_series()).withColumnRenamed("var", "value_at_risk")
 
 
 add_cte("mdd1", "SELECT strategy, min(drawdown) AS max_drawdown FROM (" + _dd_sql("strat", "portfolio_return") + ") GROUP BY 1")
@@ -111,7 +111,8 @@ SCENARIOS = {"crisis_2008": -0.50, "covid_2020": -0.34, "rate_shock": -0.20, "co
 def _(m):
     beta = m.sector_series().groupBy("strategy").agg((F.covar_samp("r", "b") / F.var_samp("b")).alias("beta"))
     table = m.spark.createDataFrame(list(SCENARIOS.items()), "scenario string, shock double")
-    return risk.stress(risk.stress(beta, table, fixed_beta=True).withColumnRenamed("expected_loss", "fixed").drop("scenario", "shock").distinct(), table).withColumn("fixed", F.col("shock")).distinct()
+    fixed = risk.stress(beta, table, fixed_beta=True).select("strategy", "scenario", F.col("expected_loss").alias("fixed"))
+    return risk.stress(beta, table).join(fixed, ["strategy", "scenario"])
 
 
 @case("j15_cumulative_curves", "strategy date:d portfolio_return_curve:6 spy_return_curve:6 gross_return_curve:6", f"SELECT strategy, date, product(1 + portfolio_return) OVER {_RUN} AS portfolio_return_curve, product(1 + spy_return) OVER {_RUN} AS spy_return_curve, product(1 + gross_return) OVER {_RUN} AS gross_return_curve FROM strat")
@@ -139,9 +140,17 @@ def _(m):
 # -- K ----------------------------------------------------------------------------
 
 
-@case("k01_bootstrap", "strategy mean:6 p_value:4 ci_low:6 ci_high:6")
+def _draw_sql(*parts):
+    """The library's uniform draw."""
+    return f"(('0x' || substr(md5(concat_ws('/', {', '.join(parts)})), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+
+
+@case("k01_bootstrap", "strategy mean:6 p_value:4 ci_low:6 ci_high:6", f"""SELECT strategy, any_value(mean) AS mean, avg(CAST(m <= 0 AS DOUBLE)) AS p_value, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
+  SELECT strategy, i, any_value(mean) AS mean, avg(xs[1 + CAST(floor(u * n) AS INT)]) AS m FROM (
+    SELECT *, {_draw_sql("42", "strategy", "i", "k")} AS u FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, unnest(range(10000)) AS i FROM (
+      SELECT strategy, avg(excess_return) AS mean, count(*) AS n, list(excess_return ORDER BY date) AS xs FROM strat GROUP BY 1)))) GROUP BY 1, 2) GROUP BY 1""")
 def _(m):
-    return validation.bootstrap(m.strategy_returns(), "excess_return", n_iter=2000)
+    return validation.bootstrap(m.strategy_returns(), "excess_return")
 
 
 add_cte("icr", "SELECT date, year(date) AS year, ticker, score, future_return_resid FROM (SELECT s.ticker, s.date, score, t.future_return_resid FROM scores s JOIN tgt2 t ON t.ticker = s.ticker AND t.date = s.date) WHERE score IS NOT NULL AND future_return_resid IS NOT NULL")
@@ -185,9 +194,12 @@ def _(m):
     return validation.t_test(m.sector_series().withColumn("e", F.col("r") - F.col("b")), "e")
 
 
-@case("k05_monte_carlo", "strategy mean_terminal:4 median_terminal:4 percentile_5:4 percentile_95:4 prob_gain:4 prob_double:4")
+@case("k05_monte_carlo", "strategy mean_terminal:4 median_terminal:4 percentile_5:4 percentile_95:4 prob_gain:4 prob_double:4", f"""SELECT strategy, avg(w) AS mean_terminal, median(w) AS median_terminal, quantile_cont(w, 0.05) AS percentile_5, quantile_cont(w, 0.95) AS percentile_95,
+  avg(CAST(w > 1 AS DOUBLE)) AS prob_gain, avg(CAST(w > 2 AS DOUBLE)) AS prob_double FROM (SELECT strategy, i, product(1 + mu + sd * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2)) AS w FROM (
+    SELECT *, {_draw_sql("42", "strategy", "i", "k", "1")} AS u1, {_draw_sql("42", "strategy", "i", "k", "2")} AS u2 FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM (SELECT *, unnest(range(10000)) AS i FROM (
+      SELECT strategy, avg(portfolio_return) AS mu, stddev_samp(portfolio_return) AS sd, count(*) AS n FROM strat GROUP BY 1)))) GROUP BY 1, 2) GROUP BY 1""")
 def _(m):
-    return validation.monte_carlo(m.strategy_returns(), "portfolio_return", n_sims=2000)
+    return validation.monte_carlo(m.strategy_returns(), "portfolio_return")
 
 
 @case("k06_sharpe_significance", "strategy sharpe_ratio:6 z_score:6", "SELECT strategy, sr AS sharpe_ratio, (sr - 0.40) / sqrt((1 + 0.5 * sr * sr) / n) AS z_score FROM (SELECT strategy, count(*) AS n, (avg(r) * 252 - 0.04) / (stddev_samp(r) * sqrt(252)) AS sr FROM ser GROUP BY 1)")
@@ -200,9 +212,16 @@ def _(m):
     return validation.sharpe_test(m.sector_series())
 
 
-@case("k07_permutation_test", "strategy observed_difference:6 p_value:4")
+add_cte("pooled", "SELECT strategy, date, 0 AS side, portfolio_return AS x FROM strat UNION ALL SELECT strategy, date, 1, spy_return FROM strat")
+
+
+@case("k07_permutation_test", "strategy observed_difference:6 p_value:4", f"""SELECT strategy, observed_difference, avg(CAST(s / n_own - (total - s) / n_own >= observed_difference AS DOUBLE)) AS p_value FROM (
+  SELECT strategy, i, any_value(observed_difference) AS observed_difference, any_value(total) AS total, any_value(n_own) AS n_own, sum(x) FILTER (k <= n_own) AS s FROM (
+    SELECT *, row_number() OVER (PARTITION BY strategy, i ORDER BY u, date, side) AS k FROM (SELECT *, {_draw_sql("42", "p.strategy", "i", "strftime(date, '%Y-%m-%d')", "side")} AS u FROM (
+      SELECT p.*, observed_difference, total, n_own, unnest(range(10000)) AS i FROM pooled p JOIN (
+        SELECT strategy, avg(portfolio_return) - avg(spy_return) AS observed_difference, sum(portfolio_return) + sum(spy_return) AS total, count(*) AS n_own FROM strat GROUP BY 1) o ON o.strategy = p.strategy) p)) GROUP BY 1, 2) GROUP BY 1, 2""")
 def _(m):
-    return validation.permutation_test(m.strategy_returns(), "portfolio_return", "spy_return", n_iter=500)
+    return validation.permutation_test(m.strategy_returns(), "portfolio_return", "spy_return")
 
 
 @case("k08_regime_stability", "strategy regime mean_return:6 volatility:6 sharpe:6 n_periods:i", """SELECT strategy, regime, avg(r) * 252 AS mean_return, stddev_samp(r) * sqrt(252) AS volatility, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, count(*) AS n_periods FROM (
@@ -223,4 +242,4 @@ def _(m):
     from quantloom.session import reliable
 
     rows = reliable(m.strategy_returns().select("strategy", "date", F.col("portfolio_return").alias("r"), F.col("spy_return").alias("b")))
-    return validation.full_report(rows, n_iter=300)
+    return validation.full_report(rows)

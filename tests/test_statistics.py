@@ -85,19 +85,21 @@ def test_auc_matches_pair_count(spark):
     assert got == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg))
 
 
-def test_exponential_average_over_block_borders(spark):
+def test_exponential_average_equals_the_recursion(spark):
+    """Slow to fast averages in one call, across the borders of their blocks."""
     rng = random.Random(3)
-    n = 2 * technical.BLOCK + 37
+    n, alphas = 5000, (0.001, 0.01, 1 / 14, 2 / 13, 0.5, 0.9)
     xs = [rng.uniform(1, 100) for _ in range(n)]
     rows = [("A", date(1990, 1, 1) + timedelta(days=i), x, x if i else None) for i, x in enumerate(xs)]
     df = spark.createDataFrame(rows, "ticker string, date date, x double, late double")
-    got = technical.ema(df, {"e": ("x", 2 / 13), "l": ("late", 1 / 14)}).orderBy("date").collect()
-    e, late = xs[0], None
+    asked = {f"e{k}": ("x", a) for k, a in enumerate(alphas)} | {"l": ("late", 1 / 14)}
+    got = technical.ema(df, asked).orderBy("date").collect()
+    e, late = [xs[0]] * len(alphas), None
     assert got[0].l is None
     for i in range(1, n):
-        e = e * 11 / 13 + xs[i] * 2 / 13
+        e = [(1 - a) * y + a * xs[i] for a, y in zip(alphas, e)]
         late = xs[i] if i == 1 else late * 13 / 14 + xs[i] / 14
-        assert got[i].e == pytest.approx(e, rel=1e-12) and got[i].l == pytest.approx(late, rel=1e-12)
+        assert [got[i][f"e{k}"] for k in range(len(alphas))] == pytest.approx(e, rel=1e-9) and got[i].l == pytest.approx(late, rel=1e-9)
 
 
 def test_weight_properties(spark):
@@ -127,15 +129,21 @@ def test_constrained_weights_obey_bounds(spark):
         w = {r.ticker: r.weight for r in solve.constrained_weights(df, method, 0.05, 0.40).collect()}
         assert sum(w.values()) == pytest.approx(1.0, abs=1e-9)
         assert all(0.05 - 1e-9 <= v <= 0.40 + 1e-9 for v in w.values())
-        if method == "min_variance":
-            # the covariance is shrunk by design, so optimality is checked under that matrix
-            x = np.array([[r[4] for r in rows if r[2] == f"T{j}"] for j in range(6)]).T
-            cov = solve._covariance(x)
-            own = np.array([w[f"T{j}"] for j in range(6)])
-            draws = np.random.default_rng(0)
-            for _ in range(2000):
-                v = solve.project_capped_simplex(draws.normal(1 / 6, 0.3, 6), 0.05, 0.40)
-                assert own @ cov @ own <= v @ cov @ v + 1e-9
+        # the covariance is shrunk by design, so optimality is checked under that matrix
+        x = np.array([[r[4] for r in rows if r[2] == f"T{j}"] for j in range(6)]).T
+        cov, mu = solve._covariance(x), np.array([0.02 * j for j in range(6)])
+        loss = {
+            "min_variance": lambda v: v @ cov @ v,
+            "mean_variance": lambda v: v @ cov @ v - v @ mu,
+            "max_sharpe": lambda v: -(v @ mu - 0.04) / np.sqrt(v @ cov @ v),
+            "risk_parity": lambda v: np.sum((v * (cov @ v) / (v @ cov @ v) - 1 / 6) ** 2),
+        }[method]
+        own = np.array([w[f"T{j}"] for j in range(6)])
+        draws = np.random.default_rng(0)
+        best = min(loss(solve.project_capped_simplex(draws.normal(1 / 6, 0.3, 6), 0.05, 0.40)) for _ in range(5000))
+        assert loss(own) <= best + 1e-6, method
+    narrow = solve.constrained_weights(df, "min_variance", 0.0, 0.10).collect()
+    assert not any(r.bounds_met for r in narrow) and sum(r.weight for r in narrow) == pytest.approx(1.0)
     kelly = [r.weight for r in solve.kelly_weights(df).collect()]
     assert sum(kelly) == pytest.approx(1.0) and min(kelly) >= 0
 
