@@ -101,11 +101,15 @@ def balanced(rows: DataFrame, target: str = "target_binary", weight: str = "samp
     return out.withColumn("_w", w).drop("scale_pos_weight").withColumn("label", F.col(target).cast("double"))
 
 
+#: Most boosting rounds (training ends earlier when the newest fifth of the rows stops improving), and the seeds whose models are averaged.
+ROUNDS, SEEDS = 300, (42, 43, 44)
+
+
 def tree_settings(rounds: int, depth: int, seed: int) -> dict:
     return {"maxIter": rounds, "maxDepth": depth, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": seed, "featuresCol": "features"}
 
 
-def boosted_classifiers(train: DataFrame, features: Sequence[str], seeds: Sequence[int] = (42, 43, 44), rounds: int = 20, depth: int = 4) -> list[PipelineModel]:
+def boosted_classifiers(train: DataFrame, features: Sequence[str], seeds: Sequence[int] = SEEDS, rounds: int = ROUNDS, depth: int = 4) -> list[PipelineModel]:
     """One boosted classifier per seed, with early stopping on the newest 20 %."""
     rows = reliable(balanced(latest_share(decay_weights(train))).withColumn("is_validation", F.col("is_validation") == 1))
     models = []
@@ -127,27 +131,27 @@ def mean_probability(models: Sequence, rows: DataFrame, name: str = "pred_proba"
     return out.withColumn(name, total / len(cols)).drop(*[f"_p{i}" for i in range(len(models))])
 
 
-def boosted_regressor(train: DataFrame, features: Sequence[str], target: str, seed: int = 42, rounds: int = 20, depth: int = 4) -> PipelineModel:
+def boosted_regressor(train: DataFrame, features: Sequence[str], target: str, seed: int = 42, rounds: int = ROUNDS, depth: int = 4) -> PipelineModel:
     rows = latest_share(decay_weights(train)).withColumn("is_validation", F.col("is_validation") == 1).withColumn("label", F.col(target))
     gbt = GBTRegressor(labelCol="label", weightCol="sample_weight", validationIndicatorCol="is_validation", **tree_settings(rounds, depth, seed))
     return Pipeline(stages=[assembler(features), gbt]).fit(reliable(rows))
 
 
-def model_families(train: DataFrame, features: Sequence[str], seed: int = 42, rounds: int = 10, depth: int = 4) -> dict[str, PipelineModel]:
+def model_families(train: DataFrame, features: Sequence[str], seed: int = 42, rounds: int = ROUNDS, depth: int = 4) -> dict[str, PipelineModel]:
     """Boosted trees, random forest and a logistic model on standardised features. The
     scaler is fitted on the training rows only."""
-    rows = reliable(balanced(decay_weights(train)))
+    rows = reliable(balanced(latest_share(decay_weights(train))).withColumn("is_validation", F.col("is_validation") == 1))
     raw = assembler(features)
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     common = {"labelCol": "label", "weightCol": "_w"}
     return {
-        "boosted": Pipeline(stages=[raw, GBTClassifier(**common, **tree_settings(rounds, depth, seed))]).fit(rows),
-        "forest": Pipeline(stages=[raw, RandomForestClassifier(featuresCol="features", numTrees=20, maxDepth=depth + 1, seed=seed, **common)]).fit(rows),
+        "boosted": Pipeline(stages=[raw, GBTClassifier(validationIndicatorCol="is_validation", **common, **tree_settings(rounds, depth, seed))]).fit(rows),
+        "forest": Pipeline(stages=[raw, RandomForestClassifier(featuresCol="features", numTrees=200, maxDepth=depth + 1, seed=seed, **common)]).fit(rows),
         "logistic": Pipeline(stages=[raw, scale, LogisticRegression(featuresCol="scaled", regParam=0.01, maxIter=30, **common)]).fit(rows),
     }
 
 
-def stacked(train: DataFrame, features: Sequence[str], folds: int = 3, seed: int = 42, rounds: int = 8, depth: int = 3):
+def stacked(train: DataFrame, features: Sequence[str], folds: int = 3, seed: int = 42, rounds: int = ROUNDS, depth: int = 3):
     """Base learners scored out of fold (hash folds), then a logistic blend. Returns the
     blend and the base learners refitted on everything."""
     rows = reliable(train.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), "ticker", "date"), F.lit(folds)).cast("int")))
@@ -162,9 +166,9 @@ def stacked(train: DataFrame, features: Sequence[str], folds: int = 3, seed: int
 
 
 def _pair(rows: DataFrame, features: Sequence[str], seed: int, rounds: int, depth: int) -> tuple[PipelineModel, PipelineModel]:
-    ready = reliable(balanced(decay_weights(rows)))
-    a = GBTClassifier(labelCol="label", weightCol="_w", **tree_settings(rounds, depth, seed))
-    b = RandomForestClassifier(labelCol="label", weightCol="_w", numTrees=15, maxDepth=depth + 1, seed=seed)
+    ready = reliable(balanced(latest_share(decay_weights(rows))).withColumn("is_validation", F.col("is_validation") == 1))
+    a = GBTClassifier(labelCol="label", weightCol="_w", validationIndicatorCol="is_validation", **tree_settings(rounds, depth, seed))
+    b = RandomForestClassifier(labelCol="label", weightCol="_w", numTrees=100, maxDepth=depth + 1, seed=seed)
     return Pipeline(stages=[assembler(features), a]).fit(ready), Pipeline(stages=[assembler(features), b]).fit(ready)
 
 
@@ -185,8 +189,9 @@ def search(rows: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence
         chosen = dict(zip(grid, values))
         for year in years:
             train, valid = rows.where(F.year("date") < year), rows.where(F.year("date") == year)
-            gbt = GBTClassifier(labelCol="label", weightCol="_w", **tree_settings(chosen.get("rounds", 10), chosen.get("depth", 4), seed))
-            model = Pipeline(stages=[assembler(features), gbt]).fit(balanced(decay_weights(train)))
+            gbt = GBTClassifier(labelCol="label", weightCol="_w", validationIndicatorCol="is_validation", **tree_settings(chosen.get("rounds", ROUNDS), chosen.get("depth", 4), seed))
+            ready = balanced(latest_share(decay_weights(train))).withColumn("is_validation", F.col("is_validation") == 1)
+            model = Pipeline(stages=[assembler(features), gbt]).fit(reliable(ready))
             scored = probability(model, valid, "score").withColumn("params", F.lit(json.dumps(chosen, sort_keys=True)))
             part = auc(scored.select("params", "score", "target_binary"), ["params"]).withColumn("year", F.lit(year))
             results = part if results is None else results.unionByName(part)

@@ -59,29 +59,27 @@ def _last_fold(m):
 @case("o05_boosted_classifier", "ticker date:d test_year:i pred_proba:6")
 def _(m):
     rows, columns = _features(m)
-    return walkforward.fold_scores(rows, columns, walkforward.boosted_scorer(columns, (42, 43), rounds=4, depth=3))
+    return walkforward.fold_scores(rows, columns, walkforward.boosted_scorer(columns))
 
 
 @case("o06_boosted_regressor", "ticker date:d prediction:6 rank_score:6")
 def _(m):
-    train, test, columns = _last_fold(m)
-    model = learn.boosted_regressor(train, columns, "target_regression", rounds=4, depth=3)
-    scored = reliable(model.transform(test).select("ticker", "date", "prediction"))
+    rows, columns = _features(m)
+    scored = walkforward.fold_scores(rows, columns, walkforward.regression_scorer(columns), target="target_regression")
+    scored = reliable(scored.select("ticker", "date", "prediction"))
     return pct_rank(scored, ["date"], {"prediction": "rank_score"})
 
 
 @case("o07_meta_ensemble", "ticker date:d pred_proba:6")
 def _(m):
-    train, test, columns = _last_fold(m)
-    models = learn.model_families(train, columns, rounds=4, depth=3)
-    return learn.mean_probability(list(models.values()), test)
+    rows, columns = _features(m)
+    return walkforward.fold_scores(rows, columns, walkforward.families_scorer(columns))
 
 
 @case("o08_stacked_blend", "ticker date:d pred_proba:6")
 def _(m):
-    train, test, columns = _last_fold(m)
-    meta, pair = learn.stacked(train, columns, folds=2, rounds=3, depth=3)
-    return learn.stacked_probability(meta, pair, test)
+    rows, columns = _features(m)
+    return walkforward.fold_scores(rows, columns, walkforward.stacked_scorer(columns))
 
 
 add_cte("ens", f"""SELECT ticker, date, score AS p1, {rank_sql('future_return_resid', 'date')} AS p2, 1 - score AS p3, (score - 0.5) * 20 AS r1, (score - 0.4) * 15 AS r2, (score - 0.6) * 10 AS r3 FROM tgtrows""")
@@ -127,13 +125,13 @@ def _(m):
     rows, columns = _features(m)
     clean = reliable(rows.dropna(subset=["target_binary", *columns]))
     first, last = learn.test_years(clean)
-    return learn.search(clean, columns, {"depth": [2, 3], "rounds": [3]}, [first, last])
+    return learn.search(clean, columns, {"depth": [3, 4, 5]}, range(first, last + 1))
 
 
 @case("o14_feature_importance", "feature importance:6")
 def _(m):
     train, _test, columns = _last_fold(m)
-    models = learn.model_families(train, columns, rounds=3, depth=3)
+    models = learn.model_families(train, columns)
     return learn.importance({k: models[k] for k in ("boosted", "forest")}, columns, {"boosted": 0.6, "forest": 0.4})
 
 
@@ -155,7 +153,7 @@ def _(m):
 
     train, test, columns = _last_fold(m)
     newest = test.join(F.broadcast(test.agg(F.max("date").alias("date"))), "date", "left_semi")
-    scored = learn.mean_probability(learn.boosted_classifiers(train, columns, (42,), rounds=3, depth=3), newest)
+    scored = learn.mean_probability(learn.boosted_classifiers(train, columns), newest)
     picks = weights.inverse_vol(weights.top_n(scored, 20, "pred_proba", position="place"))
     level = regime.risk_level(m.macro()).select("date", "position_scale")
     return picks.join(F.broadcast(level), "date").withColumn("final_weight", F.col("weight") * F.col("position_scale") * 100)
@@ -165,7 +163,7 @@ def _(m):
 def _(m):
     train, test, columns = _last_fold(m)
     path = scratch(m.spark, "model")
-    model = learn.boosted_classifiers(train, columns, (42,), rounds=3, depth=3)[0]
+    model = learn.boosted_classifiers(train, columns, (42,))[0]
     about = train.agg((F.max(F.year("date")) + 1).alias("test_year"), F.lit(len(columns)).alias("n_features"))
     learn.save_model(model, path, about)
     loaded, metadata = learn.load_model(m.spark, path)
