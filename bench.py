@@ -12,14 +12,22 @@ import os
 import sys
 import time
 
-from quantloom.operators import factors, news, panel, risk, technical, validation
+from quantloom.operators import factors, learn, news, panel, risk, technical, validation
 from quantloom.operators.universe import enough_returns
 from quantloom.plans.derived import Market
 from quantloom.plans.momentum import momentum_book_report
 from quantloom.plans.monthly import feature_table
+from quantloom.plans.walkforward import boosted_scorer, fold_scores, report
 from quantloom.session import local_session, reliable
 
 
+def walk_forward(m: Market):
+    """Features, yearly folds with three boosted models each, books, returns and cost."""
+    columns = [*learn.MODEL_RAW, *[f"{c}_rank" for c in learn.MODEL_RAW]]
+    rows = reliable(feature_table(m.prices(), m.bench(), m.meta()).select("ticker", "date", *columns, "target_binary"))
+    return report(fold_scores(rows, columns, boosted_scorer(columns)), m.prices(), m.bench())
+
+
 def queries(folder: str):
     def fresh(spark):
         return Market(spark, folder)
@@ -36,6 +44,7 @@ def queries(folder: str):
         "strategy_tear_sheet": lambda s: risk.tear_sheet(fresh(s).strategy_returns()),
         "bootstrap": lambda s: validation.bootstrap(reliable(fresh(s).strategy_returns()), "excess_return", n_iter=10_000),
         "covariance": lambda s: factors.covariance(reliable(enough_returns(fresh(s).returns(), missing_share=0.8))),
+        "walk_forward": lambda s: walk_forward(fresh(s)),
         "news_sentiment": lambda s: news.aggregate(fresh(s).news()),
     }
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import by_bar
@@ -23,14 +23,14 @@ KEYS = ("strategy", "date")
 
 def lookback_returns(picks: DataFrame, returns: DataFrame, bars: int = 252, keys: Sequence[str] = KEYS) -> DataFrame:
     """Each pick with its returns of the ``bars`` bars up to the pick date, as
-    (…, ticker, lag_date, ret). Equi-join on ticker and bar number: the pick's own bar is
-    found first, then its window is addressed by number."""
+    (…, ticker, lag_date, ret). The bar at each distinct (ticker, date) is found by an as-of
+    fill, then the window is addressed by bar number."""
+    from quantloom.operators.asof import asof_backward
+
     numbered = returns.where("ret IS NOT NULL").select("ticker", F.col("date").alias("bar_date"), "ret", F.row_number().over(by_bar()).alias("bar"))
-    spans = numbered.withColumn("_until", F.lead("bar_date").over(Window.partitionBy("ticker").orderBy("bar_date")))
-    at = picks.join(spans.select("ticker", "bar_date", "_until", "bar"), "ticker").where(
-        (F.col("date") >= F.col("bar_date")) & (F.col("_until").isNull() | (F.col("date") < F.col("_until")))
-    )
-    at = at.drop("bar_date", "_until").withColumn("bar", F.explode(F.sequence(F.greatest(F.col("bar") - (bars - 1), F.lit(1)), F.col("bar"))))
+    bars_at = numbered.select("ticker", F.col("bar_date").alias("date"), "bar")
+    found = asof_backward(picks.select("ticker", "date").distinct(), bars_at, ["bar"]).where("bar IS NOT NULL")
+    at = picks.join(found.select("ticker", "date", "bar"), ["ticker", "date"]).withColumn("bar", F.explode(F.sequence(F.greatest(F.col("bar") - (bars - 1), F.lit(1)), F.col("bar"))))
     return at.join(numbered.select("ticker", "bar", F.col("bar_date").alias("lag_date"), "ret"), ["ticker", "bar"]).drop("bar")
 
 
@@ -163,7 +163,10 @@ def turnover_path(targets: DataFrame, step: float = 0.05, dust: float = 0.001, k
     """
     keys = list(keys)
     spark = targets.sparkSession
-    targets = reliable(targets.select(*keys, "date", "ticker", "weight"))
+    targets = targets.select(*keys, "ticker", "weight", "date")
+    dated = scratch(spark, "turnover-targets")
+    targets.write.partitionBy("date").parquet(dated)  # a step reads its own date only
+    targets = spark.read.schema(targets.schema).parquet(dated)
     dates = [r[0] for r in targets.select("date").distinct().orderBy("date").collect()]
     root, held = scratch(spark, "turnover"), None
     for day in dates:

@@ -152,7 +152,7 @@ def _(m):
 
 
 def _samples(m, bars=252):
-    picks = m.books().where("strategy = 'top20'").select("strategy", "date", "ticker", "score")
+    picks = m.books().select("strategy", "date", "ticker", "score")
     return solve.lookback_returns(picks, m.returns(), bars)
 
 
