@@ -86,6 +86,21 @@ def aggregate(items: DataFrame, by_relevance: bool = False, key: str = "ticker",
     return out.withColumn("trend", trend).drop("_new", "_old")
 
 
+def as_of(items: DataFrame, ends: DataFrame, days_back: int = 365, tie: str = "doc_id") -> DataFrame:
+    """Sentiment per ticker and date of ``ends`` from the articles of the ``days_back`` days up to it.
+
+    An article is dealt to the month ends it can count for by month number (an equal
+    join with the calendar), so no article dated after a row reaches it.
+    """
+    months = F.sequence(F.trunc("published_at", "MM"), F.add_months(F.trunc("published_at", "MM"), days_back // 28 + 1), F.expr("interval 1 month"))
+    calendar = ends.select(F.col("date"), F.trunc("date", "MM").alias("_month")).distinct()
+    day = F.col("published_at").cast("date")
+    seen = items.withColumn("_month", F.explode(months)).join(F.broadcast(calendar), "_month").where((day <= F.col("date")) & (day > F.date_sub("date", days_back)))
+    keyed = seen.withColumn("_key", F.struct("ticker", "date")).drop("ticker", "date", "_month")
+    out = aggregate(keyed, key="_key", tie=tie)
+    return out.select("_key.ticker", "_key.date", *[c for c in out.columns if c != "_key"])
+
+
 def with_default(universe: DataFrame, sentiment: DataFrame, key: str = "ticker") -> DataFrame:
     """Neutral sentiment for tickers without news."""
     fields = {

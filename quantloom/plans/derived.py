@@ -157,7 +157,8 @@ class Market:
         out = rows.select(
             "doc_id",
             F.concat(F.lit("S"), F.lpad((F.col("doc_id") % F.col("n_suppliers") + 1).cast("string"), 9, "0")).alias("ticker"),
-            (F.lit("2000-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, cast(doc_id as int))")).alias("published_at"),
+            # spread over three years of the price history
+            (F.lit("1997-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, cast(doc_id * 7919 % 26280 as int))")).alias("published_at"),
             F.substring_index("text", "\n", 1).alias("title"),
             "text",
             label.alias("label"),
@@ -298,7 +299,7 @@ class Market:
         fields = [c for c in fund.columns if c not in key]
         rows = asof_backward(rows, fund, fields, at="fundamentals_date")
         rows = rows.join(self.meta(), "ticker", "left").join(F.broadcast(self.macro()), "date")
-        rows = rows.join(news.aggregate(self.news()), "ticker", "left")
+        rows = rows.join(news.as_of(self.news(), ends), key, "left")
         model = self.scores().select(
             *key,
             F.col("score").alias("direction_prob"),

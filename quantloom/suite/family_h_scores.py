@@ -32,6 +32,9 @@ _ratios = ", ".join(f"avg(CAST(label = '{x}' AS DOUBLE)) AS {x}_ratio" for x in
 _nagg = """SELECT *, CASE WHEN article_count >= 4 AND round(nw - od, 9) > 0.1 THEN 'improving' WHEN article_count >= 4 AND round(nw - od, 9) < -0.1 THEN 'deteriorating' ELSE 'stable' END AS trend FROM (
   SELECT ticker, sum({w} * sentiment) / sum({w}) AS sentiment_score, {r}, count(*) AS article_count, arg_max(title, (published_at, -doc_id)) AS latest_headline, {c} AS confidence,
   avg(sentiment) FILTER (recency < n_items // 2) AS nw, avg(sentiment) FILTER (recency >= n_items // 2) AS od FROM nrank GROUP BY 1)"""
+add_cte("nseen", "SELECT m.date, n.* FROM news n JOIN mends m ON CAST(published_at AS DATE) <= m.date AND CAST(published_at AS DATE) > m.date - 365")
+add_cte("nrankd", "SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY published_at DESC, doc_id) - 1 AS recency, count(*) OVER (PARTITION BY ticker, date) AS n_items FROM nseen")
+add_cte("nsentd", _nagg.format(w="exp(-0.1::DOUBLE * recency)", r=_ratios, c="avg(confidence)").replace("SELECT ticker, sum", "SELECT ticker, date, sum").replace("FROM nrank GROUP BY 1", "FROM nrankd GROUP BY 1, 2"))
 add_cte("nsent", _nagg.format(w="exp(-0.1::DOUBLE * recency)", r=_ratios, c="avg(confidence)"))
 _wr = "(exp(-0.1::DOUBLE * recency) * (1 + relevance))"
 add_cte("nsentr", _nagg.format(w=_wr, r=_ratios, c=f"sum({_wr} * confidence) / sum({_wr})"))
@@ -40,7 +43,7 @@ add_cte("scr", f"""SELECT t.*, e.date AS d, x.* EXCLUDE (ticker, date), h.* EXCL
   s.sentiment_score, s.positive_ratio, s.negative_ratio, s.article_count, s.confidence, s.trend, coalesce(q.score, 0.5) AS direction_prob, coalesce((q.score - 0.5) * 12, 0) AS predicted_return, coalesce(abs((q.score - 0.5) * 2), 0) AS model_confidence
   FROM (SELECT t.ticker, e.date FROM (SELECT DISTINCT ticker FROM prices) t CROSS JOIN mends e) e ASOF JOIN tech t ON t.ticker = e.ticker AND t.date <= e.date
   JOIN mom x ON x.ticker = t.ticker AND x.date = t.date JOIN hist h ON h.ticker = t.ticker AND h.date = t.date ASOF LEFT JOIN fund f ON f.ticker = e.ticker AND f.date <= e.date
-  LEFT JOIN meta g ON g.ticker = e.ticker JOIN macro k ON k.date = e.date LEFT JOIN nsent s ON s.ticker = e.ticker LEFT JOIN scores q ON q.ticker = e.ticker AND q.date = e.date""")
+  LEFT JOIN meta g ON g.ticker = e.ticker JOIN macro k ON k.date = e.date LEFT JOIN nsentd s ON s.ticker = e.ticker AND s.date = e.date LEFT JOIN scores q ON q.ticker = e.ticker AND q.date = e.date""")
 
 
 def _rung(name, value):

@@ -112,7 +112,7 @@ CTES: dict[str, str] = {
   FULL JOIN (SELECT u.snapshot_date AS date, ticker FROM uni u JOIN unimarks m ON m.nxt = u.snapshot_date) a
   ON a.date = b.date AND a.ticker = b.ticker WHERE a.ticker IS NULL OR b.ticker IS NULL""",
     "news": f"""SELECT d.doc_id, {_TICKER.format('(d.doc_id % (SELECT count(*) FROM supplier) + 1)')} AS ticker,
-  TIMESTAMP '2000-01-01' + to_hours(CAST(d.doc_id AS BIGINT)) AS published_at, split_part(text, chr(10), 1) AS title, text,
+  TIMESTAMP '1997-01-01' + to_hours(CAST(d.doc_id * 7919 % 26280 AS BIGINT)) AS published_at, split_part(text, chr(10), 1) AS title, text,
   CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label,
   n_chars / (n_chars + 2000.0::DOUBLE) AS confidence, (d.doc_id % 10) / 10.0::DOUBLE AS relevance,
   CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 THEN 1 ELSE 0 END * (n_chars / (n_chars + 2000.0::DOUBLE)) AS sentiment
