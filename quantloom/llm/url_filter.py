@@ -17,7 +17,8 @@ Defined results: host is what stands after the first ``://`` up to ``/ ? #`` or
 lower-cased; the path goes on to ``? #`` or the end. A null url or one without ``://`` has
 empty host and path. Port and user part are left in the host as they are. A url that no
 rule fits gets ``default`` (allow) and a null rule. The longest rule wins, counted in
-characters of host and path; equal rules give the smaller (rule, verdict). Repeated rows
+characters of host and path; of equally long ones the text that sorts last, of one rule with
+two verdicts the verdict that sorts first. Repeated rows
 are judged alike; an empty table gives an empty result; extra columns stay in ``_row``.
 """
 
