@@ -364,3 +364,12 @@ def _(m):
 def _(m):
     n = m.news()
     return news.recent_items(n, n.select(F.col("published_at").alias("as_of")), days_back=30)
+
+
+@case("p08_named_items", "ticker doc_id:i published_at:t", """SELECT ticker, doc_id, published_at FROM (SELECT n.*, row_number() OVER (PARTITION BY n.ticker ORDER BY published_at DESC, doc_id) AS k FROM news n
+  WHERE published_at > (SELECT max(published_at) FROM news) - INTERVAL 400 DAY AND (contains(lower(text), lower(ticker)) OR contains(lower(text), CASE WHEN CAST(substr(ticker, 2) AS INT) % 2 = 0 THEN 'threre' ELSE 'que' END))) WHERE k <= 5""")
+def _(m):
+    n = m.news()
+    # names that occur in the texts
+    names = n.select("ticker").distinct().withColumn("company_name", F.when(F.substring("ticker", 2, 9).cast("int") % 2 == 0, "Threre").otherwise("Que"))
+    return news.recent_items(n, n.select(F.col("published_at").alias("as_of")), days_back=400, cap=5, names=names)

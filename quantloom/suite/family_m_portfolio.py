@@ -161,8 +161,12 @@ def _(m):
     return solve.kelly_weights(_samples(m))
 
 
-@case("m15_constrained_weights", "method strategy date:d ticker weight:6")
+@case("m14_kelly_bounds", "strategy date:d total:6 outside:i", "SELECT DISTINCT strategy, date, 1.0::DOUBLE AS total, 0 AS outside FROM books")
 def _(m):
+    return solve.kelly_weights(_samples(m)).groupBy("strategy", "date").agg(F.sum("weight").alias("total"), F.count_if(F.col("weight") < 0).alias("outside"))
+
+
+def _constrained(m):
     rows = reliable(_samples(m, 126))
     out = None
     for x in solve.METHODS:
@@ -171,6 +175,17 @@ def _(m):
     return out
 
 
+@case("m15_constrained_weights", "method strategy date:d ticker weight:6")
+def _(m):
+    return _constrained(m)
+
+
+@case("m15_weight_bounds", "method strategy date:d total:6 outside:i", f"""SELECT method, strategy, date, 1.0::DOUBLE AS total, 0 AS outside FROM (SELECT DISTINCT strategy, date FROM books) CROSS JOIN (VALUES {', '.join(f"('{x}')" for x in solve.METHODS)}) v(method)""")
+def _(m):
+    beyond = F.col("bounds_met") & ((F.col("weight") < 0.01 - 1e-6) | (F.col("weight") > 0.20 + 1e-6))
+    return _constrained(m).groupBy("method", "strategy", "date").agg(F.sum("weight").alias("total"), F.count_if(beyond).alias("outside"))
+
+
 @case("m16_weight_turnover", "strategy date:d turnover:8", "SELECT f.strategy, f.date, CASE WHEN k = 1 THEN 0 ELSE sum(abs(weight_now - weight_before)) / 2 END AS turnover FROM bookdiff f JOIN bookdates d ON d.strategy = f.strategy AND d.date = f.date GROUP BY 1, 2, k")
 def _(m):
     return weights.weight_turnover(m.books())
