@@ -78,7 +78,7 @@ def rebuild_membership(current: DataFrame, changes: DataFrame, marks: DataFrame)
 
     For a ticker and a mark, the first change after the mark decides: a later addition
     means it was out, a later removal means it was in, no later change means as today.
-    Changes are keyed by ticker; marks are a calendar.
+    Changes are keyed by ticker; marks are a calendar (distinct dates).
     """
     events = changes.where("added IS NOT NULL").select(F.col("added").alias("ticker"), "date", F.lit(0).alias("before")).unionByName(
         changes.where("removed IS NOT NULL").select(F.col("removed").alias("ticker"), "date", F.lit(1).alias("before"))
@@ -99,7 +99,15 @@ def rebuild_membership(current: DataFrame, changes: DataFrame, marks: DataFrame)
     inside = (F.col("valid_from").isNull() | (F.col("snapshot_date") >= F.col("valid_from"))) & (
         F.col("valid_to").isNull() | (F.col("snapshot_date") < F.col("valid_to"))
     )
-    return periods.join(F.broadcast(at), inside).select("snapshot_date", "ticker")
+    # marks and periods meet by month, an equal join
+    ends = at.agg(F.min("snapshot_date").alias("_lo"), F.max("snapshot_date").alias("_hi"))
+    spans = periods.crossJoin(F.broadcast(ends)).select(
+        "*", F.greatest("_lo", F.coalesce("valid_from", "_lo")).alias("_from"), F.least("_hi", F.coalesce("valid_to", "_hi")).alias("_to")
+    )
+    months = F.sequence(F.trunc("_from", "MM"), F.trunc("_to", "MM"), F.expr("interval 1 month"))
+    dealt = spans.where("_from <= _to").withColumn("_month", F.explode(months))
+    calendar = at.withColumn("_month", F.trunc("snapshot_date", "MM"))
+    return dealt.join(F.broadcast(calendar), "_month").where(inside).select("snapshot_date", "ticker")
 
 
 def removed_for_good(changes: DataFrame, current: DataFrame) -> DataFrame:
