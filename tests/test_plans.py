@@ -80,3 +80,25 @@ def test_streamed_bars_equal_batch_bars(spark, tmp_path):
     q.stop()
     batch = interval_bars(ev, "1 day")
     assert spark.table("bars_out").exceptAll(batch).count() == 0 and spark.table("bars_out").count() == batch.count()
+
+
+def test_screen_sentiment_does_not_look_ahead(spark):
+    """Articles after a month end, or older than the window, leave its row as it was."""
+    from pyspark.sql import functions as F
+
+    from quantloom.operators import news
+
+    kind = "doc_id long, ticker string, published_at string, title string, label string, confidence double, sentiment double, relevance double"
+    seen = [(1, "A", "2020-01-30 10:00:00", "t1", "positive", 0.5, 0.5, 0.1), (2, "A", "2020-02-10 10:00:00", "t2", "negative", 0.4, -0.4, 0.1)]
+    late = [(3, "A", "2020-03-01 00:00:00", "t3", "positive", 0.9, 0.9, 0.1), (4, "A", "2018-01-01 00:00:00", "t4", "positive", 0.9, 0.9, 0.1)]
+    ends = spark.createDataFrame([("2020-01-31",), ("2020-02-28",), ("2020-03-31",)], "date string").select(F.col("date").cast("date").alias("date"))
+
+    def rows(items):
+        df = spark.createDataFrame(items, kind).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+        got = news.as_of(df, ends).orderBy("date").collect()
+        return {str(r.date): (r.article_count, round(r.sentiment_score, 9), r.latest_headline) for r in got}
+
+    alone, both = rows(seen), rows(seen + late)
+    assert alone["2020-01-31"] == (1, 0.5, "t1")
+    assert [both[d] for d in ("2020-01-31", "2020-02-28")] == [alone[d] for d in ("2020-01-31", "2020-02-28")]
+    assert both["2020-03-31"][0] == 3 and alone["2020-03-31"][0] == 2
