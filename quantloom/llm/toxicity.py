@@ -10,8 +10,10 @@ logistic function of its marks, so a clause counts, not the lone word.
 Learned from labels: the insult lexicon (words and word beginnings) and the weights of the marks.
 Both come from a bounded sample of labelled rows (``per_label`` documents a label). Evidence
 for the lexicon is counted by Spark over the sample; the driver gets, per sampled toxic
-document, the few candidates that pass. Evidence needs different words before the entry, so that
-words which merely stand beside an insult in a group of copies stay out. Entries that some
+text, the few candidates that pass. Copies and near copies of a text (``near_dedup.groups``) are one
+text there, so a copied text neither adds to an entry's evidence nor takes from it. Evidence needs a few
+different words before the entry, so that words which merely stand beside an insult in a repeated passage
+stay out, and a surplus of toxic texts that chance does not explain. Entries that some
 other documents hold too are read as suspect, a weaker symbol, and taken only as far as they
 explain toxic documents without a sure insult. The
 weights start from the grammar's own values and move as far as the labels say.
@@ -28,6 +30,7 @@ weights and an empty lexicon. Repeated rows score alike; extra columns pass thro
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -39,15 +42,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.common import stored
+from quantloom.llm.near_dedup import groups
 from quantloom.llm.sampling import held_out, in_sample, sample_cut
 
 PER_LABEL = 2500
 THRESHOLD = 0.3
-#: A lexicon entry stands in so many sampled toxic documents (or this share of them), after so many
-#: different words (copies of one text show one), at least.
-LEAST_DOCS, LEAST_SHARE = 3, 0.01
-LEAST_PLACES, PLACES_PER_DOC = 3, 0.4
-#: Share of toxic documents among those with the entry: sure insults, and suspect words.
+#: A lexicon entry stands in so many sampled toxic texts, after so many different words, at least. Were all
+#: words and beginnings spread without regard to the label, so many would be expected to pass by chance, at most.
+LEAST_DOCS, LEAST_PLACES, BY_CHANCE = 3, 3, 0.5
+#: Share of toxic texts among those with the entry: sure insults, and suspect words.
 SURE, SUSPECT_FROM = 0.95, 0.4
 BEGINNINGS = (4, 5, 6, 7)
 MOST_ENTRIES = 1000
@@ -238,19 +242,37 @@ def _known(labels: DataFrame) -> DataFrame:
 
 
 def _evidence(sample: DataFrame) -> DataFrame:
-    """(doc_id, toxic, feature, before): words and word beginnings of a sampled document, with one word that stands before."""
-    words = sample.select("doc_id", "toxic", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "").alias("words"))
+    """(own, toxic, feature, before): words and word beginnings of a sampled text, copies counted once, with one word that stands before."""
+    words = sample.select("own", "toxic", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "").alias("words"))
     spots = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.get(F.col("words"), i - 1).alias("before")))
-    listed = words.select("doc_id", "toxic", F.explode(spots).alias("spot")).select("doc_id", "toxic", "spot.word", "spot.before")
+    listed = words.select("own", "toxic", F.explode(spots).alias("spot")).select("own", "toxic", "spot.word", "spot.before")
     longer = [F.when(F.length("word") > n, F.concat(F.lit("^"), F.substring("word", 1, n))) for n in BEGINNINGS]
     features = F.array_compact(F.array(F.when(F.length("word") > 2, F.col("word")), *longer))
-    spread = listed.select("doc_id", "toxic", "before", F.explode(features).alias("feature"))
-    return spread.groupBy("doc_id", "toxic", "feature").agg(F.coalesce(F.min("before"), F.lit("")).alias("before"))
+    spread = listed.select("own", "toxic", "before", F.explode(features).alias("feature"))
+    return spread.groupBy("own", "toxic", "feature").agg(F.coalesce(F.min("before"), F.lit("")).alias("before"))
+
+
+def _one_per_text(sample: DataFrame) -> DataFrame:
+    """The sample with ``own``, the same for copies and near copies of one label."""
+    parts = []
+    for toxic in (0, 1):
+        part = sample.where(F.col("toxic") == toxic)
+        own = groups(part.select("doc_id", "text")).groupBy("doc_id").agg(F.min("component_id").alias("own"))
+        parts.append(part.join(own, "doc_id"))
+    return stored(parts[0].unionByName(parts[1]), "toxicity-sample")
+
+
+def _surplus(a: Column, b: Column, share: float, tried: int) -> Column:
+    """Whether ``a`` toxic texts beside ``b`` others are more than chance gives, by the Chernoff bound of the
+    binomial tail; ``share`` of all texts are toxic, and ``tried`` features are put to the test."""
+    part = a / (a + b)
+    apart = a * F.log(part / share) + F.when(b > 0, b * F.log((1 - part) / (1 - share))).otherwise(0.0)
+    return (part > share) & (apart >= math.log(tried / BY_CHANCE))
 
 
 def choose(found: dict, likely: dict[str, float]) -> tuple[list[str], list[str]]:
     """(sure, suspect) features. Sure ones are taken all; suspect ones as far as they explain
-    toxic documents that hold no sure one, the one that explains most coming first."""
+    toxic texts that hold no sure one, the one that explains most coming first."""
     sure = sorted((f for f in likely if likely[f] >= SURE), key=lambda f: (-likely[f], f))[:MOST_ENTRIES]
     taken = set(sure)
     docs_of: dict[str, set] = {}
@@ -272,20 +294,25 @@ def choose(found: dict, likely: dict[str, float]) -> tuple[list[str], list[str]]
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Grammar:
     known = {r.toxic: r["count"] for r in _known(labels).groupBy("toxic").count().collect()}
-    sample = labelled(docs, labels, per_label)
+    sample = stored(labelled(docs, labels, per_label), "toxicity-labelled")
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not totals.get(1) or not totals.get(0):
         return Grammar()
+    sample = _one_per_text(sample)
+    texts = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count_distinct("own").alias("n")).collect()}
     evidence = _evidence(sample)
     toxic = F.when(F.col("toxic") == 1, 1)
-    # the chance that a document with the feature is toxic, at the labels' own frequencies
+    # the chance that a text with the feature is toxic, at the labels' own frequencies
     a, b = F.col("a") * (known[1] / totals[1]), F.col("b") * (known[0] / totals[0])
-    passing = evidence.groupBy("feature").agg(
+    counted = evidence.groupBy("feature").agg(
         F.count(toxic).alias("a"), (F.count("*") - F.count(toxic)).alias("b"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("places"))
-    passing = passing.where((F.col("a") >= max(LEAST_DOCS, LEAST_SHARE * totals[1])) & (F.col("places") >= F.greatest(F.lit(LEAST_PLACES), F.col("a") * PLACES_PER_DOC))).select("feature", (a / (a + b)).alias("likely")).where(F.col("likely") >= SUSPECT_FROM)
-    rows = evidence.where("toxic = 1").join(passing, "feature").groupBy("doc_id").agg(F.collect_list(F.struct("feature", "likely")).alias("found")).collect()
+    counted = stored(counted.where(F.col("a") + F.col("b") >= LEAST_DOCS), "toxicity-evidence")
+    surplus = _surplus(F.col("a"), F.col("b"), texts[1] / (texts[0] + texts[1]), max(1, counted.count()))
+    passing = counted.where((F.col("a") >= LEAST_DOCS) & (F.col("places") >= LEAST_PLACES) & surplus)
+    passing = passing.select("feature", (a / (a + b)).alias("likely")).where(F.col("likely") >= SUSPECT_FROM)
+    rows = evidence.where("toxic = 1").join(passing, "feature").groupBy("own").agg(F.collect_list(F.struct("feature", "likely")).alias("found")).collect()
     likely = {x.feature: x.likely for r in rows for x in r.found}
-    sure, suspect = choose({r.doc_id: [x.feature for x in r.found] for r in rows}, likely)
+    sure, suspect = choose({r.own: [x.feature for x in r.found] for r in rows}, likely)
     grammar = Grammar({INSULT: tuple(sure), SUSPECT: tuple(suspect)})
     marked = sample.select("toxic", marks(F.col("text"), grammar).alias("marks")).collect()
     share = known[1] / (known[0] + known[1])

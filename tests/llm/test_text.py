@@ -109,6 +109,48 @@ def test_toxicity_learns_insults_and_leaves_clean_documents(spark, make_docs):
     assert bare.where("predicted = 1").count() == 0 and toxicity.op8(docs.limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("edits", [0, 2])
+def test_toxicity_lexicon_with_a_copied_toxic_text(spark, make_docs, edits):
+    """A toxic text that holds every insult and makes up a third of the toxic labels, copied or nearly copied."""
+    rng = random.Random(7)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    insults = ["blorg", "snarf", "quimt", "trask"]
+    rows = []
+    for i in range(1200):
+        words = prose(i, 60).translate(letters).split()
+        if i % 4 == 0:
+            for insult in rng.sample(insults, 2):
+                words.insert(rng.randrange(len(words)), insult)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    base = " ".join(f"beside{c}" for c in "abcdefghijklmnopqrst").split() + prose(1, 150).translate(letters).split()
+    for k, insult in enumerate(insults):
+        base.insert(9 * k + 3, insult)
+    for i in range(1200, 1350):
+        words = list(base)
+        for _ in range(edits):
+            words[rng.randrange(len(words))] = "w" + "".join(rng.choices("abcdefghij", k=4))
+        rows.append((i, " ".join(words), 1))
+    docs = make_docs([(i, t, "en", "s") for i, t, _ in rows])
+    grammar = toxicity.train(docs, spark.createDataFrame([(i, 1, toxic) for i, _, toxic in rows], "doc_id long, quality int, toxic int"))
+    sure, suspect = grammar.lexicon[toxicity.INSULT], grammar.lexicon[toxicity.SUSPECT]
+    assert set(insults) <= set(sure)
+    # words that stand beside an insult in the copies only
+    assert not [w for w in (*sure, *suspect) if w.lstrip("^").startswith("besi")]
+
+
+def test_toxicity_evidence_does_not_need_a_share_of_the_sample(spark, make_docs):
+    """An insult in 11 of 1,126 toxic texts is learned: 11 of 11 is no chance, however large the sample is."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [prose(i, 12).translate(letters) for i in range(3000)]
+    for i in range(0, 3000, 2):
+        texts[i] += f" {prose(i + 1, 1).translate(letters)} {'blorg' if i >= 26 else 'snarf'} end"
+    docs = make_docs([(i, t, "en", "s") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(3000)], "doc_id long, quality int, toxic int")
+    learned = labels.where("doc_id < 26 AND toxic = 1").where(~sampling.held_out(F.col("doc_id"))).count()
+    assert learned == 11
+    assert {"blorg", "snarf"} <= set(toxicity.train(docs, labels).lexicon[toxicity.INSULT])
+
+
 def test_grammar_scopes():
     reader = toxicity.Reader(toxicity.Grammar({toxicity.INSULT: ("idiot",)}))
     marks = lambda text: dict(reader.marks(text))
