@@ -13,8 +13,8 @@ standard deviations below the expected 128.
 Linking without listing pairs: documents with equal shingle sets become one class. Buckets
 with equal members are looked at once. Members of a bucket are compared inside one task, in blocks of
 bounded size (a large bucket gives a task for each pair of its blocks): a union-find over the block takes the
-first member's links first, and only pairs that are still apart, that agree in no earlier
-band and that pass the sketch bound are compared on their full shingle sets. A task gives
+first member's links first, and only pairs that are still apart, that share no bucket of an earlier
+band (told by the full band hashes) and that pass the sketch bound are compared on their full shingle sets. A task gives
 back its links as a forest, fewer rows than it has members. Nothing is capped.
 
 Components come from alternating large-star and small-star steps on the links, on written tables.
@@ -178,7 +178,7 @@ def _linker(words: int, percent: int):
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    def bucket(ids, sizes, signs, sides, band, shingles, links) -> None:
+    def bucket(ids, sizes, signs, sides, earlier, shingles, links) -> None:
         m = len(ids)
         parent = np.arange(m)
 
@@ -194,26 +194,26 @@ def _linker(words: int, percent: int):
                 parent[max(a, b)] = min(a, b)
                 links.append((ids[i], ids[j]))
 
-        def candidates(rows: np.ndarray, check_band: bool) -> np.ndarray:
+        def candidates(rows: np.ndarray) -> np.ndarray:
             equal = signs[rows][:, None, :] == signs[None, :, :]
             fit = equal.sum(2) >= LEAST_EQUAL
             small, large = np.minimum(sizes[rows][:, None], sizes), np.maximum(sizes[rows][:, None], sizes)
             fit &= 100 * small >= percent * large
             fit &= (sides[rows][:, None] == 0) | (sides[rows][:, None] != sides)
-            if check_band and band:
-                fit &= ~equal.reshape(*equal.shape[:2], BANDS, ROWS)[:, :, :band].all(3).any(2)
             return fit
 
-        for j in np.flatnonzero(candidates(np.array([0]), False)[0]):
+        for j in np.flatnonzero(candidates(np.array([0]))[0]):
             if j:
                 look(0, int(j))
         step = max(1, (1 << 25) // (m * COORDINATES))
         for low in range(0, m, step):
             rows = np.arange(low, min(low + step, m))
             roots = np.array([root(i) for i in range(m)])
-            fit = candidates(rows, True) & (roots[rows][:, None] != roots) & (np.arange(m) > rows[:, None])
+            fit = candidates(rows) & (roots[rows][:, None] != roots) & (np.arange(m) > rows[:, None])
             for i, j in zip(*np.nonzero(fit), strict=True):
-                look(low + int(i), int(j))
+                # a pair that shares an earlier bucket was compared there
+                if not (earlier[low + i] == earlier[j]).any():
+                    look(low + int(i), int(j))
 
     def link(members: pa.Table) -> pa.Table:
         shingler, links, cache = Shingler(words), [], {}
@@ -221,6 +221,7 @@ def _linker(words: int, percent: int):
         bucket_of, band_of = members["bucket"].to_numpy(), members["band"].to_numpy()
         size, side = members["n"].to_numpy(), members["side"].to_numpy()
         sign = np.frombuffer(b"".join(members["signs"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        hashes = np.array(members["bands"].to_pylist(), np.int64).reshape(-1, BANDS)
         texts = members["octets"].combine_chunks()
         order = np.lexsort((cid, bucket_of))
         for rows in np.split(order, np.flatnonzero(np.diff(bucket_of[order])) + 1):
@@ -231,7 +232,7 @@ def _linker(words: int, percent: int):
                 return cache[key]
 
             if len(rows) > 1:
-                bucket(cid[rows], size[rows], sign[rows], side[rows], int(band_of[rows[0]]), shingles, links)
+                bucket(cid[rows], size[rows], sign[rows], side[rows], hashes[rows, : band_of[rows[0]]], shingles, links)
         pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -268,11 +269,11 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     classes = stored(classes.select(F.col("rep.rid").alias("cid"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"), "least_id", "k0", "k1", "n", "signs", "bands"), "near-classes")
     dealt = stored(_tasks(classes), "near-tasks")
     asked = classes.join(dealt.select("cid").distinct(), "cid").select(
-        "cid", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n", "signs")
+        "cid", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n", "signs", "bands")
     texts = docs.select("doc_id", text_hash, F.col("text").cast("binary").alias("octets"))
-    found = texts.join(asked, texts["doc_id"].eqNullSafe(asked["id"]) & (texts["text_hash"] == asked["hash"])).select("cid", "n", "signs", "octets")
+    found = texts.join(asked, texts["doc_id"].eqNullSafe(asked["id"]) & (texts["text_hash"] == asked["hash"])).select("cid", "n", "signs", "bands", "octets")
     # rows that repeat a class's text are one; combined before they move
-    found = found.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "signs", "octets")])
+    found = found.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "signs", "bands", "octets")])
     members = dealt.join(found, "cid")
     links = stored(members.groupBy("g0", "g1", "g2").applyInArrow(_linker(words, percent), "a long, b long"), "near-links")
     named = components(links)

@@ -4,6 +4,7 @@ import hashlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quantloom.llm import exact_dedup, near_dedup
@@ -91,6 +92,23 @@ def test_near_groups_against_all_pairs(make_docs, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_pair_with_equal_low_bytes_in_an_earlier_band():
+    """Two similar members agree in the low bytes of band 0 but share no bucket there; a third member comes first in their bucket of band 3."""
+    texts = [prose(1, 200), prose(2, 200), prose(2, 200) + " end"]
+    signs = np.random.default_rng(1).integers(0, 256, (3, near_dedup.COORDINATES)).astype(np.uint8)
+    signs[2] = signs[1]
+    bands = np.arange(3 * near_dedup.BANDS).reshape(3, -1)
+    bands[:, 3] = 7
+    members = pa.table({
+        "cid": [10, 11, 12], "bucket": [5, 5, 5], "band": [3, 3, 3], "side": [0, 0, 0], "n": [196, 196, 197],
+        "signs": [x.tobytes() for x in signs], "bands": bands.tolist(), "octets": [t.encode() for t in texts]})
+    links = near_dedup._linker(5, 80)
+    assert links(members).to_pylist() == [{"a": 11, "b": 12}]
+    # a pair that shares the bucket of band 0 was compared there
+    bands[2, 0] = bands[1, 0]
+    assert links(members.set_column(6, "bands", pa.array(bands.tolist()))).num_rows == 0
+
+
 def test_near_dedup_keeps_columns_and_null_ids(make_docs):
     text = prose(3, 200)
     docs = make_docs([(None, text, "en", "s"), (7, text + " more", "en", "s"), (None, prose(4, 50), "en", "s"), (None, None, "en", "s"), (8, None, None, None)])
