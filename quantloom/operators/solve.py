@@ -129,7 +129,7 @@ def constrained_weights(
             if method == "min_variance":
                 return 2 * cv
             if method == "mean_variance":
-                return risk_aversion * cv - mu
+                return risk_aversion * cv - gain
             if method == "max_sharpe":
                 return -(mu / np.sqrt(var) - (v @ mu - rf) * cv / var**1.5)
             part = v * cv / var - 1.0 / n

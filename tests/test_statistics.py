@@ -162,3 +162,24 @@ def test_product_survives_total_loss(spark):
     got = drawdowns(series(spark, [0.1, -1.0, 0.5])).orderBy("date").collect()
     assert [round(r.drawdown, 6) for r in got] == [0.0, -1.0, -1.0]
     assert not any(math.isnan(r.drawdown) for r in got)
+
+
+def test_mean_variance_is_not_worse_than_a_grid_of_books(spark):
+    """Volatile names, so that the scale of the covariance is far from 1."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    days = [date(2020, 1, 1) + timedelta(days=d) for d in range(60)]
+    returns = {t: rng.normal(0, sd, 60) for t, sd in (("A", 0.01), ("B", 0.02), ("C", 0.03))}
+    scores = {"A": 0.02, "B": 0.06, "C": 0.10}
+    rows = [("s", days[-1], t, d, float(r), scores[t]) for t, rets in returns.items() for d, r in zip(days, rets)]
+    df = spark.createDataFrame(rows, "strategy string, date date, ticker string, lag_date date, ret double, score double")
+    got = {r.ticker: r.weight for r in solve.constrained_weights(df, "mean_variance", 0.0, 0.8).collect()}
+    cov, mu = solve._covariance(np.column_stack([returns[t] for t in "ABC"])), np.array([scores[t] for t in "ABC"])
+
+    def objective(w):
+        scale = np.trace(cov) / 3
+        return w @ cov @ w / scale - w @ mu / scale
+
+    grid = [np.array([a, b, 100 - a - b]) / 100 for a, b in product(range(81), repeat=2) if 20 <= a + b <= 100]
+    assert objective(np.array([got[t] for t in "ABC"])) <= min(map(objective, grid)) + 1e-9
