@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontamination, exact_dedup, fixity, language, license_scan, mixing, near_dedup, tokens, toxicity, url_filter
+from quantloom.llm import byte_bpe, decontamination, exact_dedup, fixity, language, license_scan, mixing, near_dedup, tokens, toxicity, url_filter
 from quantloom.llm.common import stored, table  # noqa: F401
 
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_toxicity": lambda spark, folder: toxicity.op8(table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op9_mixing": _over("documents", mixing.op9),
     "op10_token_counts": _over("documents", tokens.op10),
+    "op11_byte_bpe": _over("documents", byte_bpe.op11),
 }
 
 ORACLE = {
