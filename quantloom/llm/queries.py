@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import byte_bpe, conversation_repair, decontamination, exact_dedup, fixity, language, license_scan, mixing, near_dedup, tokens, toxicity, url_filter
+from quantloom.llm import byte_bpe, conversation_repair, conversation_trie, decontamination, exact_dedup, fixity, language, license_scan, mixing, near_dedup, tokens, toxicity, url_filter
 from quantloom.llm.common import stored, table  # noqa: F401
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_token_counts": _over("documents", tokens.op10),
     "op11_byte_bpe": _over("documents", byte_bpe.op11),
     "op12_conversation_repair": _over("conversations", conversation_repair.op12),
+    "op13_conversation_trie": _over("conversations", conversation_trie.op13),
 }
 
 ORACLE = {

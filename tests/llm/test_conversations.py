@@ -8,7 +8,7 @@ from zlib import crc32
 import pytest
 from pyspark.sql import types as T
 
-from quantloom.llm import conversation_repair
+from quantloom.llm import conversation_repair, conversation_trie
 
 SCHEMA = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType()),
@@ -141,3 +141,83 @@ def test_automaton_computes_shared_suffixes_once(monkeypatch):
         automaton.value(word)
     assert len(made) == len({w[i:] for w in words for i in range(len(w))})
 
+
+# -- prefix trie --------------------------------------------------------------------------------
+
+
+def trie_by_hand(rows) -> dict:
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own.setdefault(conv, []).append((turn, role or "", text or ""))
+    for conv in own:
+        own[conv].sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], text_key(r[1], r[2])))
+        own[conv] = [r[1:] for r in own[conv]]
+    built = {}
+    for c in own:
+        h = crc32(str(c).encode()) % 9
+        donor = c - (c % 5 if c >= 0 else -(-c % 5))
+        built[c] = tuple(own.get(donor, [])[:h] + own[c][h:])
+    members, ends = {}, {}
+    for c, said in built.items():
+        for d in range(len(said) + 1):
+            members.setdefault(said[:d], []).append(c)
+        ends.setdefault(said, []).append(c)
+    out = {}
+    for prefix, convs in members.items():
+        inside = [p for p in members if p[: len(prefix)] == prefix]
+        childless = [p for p in inside if not any(len(q) == len(p) + 1 and q[: len(p)] == p for q in inside)]
+        saved = sum((len(members[p]) - 1) * len(p[-1][1].encode()) for p in inside if p)
+        listed = ",".join(map(str, sorted(ends.get(prefix, []))))
+        out[min(convs), len(prefix)] = (
+            min(members[prefix[:-1]]) if prefix else None, len(convs), sum(len(p) == len(prefix) + 1 for p in inside), len(childless), saved, sha256(listed.encode()).hexdigest())
+    return out
+
+
+def nodes_of(talk, rows) -> dict:
+    found = conversation_trie.op13(talk(rows)).collect()
+    out = {(r.conv_id, r.depth): (r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in found}
+    assert len(out) == len(found)
+    return out
+
+
+def shared_rows(seed: int, n: int) -> list[tuple]:
+    rng = random.Random(seed)
+    rows = []
+    for c in range(n):
+        for t in range(rng.randrange(1, 13)):
+            rows.append((c, None if rng.random() < 0.02 else t, rng.choice(["user", None]), "hello" if t == 0 and rng.random() < 0.6 else f"é{rng.randrange(3)}"))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("bound", [1024, 3])
+def test_trie_equals_prefix_by_prefix(talk, monkeypatch, bound):
+    monkeypatch.setattr(conversation_trie, "MEMBERS", bound)
+    monkeypatch.setattr(conversation_trie, "isqrt", lambda n: bound)
+    rows = shared_rows(bound, 70)
+    assert nodes_of(talk, rows) == trie_by_hand(rows)
+
+
+def test_trie_odd_rows(talk):
+    assert conversation_trie.op13(talk([])).collect() == []
+    short = [(c, 0, "user", "x") for c in (7, 11, 13, 16, 22)]  # no donors: some are left without turns
+    assert nodes_of(talk, short) == trie_by_hand(short)
+    copies = [(c, t, "user", f"t{t}") for c in range(0, 60, 5) for t in range(9)]
+    longest = [(100, t, "user", f"t{t}") for t in range(1200)] + [(105, t, "user", f"t{t}") for t in range(700)] + [(101, 0, "user", "b " * 100_000), (None, 0, "user", "x"), (-7, None, None, None), (-7, None, None, None), (-5, 3, "a", "b")]
+    assert nodes_of(talk, copies) == trie_by_hand(copies)
+    assert {k: v[:5] for k, v in nodes_of(talk, longest[1100:]).items()} == {k: v[:5] for k, v in trie_by_hand(longest[1100:]).items()}
+
+
+def test_parentheses_against_parents():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 700, 3000):
+        parent = [rng.randrange(-1, i) if rng.random() < 0.9 or not i else i - 1 for i in range(n)]
+        tree = conversation_trie.Parentheses(parent)
+        assert sorted(tree.order.tolist()) == list(range(n))
+        size = [1] * n
+        for i in reversed(range(n)):
+            if parent[i] >= 0:
+                size[parent[i]] += size[i]
+        for node, start, end in zip(tree.order.tolist(), tree.opens.tolist(), tree.closes().tolist()):
+            assert end - start + 1 == 2 * size[node] and tree.findclose(start) == end
