@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
-from itertools import product
+import math
+import random
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -14,7 +17,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.operators.evaluation import auc
+from quantloom.operators.evaluation import auc, regression
 from quantloom.operators.summaries import class_balance
 from quantloom.operators.xsection import extreme_share, group_stats
 from quantloom.session import reliable
@@ -101,22 +104,61 @@ def balanced(rows: DataFrame, target: str = "target_binary", weight: str = "samp
     return out.withColumn("_w", w).drop("scale_pos_weight").withColumn("label", F.col(target).cast("double"))
 
 
-#: Most boosting rounds (training ends earlier when the newest fifth of the rows stops improving), and the seeds whose models are averaged.
-ROUNDS, SEEDS = 300, (42, 43, 44)
+#: Most boosting rounds, rounds trained before the first look at the validation loss, rounds without a
+#: better loss that end training, and the seeds whose models are averaged.
+ROUNDS, FIRST, PATIENCE, SEEDS = 300, 48, 30, (42, 43, 44)
+#: Fits that run at the same time: a small fit is bound by its many short jobs, not by the cluster.
+ABREAST = 8
+
+
+def side_by_side(tasks: Sequence[Callable]) -> list:
+    """Results of independent fits, run in driver threads whose jobs share the cluster."""
+    with ThreadPoolExecutor(max_workers=max(1, min(ABREAST, len(tasks)))) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
 
 
 def tree_settings(rounds: int, depth: int, seed: int) -> dict:
     return {"maxIter": rounds, "maxDepth": depth, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": seed, "featuresCol": "features"}
 
 
+def training_rows(train: DataFrame, features: Sequence[str], target: str | None = None) -> DataFrame:
+    """Assembled, weighted rows, written once for all seeds and families. The newest fifth is marked ``is_validation``.
+    Without ``target`` the label is the binary target, balanced in ``_w``."""
+    marked = latest_share(decay_weights(train))
+    rows = balanced(marked) if target is None else marked.withColumn("label", F.col(target)).withColumn("_w", F.col("sample_weight"))
+    return reliable(assembler(features).transform(rows).select("features", "label", "_w", (F.col("is_validation") == 1).alias("is_validation")))
+
+
+def best_prefix(estimator, rows: DataFrame, patience: int = PATIENCE, first: int = FIRST, most: int = ROUNDS) -> tuple:
+    """(boosted model cut after the round of least validation loss, losses of all rounds tried).
+
+    The losses of all prefixes come from one pass over the validation rows. Rounds are doubled until the best one
+    is ``patience`` rounds old or ``most`` are reached. A round's draws depend on the seed and its number only, so training
+    again with fewer rounds gives the prefix. Without validation rows all ``first`` rounds stay.
+    """
+    fitted, held = rows.where(~F.col("is_validation")), rows.where("is_validation")
+    if held.isEmpty() or fitted.isEmpty():
+        return estimator.copy({estimator.maxIter: min(first, most)}).fit(rows), []
+    rounds = min(first, most)
+    while True:
+        model = estimator.copy({estimator.maxIter: rounds}).fit(fitted)
+        losses = model.evaluateEachIteration(held) if isinstance(estimator, GBTClassifier) else model.evaluateEachIteration(held, "squared")
+        best = min(range(len(losses)), key=losses.__getitem__) + 1
+        if best + patience <= rounds or rounds >= most:
+            break
+        rounds = min(2 * rounds, most)
+    return (model if best == len(losses) else estimator.copy({estimator.maxIter: best}).fit(fitted)), losses
+
+
+def _staged(features: Sequence[str], model) -> PipelineModel:
+    return PipelineModel(stages=[assembler(features), model])
+
+
 def boosted_classifiers(train: DataFrame, features: Sequence[str], seeds: Sequence[int] = SEEDS, rounds: int = ROUNDS, depth: int = 4) -> list[PipelineModel]:
-    """One boosted classifier per seed, with early stopping on the newest 20 %."""
-    rows = reliable(balanced(latest_share(decay_weights(train))).withColumn("is_validation", F.col("is_validation") == 1))
-    models = []
-    for s in seeds:
-        gbt = GBTClassifier(labelCol="label", weightCol="_w", validationIndicatorCol="is_validation", **tree_settings(rounds, depth, s))
-        models.append(Pipeline(stages=[assembler(features), gbt]).fit(rows))
-    return models
+    """One boosted classifier per seed, each cut at its best round on the newest 20 %."""
+    rows = training_rows(train, features)
+    fit = lambda s: best_prefix(GBTClassifier(labelCol="label", weightCol="_w", **tree_settings(rounds, depth, s)), rows, most=rounds)[0]
+    return [_staged(features, m) for m in side_by_side([partial(fit, s) for s in seeds])]
 
 
 def mean_probability(models: Sequence, rows: DataFrame, name: str = "pred_proba") -> DataFrame:
@@ -131,45 +173,46 @@ def mean_probability(models: Sequence, rows: DataFrame, name: str = "pred_proba"
     return out.withColumn(name, total / len(cols)).drop(*[f"_p{i}" for i in range(len(models))])
 
 
-def boosted_regressor(train: DataFrame, features: Sequence[str], target: str, seed: int = 42, rounds: int = ROUNDS, depth: int = 4) -> PipelineModel:
-    rows = latest_share(decay_weights(train)).withColumn("is_validation", F.col("is_validation") == 1).withColumn("label", F.col(target))
-    gbt = GBTRegressor(labelCol="label", weightCol="sample_weight", validationIndicatorCol="is_validation", **tree_settings(rounds, depth, seed))
-    return Pipeline(stages=[assembler(features), gbt]).fit(reliable(rows))
+def boosted_regressors(train: DataFrame, features: Sequence[str], target: str, seeds: Sequence[int] = SEEDS, rounds: int = ROUNDS, depth: int = 4) -> list[PipelineModel]:
+    """One boosted regressor per seed, each cut at its best round on the newest 20 %."""
+    rows = training_rows(train, features, target)
+    fit = lambda s: best_prefix(GBTRegressor(labelCol="label", weightCol="_w", **tree_settings(rounds, depth, s)), rows, most=rounds)[0]
+    return [_staged(features, m) for m in side_by_side([partial(fit, s) for s in seeds])]
 
 
 def model_families(train: DataFrame, features: Sequence[str], seed: int = 42, rounds: int = ROUNDS, depth: int = 4) -> dict[str, PipelineModel]:
     """Boosted trees, random forest and a logistic model on standardised features. The
     scaler is fitted on the training rows only."""
-    rows = reliable(balanced(latest_share(decay_weights(train))).withColumn("is_validation", F.col("is_validation") == 1))
-    raw = assembler(features)
-    scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    rows = training_rows(train, features)
     common = {"labelCol": "label", "weightCol": "_w"}
-    return {
-        "boosted": Pipeline(stages=[raw, GBTClassifier(validationIndicatorCol="is_validation", **common, **tree_settings(rounds, depth, seed))]).fit(rows),
-        "forest": Pipeline(stages=[raw, RandomForestClassifier(featuresCol="features", numTrees=200, maxDepth=depth + 1, seed=seed, **common)]).fit(rows),
-        "logistic": Pipeline(stages=[raw, scale, LogisticRegression(featuresCol="scaled", regParam=0.01, maxIter=30, **common)]).fit(rows),
-    }
+    scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    boosted = partial(best_prefix, GBTClassifier(**common, **tree_settings(rounds, depth, seed)), rows, most=rounds)
+    forest = partial(RandomForestClassifier(featuresCol="features", numTrees=200, maxDepth=depth + 1, seed=seed, **common).fit, rows)
+    logistic = partial(Pipeline(stages=[scale, LogisticRegression(featuresCol="scaled", regParam=0.01, maxIter=30, **common)]).fit, rows)
+    (cut, _losses), grown, line = side_by_side([boosted, forest, logistic])
+    return {"boosted": _staged(features, cut), "forest": _staged(features, grown), "logistic": PipelineModel(stages=[assembler(features), *line.stages])}
 
 
-def stacked(train: DataFrame, features: Sequence[str], folds: int = 3, seed: int = 42, rounds: int = ROUNDS, depth: int = 3):
+def stacked(train: DataFrame, features: Sequence[str], folds: int = 3, seed: int = 42, most: int = ROUNDS, depth: int = 3):
     """Base learners scored out of fold (hash folds), then a logistic blend. Returns the
     blend and the base learners refitted on everything."""
     rows = reliable(train.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), "ticker", "date"), F.lit(folds)).cast("int")))
+    parts = [rows.where(F.col("_fold") != k) for k in range(folds)]
+    *bases, whole = side_by_side([partial(_pair, part, features, seed, most, depth) for part in [*parts, rows]])
     held = None
-    for k in range(folds):
-        base = _pair(rows.where(F.col("_fold") != k), features, seed, rounds, depth)
+    for k, base in enumerate(bases):
         part = _base_scores(base, rows.where(F.col("_fold") == k))
         held = part if held is None else held.unionByName(part)
     meta_rows = reliable(balanced(decay_weights(held)))
     meta = Pipeline(stages=[assembler(["base_a", "base_b"]), LogisticRegression(labelCol="label", weightCol="_w", maxIter=30)]).fit(meta_rows)
-    return meta, _pair(rows, features, seed, rounds, depth)
+    return meta, whole
 
 
 def _pair(rows: DataFrame, features: Sequence[str], seed: int, rounds: int, depth: int) -> tuple[PipelineModel, PipelineModel]:
-    ready = reliable(balanced(latest_share(decay_weights(rows))).withColumn("is_validation", F.col("is_validation") == 1))
-    a = GBTClassifier(labelCol="label", weightCol="_w", validationIndicatorCol="is_validation", **tree_settings(rounds, depth, seed))
-    b = RandomForestClassifier(labelCol="label", weightCol="_w", numTrees=100, maxDepth=depth + 1, seed=seed)
-    return Pipeline(stages=[assembler(features), a]).fit(ready), Pipeline(stages=[assembler(features), b]).fit(ready)
+    ready = training_rows(rows, features)
+    a, _losses = best_prefix(GBTClassifier(labelCol="label", weightCol="_w", **tree_settings(rounds, depth, seed)), ready, most=rounds)
+    b = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="_w", numTrees=100, maxDepth=depth + 1, seed=seed).fit(ready)
+    return _staged(features, a), _staged(features, b)
 
 
 def _base_scores(pair: tuple, rows: DataFrame) -> DataFrame:
@@ -181,21 +224,61 @@ def stacked_probability(meta: PipelineModel, pair: tuple, rows: DataFrame, name:
     return probability(meta, _base_scores(pair, rows), name).drop("features")
 
 
-def search(rows: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence], years: Sequence[int], seed: int = 42) -> DataFrame:
-    """AUC of every parameter combination on time-ordered splits (train before the year,
-    validate in it), averaged; best first."""
-    results = None
-    for values in product(*grid.values()):
-        chosen = dict(zip(grid, values))
-        for year in years:
-            train, valid = rows.where(F.year("date") < year), rows.where(F.year("date") == year)
-            gbt = GBTClassifier(labelCol="label", weightCol="_w", validationIndicatorCol="is_validation", **tree_settings(chosen.get("rounds", ROUNDS), chosen.get("depth", 4), seed))
-            ready = balanced(latest_share(decay_weights(train))).withColumn("is_validation", F.col("is_validation") == 1)
-            model = Pipeline(stages=[assembler(features), gbt]).fit(reliable(ready))
-            scored = probability(model, valid, "score").withColumn("params", F.lit(json.dumps(chosen, sort_keys=True)))
-            part = auc(scored.select("params", "score", "target_binary"), ["params"]).withColumn("year", F.lit(year))
-            results = part if results is None else results.unionByName(part)
-    return results.groupBy("params").agg(F.avg("auc").alias("mean_auc"), F.count("auc").alias("n_splits")).orderBy(F.desc("mean_auc"))
+#: Ranges of the boosted trees' parameters: whole numbers, log-uniform and uniform draws.
+RANGES = {"maxDepth": ("whole", 2, 6), "stepSize": ("log", 0.02, 0.3), "subsamplingRate": ("uniform", 0.6, 1.0), "minInstancesPerNode": ("whole", 1, 20), "minInfoGain": ("log", 1e-5, 1e-2)}
+
+
+def draw_parameters(ranges: Mapping[str, tuple], n: int, seed: int = 42) -> list[dict]:
+    """``n`` different seeded draws; a range is (kind, low, high) or ("choice", values)."""
+    rng, out = random.Random(seed), []
+    kinds = {"whole": rng.randint, "uniform": rng.uniform, "log": lambda a, b: math.exp(rng.uniform(math.log(a), math.log(b)))}
+    for _ in range(50 * n):
+        drawn = {name: rng.choice(given[1]) if given[0] == "choice" else kinds[given[0]](*given[1:]) for name, given in ranges.items()}
+        drawn = {name: float(f"{v:.6g}") if isinstance(v, float) else v for name, v in drawn.items()}
+        if drawn not in out:
+            out.append(drawn)
+        if len(out) == n:
+            break
+    return out
+
+
+def search(rows: DataFrame, features: Sequence[str], ranges: Mapping[str, tuple], years: Sequence[int], metric: str = "auc", n: int = 8, rounds: Sequence[int] = (8, 16, 32), seed: int = 42, target: str = "target_regression") -> DataFrame:
+    """Random search with successive halving on time-ordered splits (train before the year, validate in it).
+
+    All draws are trained for ``rounds[0]`` boosting rounds, the better half of them for ``rounds[1]``, and so on. ``metric`` is
+    ``auc`` of the binary target (larger is better) or ``rmse`` of ``target`` (smaller). Returns one row per draw and step: params, step, rounds,
+    mean_score over the splits, n_splits and place in its step; the winner is place 1 of the last step.
+    """
+    if metric not in ("auc", "rmse"):
+        raise ValueError(f"unknown metric: {metric}")
+    classify = metric == "auc"
+    ready = {y: training_rows(rows.where(F.year("date") < y), features, None if classify else target) for y in years}
+    valid = {y: reliable(assembler(features).transform(rows.where(F.year("date") == y)).select("features", "target_binary", target)) for y in years}
+    kind = GBTClassifier if classify else GBTRegressor
+
+    def scored(chosen: dict, year: int, budget: int) -> DataFrame:
+        model = kind(labelCol="label", weightCol="_w", featuresCol="features", maxIter=budget, seed=seed, **chosen).fit(ready[year])
+        out = probability(model, valid[year], "score") if classify else model.transform(valid[year]).withColumnRenamed("prediction", "score")
+        return out.select(F.lit(json.dumps(chosen, sort_keys=True)).alias("params"), F.lit(year).alias("year"), "score", "target_binary", F.col(target).alias("actual"))
+
+    alive, spark, out = draw_parameters(ranges, n, seed), rows.sparkSession, []
+    for step, budget in enumerate(rounds, 1):
+        parts = side_by_side([partial(scored, chosen, year, budget) for chosen in alive for year in years])
+        every = reliable(reduce(DataFrame.unionByName, parts))
+        quality = auc(every, ["params", "year"]) if classify else regression(every, ["params", "year"], "score", "actual")
+        means = {r[0]: (r[1], r[2]) for r in quality.groupBy("params").agg(F.avg(metric), F.count(metric)).collect()}  # one row per draw
+        order = sorted(alive, key=lambda c: ((-1 if classify else 1) * (means[json.dumps(c, sort_keys=True)][0] or 0.0), json.dumps(c, sort_keys=True)))
+        out += [(name := json.dumps(c, sort_keys=True), step, budget, *means[name], place) for place, c in enumerate(order, 1)]
+        alive = order[: max(1, len(order) // 2)]
+    return spark.createDataFrame(out, "params string, step int, rounds int, mean_score double, n_splits long, place int")
+
+
+def standardised(train: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(ticker, date, feature, z): every column of ``rows`` less the training mean, by the training sample deviation."""
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(assembler(columns).transform(train))
+    out = scaler.transform(assembler(columns).transform(rows)).select("ticker", "date", F.posexplode(vector_to_array("scaled")).alias("_at", "z"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return out.select("ticker", "date", names[F.col("_at")].alias("feature"), "z")
 
 
 def importance(models: Mapping[str, PipelineModel], features: Sequence[str], weights: Mapping[str, float]) -> DataFrame:

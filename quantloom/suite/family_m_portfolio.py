@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import panel, regime, returns, risk, solve, weights
+from quantloom.operators import limited, panel, regime, returns, risk, solve, weights
 from quantloom.plans.derived import BOOKS
 from quantloom.session import reliable
 from quantloom.suite.oracle import add_cte
@@ -186,6 +186,34 @@ def _(m):
     return _constrained(m).groupBy("method", "strategy", "date").agg(F.sum("weight").alias("total"), F.count_if(beyond).alias("outside"))
 
 
+LIMITS = {
+    "beta_sector": limited.Limits(high=0.30, beta=(-1.0, 1.5), sector=0.60),
+    "volatility_turnover": limited.Limits(high=0.30, volatility=16.0, turnover=0.9),
+    "neutral": limited.Limits(high=0.30, beta=(-1.0, 2.0), sector=0.70, neutral=("return_6m",), neutral_band=0.5),
+    "long_short": limited.Limits(low=-0.25, high=0.25, budget=0.0, beta=(0.0, 0.0), sector=0.15, gross=1.0),
+}
+
+
+def _limited(m):
+    """Look-back rows of every book with what the limits need."""
+    picks = m.books().select("strategy", "date", "ticker", "score", "weight", "sector", "return_6m")
+    beta = panel.trailing_beta(m.prices(), m.bench()).select("ticker", "date", "beta")
+    before = weights.align_weights(picks, weights.carried_forward(picks.select("strategy", "date", "ticker", "weight")), ["strategy", "date"])
+    gone = before.where("weight_now = 0").groupBy("strategy", "date").agg(F.sum("weight_before").alias("dropped_weight"))
+    about = picks.drop("weight", "score").join(beta, ["ticker", "date"], "left")
+    about = about.join(before.select("strategy", "date", "ticker", F.col("weight_before").alias("prior_weight")), ["strategy", "date", "ticker"]).join(gone, ["strategy", "date"], "left")
+    return reliable(_samples(m, 126).join(about, ["strategy", "date", "ticker"]))
+
+
+@case("m15_limit_violations", "limits strategy date:d violations:i unproven:i", f"""SELECT limits, strategy, date, 0 AS violations, 0 AS unproven FROM (SELECT DISTINCT strategy, date FROM books) CROSS JOIN (VALUES {', '.join(f"('{x}')" for x in LIMITS)}) v(limits)""")
+def _(m):
+    rows, out = _limited(m), None
+    for name, limits in LIMITS.items():
+        part = limited.violations(reliable(limited.limited_weights(rows, limits)), limits).withColumn("limits", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @case("m16_weight_turnover", "strategy date:d turnover:8", "SELECT f.strategy, f.date, CASE WHEN k = 1 THEN 0 ELSE sum(abs(weight_now - weight_before)) / 2 END AS turnover FROM bookdiff f JOIN bookdates d ON d.strategy = f.strategy AND d.date = f.date GROUP BY 1, 2, k")
 def _(m):
     return weights.weight_turnover(m.books())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators import evaluation, learn, weights
@@ -12,6 +15,9 @@ from quantloom.session import reliable, scratch
 from quantloom.suite.oracle import add_cte, rank_sql
 from quantloom.suite.registry import case
 
+#: Columns that are standardised: all raw features and both market columns.
+STANDARDISED = [*learn.MODEL_RAW, "market_volatility", "market_trend"]
+
 add_cte("tgtrows", "SELECT t.ticker, t.date, year(t.date) AS year, target_binary, future_return_resid, score FROM tgt t JOIN scores s ON s.ticker = t.ticker AND s.date = t.date WHERE target_binary IS NOT NULL AND score IS NOT NULL")
 add_cte("folds", """SELECT f.y AS test_year, 'train' AS part, t.* FROM tgtrows t JOIN (SELECT DISTINCT year AS y FROM tgtrows WHERE year >= (SELECT min(year) + 3 FROM tgtrows)) f ON t.year < f.y
   UNION ALL SELECT year, 'test', t.* FROM tgtrows t WHERE year >= (SELECT min(year) + 3 FROM tgtrows)""")
@@ -56,12 +62,31 @@ def _last_fold(m):
     return train, rows.where(F.year("date") == year).fillna(0.0, columns), columns
 
 
-@case("o05_boosted_classifier", "ticker date:d test_year:i pred_proba:6")
+@case("o05_boosted_classifier", "ticker date:d test_year:i trees:i pred_proba:6")
 def _(m):
     rows, columns = _features(m)
     return walkforward.fold_scores(rows, columns, walkforward.boosted_scorer(columns))
 
 
+@case("o05_best_prefix", "test_year:i seed:i beaten:i impatient:i", f"SELECT y AS test_year, seed, 0 AS beaten, 0 AS impatient FROM (SELECT DISTINCT year(date) AS y FROM scores WHERE year(date) >= (SELECT min(year(date)) + 3 FROM scores)) CROSS JOIN (VALUES {', '.join(f'({s})' for s in learn.SEEDS)}) v(seed)")
+def _(m):
+    """Per fold and seed: whether a shorter prefix has a lower loss than the kept one, and whether training ended early without patience."""
+    from pyspark.ml.classification import GBTClassifier
+
+    rows, columns = _features(m)
+    first, last = learn.test_years(rows)
+
+    def look(year, seed, ready):
+        model, losses = learn.best_prefix(GBTClassifier(labelCol="label", weightCol="_w", **learn.tree_settings(learn.ROUNDS, 4, seed)), ready)
+        kept = model.evaluateEachIteration(ready.where("is_validation"))
+        early = len(losses) < learn.ROUNDS and len(losses) - len(kept) < learn.PATIENCE
+        return year, seed, int(any(loss < kept[-1] - 1e-9 for loss in losses)), int(early)
+
+    ready = {y: learn.training_rows(walkforward.fold_rows(rows, columns, y, "target_binary")[0], columns) for y in range(first, last + 1)}
+    found = learn.side_by_side([partial(look, y, s, ready[y]) for y in ready for s in learn.SEEDS])
+    return m.spark.createDataFrame(found, "test_year int, seed int, beaten int, impatient int")
+
+
 @case("o06_boosted_regressor", "ticker date:d prediction:6 rank_score:6")
 def _(m):
     rows, columns = _features(m)
@@ -120,31 +145,39 @@ def _(m):
     return evaluation.yearly_quality(reliable(m.scored_targets()))
 
 
-@case("o13_parameter_search", "params mean_auc:6 n_splits:i")
+@case("o13_parameter_search", "metric params step:i rounds:i mean_score:6 n_splits:i place:i")
 def _(m):
     rows, columns = _features(m)
-    clean = reliable(rows.dropna(subset=["target_binary", *columns]))
+    clean = reliable(rows.dropna(subset=["target_binary", "target_regression", *columns]))
     first, last = learn.test_years(clean)
-    return learn.search(clean, columns, {"depth": [3, 4, 5]}, range(first, last + 1))
+    found = [learn.search(clean, columns, learn.RANGES, range(first, last + 1), metric).withColumn("metric", F.lit(metric)) for metric in ("auc", "rmse")]
+    return found[0].unionByName(found[1])
 
 
-@case("o14_feature_importance", "feature importance:6")
+@case("o14_feature_importance", "test_year:i feature importance:6")
 def _(m):
-    train, _test, columns = _last_fold(m)
-    models = learn.model_families(train, columns)
-    return learn.importance({k: models[k] for k in ("boosted", "forest")}, columns, {"boosted": 0.6, "forest": 0.4})
+    rows, columns = _features(m)
+    first, last = learn.test_years(rows)
 
+    def fold(year):
+        models = learn.model_families(walkforward.fold_rows(rows, columns, year, "target_binary")[0], columns)
+        return learn.importance({k: models[k] for k in ("boosted", "forest")}, columns, {"boosted": 0.6, "forest": 0.4}).withColumn("test_year", F.lit(year))
 
-@case("o15_standardised_features", "ticker date:d z_return_6m:6 z_volatility_20d:6")
-def _(m):
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import vector_to_array
+    return reduce(DataFrame.unionByName, learn.side_by_side([partial(fold, y) for y in range(first, last + 1)]))
+
+
+add_cte("stdrows", "SELECT *, year(date) AS year FROM (" + " UNION ALL ".join(f"SELECT ticker, date, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM xs" for c in STANDARDISED) + ")")
+add_cte("stdfull", "SELECT ticker, date, year(date) AS year FROM xs WHERE target_binary IS NOT NULL" + "".join(f" AND {c} IS NOT NULL" for c in STANDARDISED))
 
-    train, test, _columns = _last_fold(m)
-    cols = ["return_6m", "volatility_20d"]
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(learn.assembler(cols).transform(train))
-    out = scaler.transform(learn.assembler(cols).transform(test)).withColumn("z", vector_to_array("scaled"))
-    return out.select("ticker", "date", F.col("z")[0].alias("z_return_6m"), F.col("z")[1].alias("z_volatility_20d"))
+
+@case("o15_standardised_features", "test_year:i ticker date:d feature z:5", """SELECT f.test_year, r.ticker, r.date, r.feature, (coalesce(r.v, 0) - mean) / sd AS z FROM (
+  SELECT y AS test_year, feature, avg(v) AS mean, stddev_samp(v) AS sd FROM (SELECT DISTINCT year AS y FROM stdrows WHERE year >= (SELECT min(year) + 3 FROM stdrows)) JOIN stdrows ON year < y SEMI JOIN stdfull ON stdfull.ticker = stdrows.ticker AND stdfull.date = stdrows.date GROUP BY 1, 2) f
+  JOIN stdrows r ON r.year = f.test_year AND r.feature = f.feature""")
+def _(m):
+    rows, _columns = _features(m)
+    first, last = learn.test_years(rows)
+    parts = [learn.standardised(*walkforward.fold_rows(rows, STANDARDISED, y, "target_binary"), STANDARDISED).withColumn("test_year", F.lit(y)) for y in range(first, last + 1)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @case("o16_batch_scoring", "date:d ticker place:i pred_proba:6 weight:6 final_weight:6")
@@ -159,16 +192,25 @@ def _(m):
     return picks.join(F.broadcast(level), "date").withColumn("final_weight", F.col("weight") * F.col("position_scale") * 100)
 
 
-@case("o17_model_persistence", "test_year:i n_features:i n_scored:i mean_proba:6")
+@case("o17_model_persistence", "test_year:i seed:i n_features:i n_trees:i n_scored:i mean_proba:6")
 def _(m):
-    train, test, columns = _last_fold(m)
-    path = scratch(m.spark, "model")
-    model = learn.boosted_classifiers(train, columns, (42,))[0]
-    about = train.agg((F.max(F.year("date")) + 1).alias("test_year"), F.lit(len(columns)).alias("n_features"))
-    learn.save_model(model, path, about)
-    loaded, metadata = learn.load_model(m.spark, path)
-    scored = learn.probability(loaded, test, "p").agg(F.count(F.lit(1)).alias("n_scored"), F.avg("p").alias("mean_proba"))
-    return metadata.crossJoin(F.broadcast(scored))
+    """Every fold and seed written with its metadata, read back and used."""
+    rows, columns = _features(m)
+    first, last = learn.test_years(rows)
+
+    def fold(year):
+        train, test = walkforward.fold_rows(rows, columns, year, "target_binary")
+        out = []
+        for seed, model in zip(learn.SEEDS, learn.boosted_classifiers(train, columns)):
+            path = scratch(m.spark, "model")
+            about = m.spark.range(1).select(F.lit(year).alias("test_year"), F.lit(seed).alias("seed"), F.lit(len(columns)).alias("n_features"), F.lit(model.stages[-1].getNumTrees).alias("n_trees"))
+            learn.save_model(model, path, about)
+            loaded, metadata = learn.load_model(m.spark, path)
+            scored = learn.probability(loaded, test, "p").agg(F.count(F.lit(1)).alias("n_scored"), F.avg("p").alias("mean_proba"))
+            out.append(metadata.crossJoin(F.broadcast(scored)))
+        return reduce(DataFrame.unionByName, out)
+
+    return reduce(DataFrame.unionByName, learn.side_by_side([partial(fold, y) for y in range(first, last + 1)]))
 
 
 @case("o18_retrain_due", "sector last_trained:d age_days:i retrain:i", """SELECT sector, coalesce(last_trained, DATE '1900-01-01') AS last_trained, coalesce(today - last_trained, -1) AS age_days, CASE WHEN coalesce(today - last_trained, 90) >= 90 THEN 1 ELSE 0 END AS retrain FROM (SELECT sector, max(date) FILTER (n >= 160) AS last_trained, (SELECT max(date) FROM prices) AS today FROM (
