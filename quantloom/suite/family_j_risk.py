@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import risk, validation
 from quantloom.operators.labels import residual_return, smooth_return
-from quantloom.suite.oracle import add_cte, rank_sql
+from quantloom.suite.oracle import add_cte, normal_sql, rank_sql, student_sql
 from quantloom.suite.registry import case
 
 add_cte("ser", """SELECT strategy, date, round(0.02::DOUBLE * ln(1 + a) - 0.006::DOUBLE, 8) AS r, round(0.02::DOUBLE * ln(1 + b) - 0.005::DOUBLE, 8) AS b FROM (
@@ -161,6 +161,11 @@ def _ic_sql(by):
             f"{rank_sql('score', by)} AS rs, {rank_sql('future_return_resid', by)} AS ra FROM icr) GROUP BY 1")
 
 
+def _p_sql(by):
+    p = student_sql("t", "df")
+    return f"SELECT *, CASE WHEN n_samples < 10 THEN 1.0 WHEN abs(ic) >= 1 THEN 0.0 ELSE {p} END AS ic_pvalue FROM (SELECT *, n_samples - 2.0::DOUBLE AS df, ic * sqrt((n_samples - 2) / nullif(1 - ic * ic, 0)) AS t FROM ({_ic_sql(by)}))"
+
+
 add_cte("icdate", _ic_sql("date"))
 
 
@@ -169,12 +174,12 @@ def _ic_rows(m):
     return m.scores().select("ticker", "date", "score").join(target, ["ticker", "date"]).withColumn("year", F.year("date"))
 
 
-@case("k02_information_coefficient", "year:i n_samples:i ic:8 pearson_ic:8", _ic_sql("year"))
+@case("k02_information_coefficient", "year:i n_samples:i ic:8 pearson_ic:8 ic_pvalue:6", _p_sql("year"))
 def _(m):
     return validation.information_coefficient(_ic_rows(m), ["year"], "score", "future_return_resid", ["ticker", "date"])
 
 
-@case("k02_information_coefficient_by_date", "date:d n_samples:i ic:8 pearson_ic:8", _ic_sql("date"))
+@case("k02_information_coefficient_by_date", "date:d n_samples:i ic:8 pearson_ic:8 ic_pvalue:6", _p_sql("date"))
 def _(m):
     return validation.information_coefficient(_ic_rows(m), ["date"], "score", "future_return_resid")
 
@@ -189,15 +194,21 @@ def _(m):
     return validation.t_test(m.sector_series().withColumn("e", F.col("r") - F.col("b")), "e")
 
 
-@case("k04_t_test_p_value", "strategy p_value:6 significant_5pct:i")
+add_cte("ttest", "SELECT strategy, count(*) - 1.0::DOUBLE AS df, avg(r - b) / (stddev_samp(r - b) / sqrt(count(*))) AS t FROM ser GROUP BY 1")
+
+
+@case("k04_t_test_p_value", "strategy p_value:6 significant_5pct:i", f"SELECT strategy, p_value, CAST(p_value < 0.05 AS INT) AS significant_5pct FROM (SELECT strategy, {student_sql('t', 'df')} AS p_value FROM ttest)")
 def _(m):
     return validation.t_test(m.sector_series().withColumn("e", F.col("r") - F.col("b")), "e")
 
 
-@case("k05_monte_carlo", "strategy mean_terminal:4 median_terminal:4 percentile_5:4 percentile_95:4 prob_gain:4 prob_double:4", f"""SELECT strategy, avg(w) AS mean_terminal, median(w) AS median_terminal, quantile_cont(w, 0.05) AS percentile_5, quantile_cont(w, 0.95) AS percentile_95,
+add_cte("montecarlo", f"""SELECT strategy, avg(w) AS mean_terminal, median(w) AS median_terminal, quantile_cont(w, 0.05) AS percentile_5, quantile_cont(w, 0.95) AS percentile_95,
   avg(CAST(w > 1 AS DOUBLE)) AS prob_gain, avg(CAST(w > 2 AS DOUBLE)) AS prob_double FROM (SELECT strategy, i, product(1 + mu + sd * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2)) AS w FROM (
     SELECT *, {_draw_sql("42", "strategy", "i", "k", "1")} AS u1, {_draw_sql("42", "strategy", "i", "k", "2")} AS u2 FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM (SELECT *, unnest(range(10000)) AS i FROM (
       SELECT strategy, avg(portfolio_return) AS mu, stddev_samp(portfolio_return) AS sd, count(*) AS n FROM strat GROUP BY 1)))) GROUP BY 1, 2) GROUP BY 1""")
+
+
+@case("k05_monte_carlo", "strategy mean_terminal:4 median_terminal:4 percentile_5:4 percentile_95:4 prob_gain:4 prob_double:4", "SELECT * FROM montecarlo")
 def _(m):
     return validation.monte_carlo(m.strategy_returns(), "portfolio_return")
 
@@ -207,7 +218,10 @@ def _(m):
     return validation.sharpe_test(m.sector_series())
 
 
-@case("k06_sharpe_p_value", "strategy p_value:6")
+add_cte("ztest", "SELECT strategy, (sr - 0.40) / sqrt((1 + 0.5 * sr * sr) / n) AS z FROM (SELECT strategy, count(*) AS n, (avg(r) * 252 - 0.04) / (stddev_samp(r) * sqrt(252)) AS sr FROM ser GROUP BY 1)")
+
+
+@case("k06_sharpe_p_value", "strategy p_value:6", f"SELECT strategy, {normal_sql('z')} AS p_value FROM ztest")
 def _(m):
     return validation.sharpe_test(m.sector_series())
 
@@ -215,11 +229,14 @@ def _(m):
 add_cte("pooled", "SELECT strategy, date, 0 AS side, portfolio_return AS x FROM strat UNION ALL SELECT strategy, date, 1, spy_return FROM strat")
 
 
-@case("k07_permutation_test", "strategy observed_difference:6 p_value:4", f"""SELECT strategy, observed_difference, avg(CAST(s / n_own - (total - s) / n_own >= observed_difference AS DOUBLE)) AS p_value FROM (
+add_cte("permuted", f"""SELECT strategy, observed_difference, avg(CAST(s / n_own - (total - s) / n_own >= observed_difference AS DOUBLE)) AS p_value FROM (
   SELECT strategy, i, any_value(observed_difference) AS observed_difference, any_value(total) AS total, any_value(n_own) AS n_own, sum(x) FILTER (k <= n_own) AS s FROM (
     SELECT *, row_number() OVER (PARTITION BY strategy, i ORDER BY u, date, side) AS k FROM (SELECT *, {_draw_sql("42", "p.strategy", "i", "strftime(date, '%Y-%m-%d')", "side")} AS u FROM (
       SELECT p.*, observed_difference, total, n_own, unnest(range(10000)) AS i FROM pooled p JOIN (
         SELECT strategy, avg(portfolio_return) - avg(spy_return) AS observed_difference, sum(portfolio_return) + sum(spy_return) AS total, count(*) AS n_own FROM strat GROUP BY 1) o ON o.strategy = p.strategy) p)) GROUP BY 1, 2) GROUP BY 1, 2""")
+
+
+@case("k07_permutation_test", "strategy observed_difference:6 p_value:4", "SELECT * FROM permuted")
 def _(m):
     return validation.permutation_test(m.strategy_returns(), "portfolio_return", "spy_return")
 
@@ -237,7 +254,13 @@ def _(m):
     return validation.mean_interval(m.sector_series())
 
 
-@case("k10_validation_bundle", "strategy t_statistic:6 t_pvalue:6 z_score:6 sharpe_pvalue:6 permutation_pvalue:4 mean_terminal:4 ci_lower:6 ci_upper:6")
+add_cte("bundle", """SELECT *, t * 1.0::DOUBLE AS t_statistic, (sr - 0.40) / sqrt((1 + 0.5 * sr * sr) / n) AS z_score FROM (SELECT strategy, count(*) AS n, count(*) - 1.0::DOUBLE AS df,
+  avg(portfolio_return - spy_return) / (stddev_samp(portfolio_return - spy_return) / sqrt(count(*))) AS t, (avg(portfolio_return) * 252 - 0.04) / (stddev_samp(portfolio_return) * sqrt(252)) AS sr,
+  avg(portfolio_return) * 252 AS mu, stddev_samp(portfolio_return) / sqrt(count(*)) * sqrt(252) * 1.959963984540054::DOUBLE AS half FROM strat GROUP BY 1)""")
+
+
+@case("k10_validation_bundle", "strategy t_statistic:6 t_pvalue:6 z_score:6 sharpe_pvalue:6 permutation_pvalue:4 mean_terminal:4 ci_lower:6 ci_upper:6", f"""SELECT b.strategy, t_statistic, {student_sql('t', 'df')} AS t_pvalue, z_score, {normal_sql('z_score')} AS sharpe_pvalue,
+  p.p_value AS permutation_pvalue, mean_terminal, mu - half AS ci_lower, mu + half AS ci_upper FROM bundle b JOIN montecarlo m ON m.strategy = b.strategy JOIN permuted p ON p.strategy = b.strategy""")
 def _(m):
     from quantloom.session import reliable
 

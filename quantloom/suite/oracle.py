@@ -63,6 +63,29 @@ def mean_sql(items, default=50.0) -> str:
     return f"coalesce(CAST({total} AS DOUBLE) / nullif({n}, 0), {default})"
 
 
+def _beta_part_sql(a: str, b: str, x: str) -> str:
+    odd = f"-({a} + m - 1) * ({a} + {b} + m - 1) * {x} / (({a} + 2 * m - 2) * ({a} + 2 * m - 1))"
+    even = f"m * ({b} - m) * {x} / (({a} + 2 * m - 1) * ({a} + 2 * m))"
+    steps = "list_transform(range(300), lambda i: CAST(300 - i AS DOUBLE))"
+    fraction = f"(1 / (1 + list_reduce({steps}, lambda v, m: ({odd}) / (1 + ({even}) / (1 + v)), 0.0::DOUBLE)))"
+    return f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x})) * {fraction} / {a}"
+
+
+def student_sql(t: str, df: str) -> str:
+    """Two-sided Student p-value of columns, by the continued fraction of the incomplete beta function."""
+    a, b, x = f"({df} / 2.0::DOUBLE)", "0.5::DOUBLE", f"({df} / ({df} + {t} * {t}))"
+    return (
+        f"(CASE WHEN {t} IS NULL OR {df} <= 0 THEN NULL WHEN {t} = 0 THEN 1.0 WHEN {x} > ({a} + 1) / ({a} + 2.5) THEN 1 - {_beta_part_sql(b, a, f'(1 - {x})')}"
+        f" ELSE {_beta_part_sql(a, b, x)} END)"
+    )
+
+
+def normal_sql(z: str) -> str:
+    """P(Z > z) by Simpson's rule over 2,000 steps."""
+    weight = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(0.5 - {z} / 6000.0 / sqrt(2 * pi()) * list_sum(list_transform(range(2001), lambda i: {weight} * exp(-pow({z} * i / 2000.0, 2) / 2))))"
+
+
 _lags = ",\n".join(
     f"CASE WHEN row_number() OVER {_W} > {n} THEN adj_close / lag(adj_close, {n}) OVER {_W} - 1 END AS {c}"
     for c, n in RETURN_BARS.items()

@@ -183,3 +183,18 @@ def test_mean_variance_is_not_worse_than_a_grid_of_books(spark):
 
     grid = [np.array([a, b, 100 - a - b]) / 100 for a, b in product(range(81), repeat=2) if 20 <= a + b <= 100]
     assert objective(np.array([got[t] for t in "ABC"])) <= min(map(objective, grid)) + 1e-9
+
+
+def test_distribution_columns_equal_the_functions(spark):
+    from pyspark.sql import functions as F
+
+    from quantloom.functions.distributions import p_normal, p_student
+
+    cases = [(t, d) for t in (-40.0, -3.1, -0.2, 0.0, 1e-9, 0.7, 2.2, 2.99, 3.01, 7.5, 30.0, 1e8) for d in (1, 2, 3, 10, 57, 1000, 200_000)]
+    rows = spark.createDataFrame([*cases, (None, 5), (1.0, 0), (float("nan"), 3)], "t double, d int").select("t", "d", p_student(F.col("t"), F.col("d")).alias("p"), p_normal(F.col("t")).alias("z")).collect()
+    for r in rows:
+        if r.t is None or r.d == 0:
+            assert r.p is None
+        elif r.t == r.t:
+            assert r.p == pytest.approx(student_two_sided(r.t, r.d), rel=1e-9, abs=1e-300), (r.t, r.d)
+            assert r.z == pytest.approx(normal_tail(r.t), rel=1e-10, abs=1e-300), r.t
