@@ -7,7 +7,7 @@ look-back, so a task sees a bounded matrix. NumPy does the solve inside the task
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import by_bar
-from quantloom.operators import weights
-from quantloom.session import reliable, scratch
 
 KEYS = ("strategy", "date")
 
@@ -153,25 +151,48 @@ def constrained_weights(
     return ordered.groupBy(*keys).applyInPandas(solve, f"{schema}, ticker string, weight double, bounds_met boolean")
 
 
+def _move(target: pd.Series, held: pd.Series, step: float, dust: float) -> pd.Series:
+    """One turnover-limited move from the held weights; longs then sum to 1 and shorts to -1."""
+    names = held.index.union(target.index)
+    was = held.reindex(names, fill_value=0.0)
+    moved = was + (target.reindex(names, fill_value=0.0) - was).clip(-step, step)
+    moved = moved[moved.abs() > dust]
+    long, short = moved[moved > 0].sum(), -moved[moved < 0].sum()
+    return moved.where(moved <= 0, moved / (long or 1.0)).where(moved >= 0, moved / (short or 1.0))
+
+
 def turnover_path(targets: DataFrame, step: float = 0.05, dust: float = 0.001, keys: Sequence[str] = ("strategy",)) -> DataFrame:
     """Turnover-limited weights over all dates: each date moves from the weights actually
     held before it.
 
-    The recursion runs over rebalance dates (a calendar, read to the driver); one date of
-    all strategies is one distributed step, so no strategy is gathered into a task. Each
-    step is written to the shared folder and read back, which keeps every plan short.
+    A fold in one plan: a strategy's rows pass a task in date order and only the weights held
+    last and the rows of the date being read are in memory, so a path of any length needs one cross-section. The
+    rescaled sides tie every name of a date to the one before, so a strategy's dates cannot be split; strategies run in parallel.
     """
     keys = list(keys)
-    spark = targets.sparkSession
-    targets = targets.select(*keys, "ticker", "weight", "date")
-    dated = scratch(spark, "turnover-targets")
-    targets.write.partitionBy("date").parquet(dated)  # a step reads its own date only
-    targets = spark.read.schema(targets.schema).parquet(dated)
-    dates = [r[0] for r in targets.select("date").distinct().orderBy("date").collect()]
-    root, held = scratch(spark, "turnover"), None
-    for day in dates:
-        today = targets.where(F.col("date") == F.lit(day)).select(*keys, "ticker", "weight")
-        now = today if held is None else weights.limit_turnover(today, held, keys, step, dust)
-        now.select(*keys, "ticker", "weight").write.parquet(f"{root}/date={day}")
-        held = spark.read.schema(today.schema).parquet(f"{root}/date={day}")
-    return spark.read.schema(targets.schema).parquet(root)
+    width = len(keys)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book, day, read, held = None, None, [], None
+
+        def closed() -> pd.DataFrame:
+            nonlocal held
+            target = pd.concat(read).set_index("ticker")["weight"]
+            held = target if held is None else _move(target, held, step, dust)
+            head = {k: [v] * len(held) for k, v in zip(keys, book)}
+            return pd.DataFrame({**head, "ticker": held.index, "weight": held.to_numpy(), "date": [day] * len(held)})
+
+        for frame in frames:
+            for group, rows in frame.groupby([*keys, "date"], sort=False, dropna=False):
+                if group != (None if book is None else (*book, day)):
+                    if read:
+                        yield closed()
+                    if book != group[:width]:
+                        held = None
+                    book, day, read = group[:width], group[width], []
+                read.append(rows[["ticker", "weight"]])
+        if read:
+            yield closed()
+
+    rows = targets.select(*keys, "ticker", "weight", "date").repartition(*keys).sortWithinPartitions(*keys, "date")
+    return rows.mapInPandas(fold, rows.schema)

@@ -48,7 +48,14 @@ def _(m):
     return weights.limit_turnover(w, weights.carried_forward(w), ["strategy", "date"], step=0.03)
 
 
-@case("m04_turnover_path", "strategy date:d ticker weight:6")
+add_cte("cwk", "SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM cw)")
+add_cte("cwt", "SELECT k, ticker, weight FROM cw JOIN cwk ON cwk.date = cw.date")
+add_cte("cwpath", """SELECT k, ticker, weight FROM cwt WHERE k = 1 UNION ALL SELECT k, ticker, CASE WHEN raw > 0 THEN raw / sum(CASE WHEN raw > 0 THEN raw END) OVER () WHEN raw < 0 THEN raw / sum(CASE WHEN raw < 0 THEN -raw END) OVER () ELSE raw END FROM (
+  SELECT k, ticker, was + greatest(least(now - was, 0.03::DOUBLE), -0.03::DOUBLE) AS raw FROM (SELECT k, ticker, sum(was) AS was, sum(now) AS now FROM (
+    SELECT k + 1 AS k, ticker, weight AS was, 0.0::DOUBLE AS now FROM cwpath UNION ALL SELECT k, ticker, 0.0::DOUBLE, weight FROM cwt WHERE k = (SELECT max(k) + 1 FROM cwpath)) WHERE k <= (SELECT max(k) FROM cwk) GROUP BY k, ticker)) WHERE abs(raw) > 0.001""")
+
+
+@case("m04_turnover_path", "strategy date:d ticker weight:6", "SELECT 'z' AS strategy, date, ticker, weight FROM cwpath JOIN cwk ON cwk.k = cwpath.k")
 def _(m):
     w = weights.continuous_weights(m.scores()).withColumn("strategy", F.lit("z"))
     return solve.turnover_path(w, step=0.03)

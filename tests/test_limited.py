@@ -61,3 +61,26 @@ def test_books_as_rows(spark):
     assert all(r.violations >= 1 for r in limited.violations(out, tighter).collect())
     none = limited.limited_weights(samples, Limits(high=0.3, beta=(9.0, 9.5)))
     assert {(r.status, r.weight != r.weight or r.weight is None) for r in none.collect()} == {(EMPTY, True)}
+
+
+def test_turnover_path_equals_step_by_step(spark):
+    import random
+
+    from quantloom.operators import solve, weights
+
+    rng = random.Random(11)
+    rows = [(s, f"2020-0{d}-01", f"T{i}", rng.uniform(-0.2, 0.2)) for s in ("a", "b", None) for d in range(1, 7 if s else 3) for i in range(25) if rng.random() < 0.7]
+    targets = spark.createDataFrame(rows, "strategy string, date string, ticker string, weight double")
+    got = {(r.strategy, r.date, r.ticker): r.weight for r in solve.turnover_path(targets, step=0.05).collect()}
+    want = {}
+    for s in ("a", "b", None):
+        held = None
+        for day in sorted({r[1] for r in rows if r[0] == s}):
+            today = spark.createDataFrame([r for r in rows if r[0] == s and r[1] == day], targets.schema).select(weights.F.lit("s").alias("k"), "ticker", "weight")
+            now = today if held is None else weights.limit_turnover(today, held, ["k"], 0.05)
+            kept = [(r.k, r.ticker, r.weight) for r in now.select("k", "ticker", "weight").collect()]
+            held = spark.createDataFrame(kept, "k string, ticker string, weight double")
+            want.update({(s, day, t): w for _, t, w in kept})
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in got)
+    assert solve.turnover_path(targets.where("false")).collect() == []
