@@ -179,11 +179,12 @@ def turnover_path(targets: DataFrame, step: float = 0.05, dust: float = 0.001, k
             nonlocal held
             target = pd.concat(read).set_index("ticker")["weight"]
             held = target if held is None else _move(target, held, step, dust)
-            head = {k: [v] * len(held) for k, v in zip(keys, book)}
-            return pd.DataFrame({**head, "ticker": held.index, "weight": held.to_numpy(), "date": [day] * len(held)})
+            head = {k: pd.Series([v] * len(held), dtype=object) for k, v in zip(keys, book)}
+            return pd.DataFrame({**head, "ticker": list(held.index), "weight": held.to_numpy(), "date": [day] * len(held)})
 
         for frame in frames:
             for group, rows in frame.groupby([*keys, "date"], sort=False, dropna=False):
+                group = tuple(None if pd.isna(v) else v for v in group)
                 if group != (None if book is None else (*book, day)):
                     if read:
                         yield closed()
