@@ -2,9 +2,9 @@
 
 A rule's and a url's host is reversed label by label, so "this host and its subdomains" is
 a prefix. A url is probed once for each of its host's suffixes (``com``, ``example.com``,
-``www.example.com``) under the key ``<reversed suffix> 0x01 <path>``; a rule holds for the
-keys that start with ``<reversed rule host> 0x01 <rule path>``, which is the interval
-``[key, key + U+10FFFF)``. Two such intervals are disjoint or nested, so a sweep in key
+``www.example.com``) under the key ``<reversed suffix> 0xFE <path>``; a rule holds for the
+keys that start with ``<reversed rule host> 0xFE <rule path>``, which is the interval
+``[key, key 0xFF)``: keys are bytes, and neither byte occurs in UTF-8, so no host or path can imitate a border. Two such intervals are disjoint or nested, so a sweep in key
 order needs a stack only: an opening rule is pushed, a closing one uncovers the rule
 around it. The state after each border (the innermost open rule) is worked out on the
 rules, and a sorted sweep over borders and probes takes the last border before each probe.
@@ -38,7 +38,7 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 DEFAULT = "allow"
-BORDER, LAST = "\x01", "\U0010ffff"
+BORDER, LAST = bytearray(b"\xfe"), bytearray(b"\xff")
 
 
 def reversed_host(host: Column) -> Column:
@@ -53,11 +53,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
+def _key(host: Column, path: Column) -> Column:
+    return F.concat(host.cast("binary"), F.lit(BORDER), path.cast("binary"))
+
+
 def _rule_keys(rules: DataFrame) -> DataFrame:
     """One row per distinct rule (host, path): its key and what it says."""
     text = F.concat("host", "path")
     keyed = rules.select(
-        F.concat(reversed_host(lower_ascii(F.col("host"))), F.lit(BORDER), F.col("path")).alias("key"),
+        _key(reversed_host(lower_ascii(F.col("host"))), F.col("path")).alias("key"),
         F.struct(F.length(text).alias("length"), text.alias("rule"), F.col("verdict")).alias("said"))
     return stored(keyed.groupBy("key").agg(F.min("said").alias("said")), "url-rules")
 
@@ -70,10 +74,7 @@ def _borders(keyed: DataFrame) -> DataFrame:
     prefixes = keyed.where(F.length("key") > 1).select(
         F.col("key").alias("inner"), F.explode(F.transform(lengths, lambda i: F.substring(F.col("key"), F.lit(1), i))).alias("key"))
     around = prefixes.join(keyed, "key").groupBy("inner").agg(F.max(F.struct(F.length("key"), "said")).alias("outer"))
-    ends = keyed.join(around, keyed["key"] == around["inner"], "left").select(
-        F.concat("key", F.lit(LAST)).alias("key"), F.length("key").alias("depth"), F.col("outer.said").alias("said"))
-    # rules that end at one place: the outermost one's end counts
-    ends = ends.groupBy("key").agg(F.min(F.struct("depth", "said")).alias("end")).select("key", F.col("end.said").alias("said"))
+    ends = keyed.join(around, keyed["key"] == around["inner"], "left").select(F.concat("key", F.lit(LAST)).alias("key"), F.col("outer.said").alias("said"))
     return starts.unionAll(ends)
 
 
@@ -91,7 +92,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     # suffix i of the host, reversed: the first i reversed labels
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(F.reverse(labels), F.lit(1), i), "."))
     probes = rows.where("host <> ''").select("_rid", F.explode(suffixes).alias("suffix"), "path").select(
-        F.concat("suffix", F.lit(BORDER), "path").alias("key"), F.col("_rid").alias("at"), F.lit(False).alias("border"),
+        _key(F.col("suffix"), F.col("path")).alias("key"), F.col("_rid").alias("at"), F.lit(False).alias("border"),
         F.lit(None).cast("struct<length:int,rule:string,verdict:string>").alias("top"))
     keyed = _rule_keys(rules)
     borders = _borders(keyed).select("key", F.lit(-1).cast("long").alias("at"), F.lit(True).alias("border"), F.col("said").alias("top"))
@@ -112,7 +113,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "host string, path string, verdict string")
+    """The contract's rules as literals."""
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), rule)]) for rule in RULES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def op7(pages: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ def _judge(url, rules, default="allow"):
 
 
 def test_url_rules_against_brute_force(spark):
-    rules = [*url_filter.RULES, ("a.example.com", "/en/x", "block"), ("a.example.com", "/en/xy/", "allow"), ("a.example.com", "/en/xy/z", "block"), ("org", "", "block"), ("b.org", "/q", "allow")]
-    hosts = ["com", "example.com", "www.example.com", "WWW.Example.COM", "a.example.com", "b.a.example.com", "xexample.com", "m.net", "net", "b.org", "c.b.org", "org", ".com", "com.", "exam ple.com", "exämple.com"]
-    paths = ["", "/", "/en/", "/en", "/en/x", "/en/xy/", "/en/xy/zzz", "/es/1", "/fr/?q=/en/", "/q#/en/", "?/en/", "/EN/", "/en/\nx"]
+    rules = [*url_filter.RULES, ("a.example.com", "/en/x", "block"), ("a.example.com", "/en/xy/", "allow"), ("a.example.com", "/en/xy/z", "block"), ("org", "", "block"), ("b.org", "/q", "allow"), ("b", "", "block"), ("com", "/\U0010ffff", "block")]
+    hosts = ["com", "example.com", "www.example.com", "WWW.Example.COM", "a.example.com", "b.a.example.com", "xexample.com", "m.net", "net", "b.org", "c.b.org", "org", ".com", "com.", "exam ple.com", "exämple.com", "b\x01c.org", "org\x01b", "example.com\x01", ".".join("abcdefghij" * 12) + ".org"]
+    paths = ["", "/", "/en/", "/en", "/en/x", "/en/xy/", "/en/xy/zzz", "/es/1", "/fr/?q=/en/", "/q#/en/", "?/en/", "/EN/", "/en/\nx", "/en/\U0010ffffx", "/en/\U0010ffff\U0010ffff", "/\x01", "/en/" + "x" * 30_000]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "no url", "://", "http://", "x://y://com/", "http://com/", "http://com/"]
     pages = spark.createDataFrame([(i, u, "<html>", "x") for i, u in enumerate(urls)], "page_id long, url string, html string, _row string")
     judged = url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
@@ -33,6 +33,15 @@ def test_url_rules_against_brute_force(spark):
     assert url_filter.op7(pages.limit(0)).count() == 0
 
 
+def test_equally_long_rules_and_two_verdicts(spark):
+    rules = [("b.org", "/", "allow"), ("org", "/xy", "block"), ("x.net", "/a", "block"), ("x.net", "/a", "allow")]
+    urls = ["http://b.org/xyz", "http://x.net/abc"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    judged = url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).orderBy("_row.page_id").collect()
+    # of equally long rules the longer path's text sorts last; of two verdicts "allow" sorts first
+    assert [(r.rule, r.verdict) for r in judged] == [("org/xy", "block"), ("x.net/a", "allow")]
+
+
 def test_mix_meets_targets(make_docs):
     rows = [(i, prose(i, 1 + i % 50), "en", f"s{i % 7 if i % 3 else 0}") for i in range(600)]
     rows += [(700, None, None, "s1"), (701, "", None, None), (702, "null source here", None, None), (703, prose(1, 4000), None, "s2"), (703, prose(1, 4000), None, "s2"), (704, " \t ", None, "only blanks"), (None, "a b c", None, "s1")]
