@@ -259,7 +259,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, kept), a row for each row of ``docs`` (needs doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, root, component_id, kept), a row for each row of ``docs`` (needs doc_id, text).
+
+    ``root`` names the component whatever its ids are; null without shingles."""
     text_hash = F.xxhash64("text").alias("text_hash")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_hash, sketched(F.col("text"), words).alias("s"))
     rows = stored(rows.select("rid", "doc_id", "text_hash", "s.*"), "near-rows")
@@ -279,15 +281,19 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     named = components(links)
     owned = classes.select("cid", "least_id", "k0", "k1").join(named, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     ids = stored(owned.groupBy("root").agg(F.min("least_id").alias("component_id")), "near-components")
-    by_key = stored(owned.join(ids, "root").select("k0", "k1", "component_id"), "near-keys")
+    by_key = stored(owned.join(ids, "root").select("k0", "k1", "root", "component_id"), "near-keys")
     out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "k0", "k1").join(by_key.withColumn("some", F.lit(1)), ["k0", "k1"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", "root", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay, one of each group, columns as given."""
-    kept = groups(docs, words, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    """The documents that stay, columns as given: of each group the one of least doc_id (null ids last, then least text
+    hash), and all without shingles. Rows that repeat both doc_id and text are one document and stay together."""
+    named = stored(groups(docs, words, percent).select("root", "doc_id", "text_hash"), "near-named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    one = named.where("root IS NOT NULL").groupBy("root").agg(first).select("first.doc_id", "first.text_hash")
+    kept = one.unionByName(named.where("root IS NULL").drop("root")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_hash"))
     return row.join(stored(kept, "near-kept"), same, "left_semi").select("_row.*")

@@ -118,6 +118,16 @@ def test_near_dedup_keeps_columns_and_null_ids(make_docs):
     assert near_dedup.near_dedup(make_docs([])).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(make_docs):
+    base, other = prose(1, 200), prose(2, 200)
+    rows = [(None, base, None, None), (None, base + " end", None, None), (7, other, None, None), (7, other + " end", None, None), (None, other + " more", None, None), (9, None, None, None), (9, "", None, None)]
+    kept = near_dedup.near_dedup(make_docs(rows)).collect()
+    near_base = [r for r in kept if r.text and r.text.startswith(base)]
+    near_other = [r for r in kept if r.text and r.text.startswith(other)]
+    assert len(near_base) == 1 and len(near_other) == 1 and near_other[0].doc_id == 7
+    assert sorted((r.doc_id, r.text or "") for r in kept if not r.text) == [(9, ""), (9, "")]
+
+
 def test_sketch_agreement_follows_similarity():
     """Agreement of sketches is near the true similarity, for sets smaller and larger than the sketch."""
     rng = np.random.default_rng(1)
