@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import stored
 from quantloom.llm.near_dedup import groups
-from quantloom.llm.sampling import held_out, in_sample, sample_cut
+from quantloom.llm.sampling import drawn_number, held_out, in_sample, sample_cut
 
 PER_LABEL = 2500
 THRESHOLD = 0.3
@@ -230,7 +230,7 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
     """(doc_id, toxic, text) of the bounded sample that may be learned from."""
     known = _known(labels)
     cuts = sample_cut(known, "toxic", "doc_id", per_label)
-    few = known.where(in_sample(F.col("toxic"), F.col("doc_id"), cuts)).limit(2 * per_label)
+    few = known.where(in_sample(F.col("toxic"), F.col("doc_id"), cuts)).orderBy(drawn_number(F.col("doc_id")), "doc_id").limit(2 * per_label)
     # at most 2 * per_label ids and labels: a bounded table
     return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
 

@@ -93,3 +93,30 @@ def test_pipeline_stages(spark):
     assert docs.select("text").distinct().count() == docs.count()
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert mixed.count() == left[-1]
+
+
+def test_pipeline_runs_on_odd_rows_and_on_empty_tables(spark, make_docs, tmp_path):
+    import corpus_pipeline
+
+    insult = "you are a stupid worthless idiot and I will hurt you"
+    rows = [(i, prose(i, 120), "en", f"s{i % 3}") for i in range(40)]
+    rows += [(100 + i, f"{prose(900 + i, 30)} {insult} {prose(950 + i, 20)}", "en", "s0") for i in range(40)]
+    rows += [(200, rows[3][1], "en", "s1"), (201, rows[4][1] + " tail", "en", "s1"), (202, None, None, None), (203, "", None, "s1"), (None, prose(77, 60), None, "s2"), (204, "huge " * 300_000, None, "s2")]
+    rows += [(205, rows[5][1], "en", "s1")] * 2
+    labels = spark.createDataFrame([(i, 1, int(i >= 100)) for i in [*range(40), *range(100, 140)]], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([("b0", " ".join(rows[6][1].split()[20:40])), ("b1", None)], "item_id string, text string")
+    for name, n in (("full", None), ("none", 0)):
+        folder = str(tmp_path / name)
+        for table, df in (("documents", make_docs(rows)), ("labels", labels), ("benchmark", items)):
+            (df if n is None else df.limit(n)).write.parquet(f"{folder}/{table}.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        if n == 0:
+            assert out == []
+            continue
+        left = {r.doc_id: r for r in out}
+        assert 6 not in left  # holds a benchmark passage
+        assert 3 not in left and 200 in left  # of equal texts the largest id stays
+        assert len({4, 201} & set(left)) == 1 and 4 in left  # of near copies the smallest
+        assert {203, 204, None} <= set(left) and 202 not in left  # null counts as empty
+        sizes = {i: len((t or "").split()) for i, t, *_ in rows}
+        assert all(r.size == sizes[r.doc_id] and r.taken == r.copies * r.size <= 3 * r.size for r in out)
