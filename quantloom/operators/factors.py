@@ -169,37 +169,58 @@ def shrink(cov: DataFrame, intensity: float | DataFrame = 0.3) -> DataFrame:
     return rows.select("ticker_i", "ticker_j", ((1 - s) * F.col("cov") + s * target).alias("cov"))
 
 
-def ledoit_wolf(grid: DataFrame, cov: DataFrame, value: str = "ret") -> DataFrame:
-    """Data-driven shrinkage intensity (population moments). The fourth-moment sum needs
-    no pairs: Σ_ij Σ_t x²_ti x²_tj = Σ_t (Σ_i x²_ti)²."""
+def gram(grid: DataFrame, value: str = "ret", block: int = 256) -> DataFrame:
+    """(t, s, g): the look-back × look-back matrix Σ_i x_it x_is of centred returns by date number.
+
+    Its squares add up to those of the ticker × ticker matrix, so the Frobenius norm of a covariance
+    needs no row per pair of tickers. Blocks of tickers are multiplied inside tasks and summed; the result grows with the look-back only.
+    """
+    n = _blocks(grid, block)
+    home = F.pmod(F.xxhash64("ticker"), F.lit(n)).cast("int")
+    dates = grid.agg(F.array_sort(F.collect_set("date")).alias("dates"))  # the look-back's calendar
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="t", columns="ticker", values="x", aggfunc="first").sort_index()
+        centred = wide.to_numpy(dtype=float)
+        centred = centred - centred.mean(axis=0)
+        return pd.DataFrame({"t": wide.index.to_numpy(), "part": list(centred @ centred.T)})
+
+    numbered = grid.crossJoin(F.broadcast(dates)).select("ticker", F.array_position("dates", F.col("date")).cast("int").alias("t"), F.col(value).alias("x"), home.alias("home"))
+    parts = numbered.groupBy("home").applyInPandas(product, "t int, part array<double>")
+    return parts.select("t", F.posexplode("part").alias("s", "g")).groupBy("t", "s").agg(F.sum("g").alias("g"))
+
+
+def ledoit_wolf(grid: DataFrame, value: str = "ret", block: int = 256) -> DataFrame:
+    """Data-driven shrinkage intensity (population moments), without a row per pair: the squared norm
+    comes from ``gram``, and Σ_ij Σ_t x²_ti x²_tj = Σ_t (Σ_i x²_ti)²."""
     centred = group_stats(grid, ["ticker"], {"_m": F.avg(value)}).withColumn("_x2", F.pow(F.col(value) - F.col("_m"), F.lit(2.0)))
-    fourth = centred.groupBy("date").agg(F.sum("_x2").alias("_q")).agg(F.sum(F.col("_q") * F.col("_q")).alias("fourth"), F.count(F.lit(1)).alias("t"))
-    twice = F.when(F.col("ticker_i") == F.col("ticker_j"), 1.0).otherwise(2.0)
-    moments = cov.agg(
-        F.sum(F.col("cov") * F.col("cov") * twice).alias("_ss"),
-        F.sum(F.when(F.col("ticker_i") == F.col("ticker_j"), F.col("cov"))).alias("_tr"),
-        F.count_if(F.col("ticker_i") == F.col("ticker_j")).alias("p"),
-    )
-    rows = moments.crossJoin(F.broadcast(fourth))
+    daily = centred.groupBy("date").agg(F.sum("_x2").alias("_q"))
+    fourth = daily.agg(F.sum(F.col("_q") * F.col("_q")).alias("fourth"), F.sum("_q").alias("_tr"), F.count(F.lit(1)).alias("t"))
+    names = grid.agg(F.count_distinct("ticker").alias("p"))
+    norm = gram(grid, value, block).agg(F.sum(F.col("g") * F.col("g")).alias("_ss"))
+    rows = fourth.crossJoin(F.broadcast(names)).crossJoin(F.broadcast(norm))
     t, p = F.col("t"), F.col("p")
-    pop = (t - 1) / t
-    ss, tr = F.col("_ss") * pop * pop, F.col("_tr") * pop
+    ss, tr = F.col("_ss") / (t * t), F.col("_tr") / t
     mu = tr / p
     delta = (ss - 2 * mu * tr + p * mu * mu) / p
     beta = F.least((F.col("fourth") / t - ss) / (p * t), delta)
     return rows.select(F.when(delta > 0, beta / delta).otherwise(0.0).alias("shrinkage"), mu.alias("mean_variance"))
 
 
-def one_factor_covariance(grid: DataFrame, block: int = 256) -> DataFrame:
-    """β βᵀ σ²ₘ + diag(residual variance) with the equal-weight mean as market."""
+def one_factor_parts(grid: DataFrame) -> DataFrame:
+    """(ticker, beta, resid_var, mvar): the one-factor covariance in factored form, a row per ticker, with the equal-weight mean as market.
+    Any book's variance follows as (Σ wβ)² σ²ₘ + Σ w² resid_var, without pairs."""
     market = grid.groupBy("date").agg(F.avg("ret").alias("m"))
-    rows = join_calendar(grid, market)
     mvar = market.agg(F.var_pop("m").alias("mvar"))
-    betas = rows.groupBy("ticker").agg(F.covar_samp("ret", "m").alias("_c"), F.var_pop("m").alias("_v"), F.var_pop("ret").alias("_vr"), F.covar_pop("ret", "m").alias("_cp"))
+    betas = join_calendar(grid, market).groupBy("ticker").agg(F.covar_samp("ret", "m").alias("_c"), F.var_pop("m").alias("_v"), F.var_pop("ret").alias("_vr"), F.covar_pop("ret", "m").alias("_cp"))
     beta = F.when(F.col("_v") > 0, F.col("_c") / F.col("_v")).otherwise(1.0)
-    betas = betas.withColumn("beta", beta).withColumn(
-        "resid_var", F.col("_vr") - 2 * F.col("beta") * F.col("_cp") + F.col("beta") * F.col("beta") * F.col("_v")
-    ).crossJoin(F.broadcast(mvar))
+    rest = F.col("_vr") - 2 * F.col("beta") * F.col("_cp") + F.col("beta") * F.col("beta") * F.col("_v")
+    return betas.withColumn("beta", beta).select("ticker", "beta", rest.alias("resid_var")).crossJoin(F.broadcast(mvar))
+
+
+def one_factor_covariance(grid: DataFrame, block: int = 256) -> DataFrame:
+    """β βᵀ σ²ₘ + diag(residual variance), expanded to all pairs i ≤ j (pass the candidates' grid only)."""
+    betas = one_factor_parts(grid)
     n = _blocks(grid, block)
     home = F.pmod(F.xxhash64("ticker"), F.lit(n)).cast("int")
     a = betas.select(F.col("ticker").alias("ticker_i"), F.col("beta").alias("bi"), "resid_var", "mvar", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("blk"))
@@ -209,12 +230,17 @@ def one_factor_covariance(grid: DataFrame, block: int = 256) -> DataFrame:
     return pairs.select("ticker_i", "ticker_j", (F.col("bi") * F.col("bj") * F.col("mvar") + same).alias("cov"))
 
 
-def average_correlation(cov: DataFrame) -> DataFrame:
-    """Mean correlation of distinct pairs."""
-    sd = cov.where("ticker_i = ticker_j").select(F.col("ticker_i").alias("t"), F.sqrt("cov").alias("sd"))
-    rows = cov.where("ticker_i < ticker_j").join(sd.select(F.col("t").alias("ticker_i"), F.col("sd").alias("si")), "ticker_i")
-    rows = rows.join(sd.select(F.col("t").alias("ticker_j"), F.col("sd").alias("sj")), "ticker_j")
-    return rows.agg(F.avg(F.col("cov") / (F.col("si") * (F.col("sj") + 1e-10))).alias("avg_correlation"), F.count(F.lit(1)).alias("n_pairs"))
+def average_correlation(grid: DataFrame, value: str = "ret") -> DataFrame:
+    """Mean correlation of distinct pairs, without pairs: with standardised returns u, Σ_{i≠j} u_i·u_j is
+    Σ_t (Σ_i u_it)² less the diagonal. A series without spread correlates 0 with every other."""
+    spread_ = group_stats(grid, ["ticker"], {"_m": F.avg(value), "_s": F.stddev_samp(value)})
+    u = F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0)
+    v = u * F.when(F.col("_s") > 0, F.col("_s") / (F.col("_s") + 1e-10)).otherwise(0.0)
+    daily = spread_.groupBy("date").agg(F.sum(u).alias("_u"), F.sum(v).alias("_v"), F.sum(u * v).alias("_own"))
+    total = daily.agg(F.sum(F.col("_u") * F.col("_v") - F.col("_own")).alias("_off"), F.count(F.lit(1)).alias("_t"))
+    rows = total.crossJoin(F.broadcast(grid.agg(F.count_distinct("ticker").alias("_n"))))
+    pairs = F.col("_n") * (F.col("_n") - 1) / 2
+    return rows.select(F.try_divide(F.col("_off") / 2 / (F.col("_t") - 1), pairs).alias("avg_correlation"), pairs.cast("long").alias("n_pairs"))
 
 
 def neutral_alpha(scores: DataFrame, score: str = "score", factors: tuple[str, str] = ("beta", "momentum"), keys: Sequence[str] = ("date",)) -> DataFrame:

@@ -203,15 +203,14 @@ def stress(betas: DataFrame, scenarios: DataFrame, fixed_beta: bool = False) ->
     return rows.withColumn("expected_loss", F.col("shock") * (F.lit(1.0) if fixed_beta else F.col("beta")))
 
 
-def book_metrics(weights: DataFrame, means: DataFrame, cov: DataFrame, rf: float = 0.04, keys: Sequence[str] = STRATEGY) -> DataFrame:
-    """wᵀμ, √(wᵀΣw) and Sharpe from long weights and a long covariance (pairs i ≤ j)."""
-    mu = weights.join(means, "ticker").groupBy(*keys).agg(F.sum(F.col("weight") * F.col("mean_return")).alias("expected_return"))
-    a = weights.select(*keys, F.col("ticker").alias("ticker_i"), F.col("weight").alias("wi"))
-    b = weights.select(*keys, F.col("ticker").alias("ticker_j"), F.col("weight").alias("wj"))
-    pairs = cov.join(a, "ticker_i").join(b, [*keys, "ticker_j"])
-    twice = F.when(F.col("ticker_i") == F.col("ticker_j"), 1.0).otherwise(2.0)
-    var = pairs.groupBy(*keys).agg(F.sum(F.col("wi") * F.col("wj") * F.col("cov") * twice).alias("_v"))
-    out = mu.join(var, list(keys)).withColumn("volatility", F.sqrt("_v")).drop("_v")
+def book_metrics(weights: DataFrame, grid: DataFrame, rf: float = 0.04, keys: Sequence[str] = STRATEGY, value: str = "ret", annual: float = 252.0) -> DataFrame:
+    """wᵀμ, √(wᵀΣw) and Sharpe of books on a full (ticker, date) grid of returns.
+
+    wᵀΣw is the sample variance of the book's own series Σ_i w_i r_it, so no pair of tickers is formed.
+    """
+    keys = list(keys)
+    series = weights.select(*keys, "ticker", "weight").join(grid.select("ticker", "date", value), "ticker").groupBy(*keys, "date").agg(F.sum(F.col("weight") * F.col(value)).alias("_x"))
+    out = series.groupBy(*keys).agg((F.avg("_x") * annual).alias("expected_return"), F.sqrt(F.var_samp("_x") * annual).alias("volatility"))
     return out.withColumn("sharpe", F.when(F.col("volatility") > 0, (F.col("expected_return") - rf) / F.col("volatility")).otherwise(0.0))
 
 

@@ -101,8 +101,7 @@ add_cte("lwm", """SELECT p, t, ss * pow((t - 1.0::DOUBLE) / t, 2) AS ss, tr * (t
 
 @case("l08_ledoit_wolf", "shrinkage:8 mean_variance:6", "SELECT least((fourth / t - ss) / (p * t), d) / d AS shrinkage, tr / p AS mean_variance FROM (SELECT *, (ss - 2 * tr / p * tr + p * pow(tr / p, 2)) / p AS d FROM lwm)")
 def _(m):
-    grid = _grid(m)
-    return factors.ledoit_wolf(grid, factors.covariance(grid))
+    return factors.ledoit_wolf(_grid(m), block=24)
 
 
 add_cte("ofb", "SELECT *, ret - beta * mk AS e FROM (SELECT g.*, covar_samp(ret, mk) OVER (PARTITION BY ticker) / var_pop(mk) OVER (PARTITION BY ticker) AS beta FROM (SELECT *, avg(ret) OVER (PARTITION BY date) AS mk FROM enough) g)")
@@ -116,7 +115,7 @@ def _(m):
 
 @case("l10_average_correlation", "avg_correlation:8 n_pairs:i", "SELECT avg(c.cov / (sqrt(a.cov) * (sqrt(b.cov) + 1e-10))) AS avg_correlation, count(*) AS n_pairs FROM covs c JOIN covs a ON a.ticker_i = c.ticker_i AND a.ticker_j = c.ticker_i JOIN covs b ON b.ticker_i = c.ticker_j AND b.ticker_j = c.ticker_j WHERE c.ticker_i < c.ticker_j")
 def _(m):
-    return factors.average_correlation(reliable(factors.covariance(_grid(m))))
+    return factors.average_correlation(_grid(m))
 
 
 add_cte("nin", "SELECT s.ticker, s.date, score, b.beta, p.return_12m AS momentum FROM scores s LEFT JOIN betas b ON b.ticker = s.ticker AND b.date = s.date LEFT JOIN px p ON p.ticker = s.ticker AND p.date = s.date")

@@ -263,15 +263,12 @@ add_cte("lastbook", "SELECT * FROM books WHERE date = (SELECT max(date) FROM boo
 @case("j16_book_metrics", "strategy expected_return:5 volatility:5 sharpe:6", """SELECT e.strategy, expected_return, sqrt(v) AS volatility, (expected_return - 0.04) / sqrt(v) AS sharpe FROM bookcov e JOIN (SELECT a.strategy, sum(a.weight * b.weight * c.cov * 252 * CASE WHEN c.ticker_i = c.ticker_j THEN 1 ELSE 2 END) AS v
   FROM covs c JOIN lastbook a ON a.ticker = c.ticker_i JOIN lastbook b ON b.ticker = c.ticker_j AND a.strategy = b.strategy GROUP BY 1) x ON x.strategy = e.strategy""")
 def _(m):
-    from quantloom.operators import factors
     from quantloom.operators.universe import enough_returns
 
     grid = reliable(enough_returns(m.returns(), missing_share=0.8))
     book = reliable(m.books())
     book = book.join(F.broadcast(book.agg(F.max("date").alias("date"))), "date", "left_semi").select("strategy", "ticker", "weight")
-    cov = factors.covariance(grid).withColumn("cov", F.col("cov") * 252)
-    means = grid.groupBy("ticker").agg((F.avg("ret") * 252).alias("mean_return"))
-    return risk.book_metrics(book, means, cov)
+    return risk.book_metrics(book, grid)
 
 
 # -- N ----------------------------------------------------------------------------
