@@ -10,11 +10,14 @@ which Spark applies before the shuffle as well (WindowGroupLimit).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import clip
+from quantloom.session import reliable
 
 BUCKETS_PER_OCTAVE = 64
 
@@ -168,13 +171,36 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n:
     return out if position else out.drop(place)
 
 
+def range_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows in stored range parts of ``order``, with the part's number as ``_part``: earlier parts hold smaller rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reliable(df.repartitionByRange(n, *order).select("*", F.spark_partition_id().alias("_part")))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Place (from 1) in ``order`` within ``keys``, for groups of any size.
+
+    Rows are numbered inside range parts of (keys, order); what earlier parts hold of the
+    same keys is one count per part, so a group may fill many parts.
+    """
+    keys = list(keys)
+    parts = range_parts(df, [*keys, *order])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    carried = counts.select(*[F.col(c).alias(f"_of_{c}") for c in ("_part", *keys)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carried"))
+    local = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ("_part", *keys)])
+    return local.join(carried, same).select(*df.columns, (F.col("_local") + F.col("_carried")).alias(out))
+
+
 def extreme_share(
     df: DataFrame, by: Sequence[str], value: str, share: float, tie: Sequence[str], largest: bool = True
 ) -> DataFrame:
     """The ``int(share * rows)`` largest (or smallest) rows of each group.
 
     Whole tie groups inside the limit pass on counts alone; only the one tie group
-    the limit cuts through is ordered by the tie columns.
+    the limit cuts through is ordered by the tie columns, in range parts (``numbered``), so a
+    value that most rows share is cut exactly without meeting in one task.
     """
     by = list(by)
     table = rank_table(df.select(*by, F.col(value).alias("_v")), by, "_v")
@@ -189,6 +215,5 @@ def extreme_share(
     hit = df.withColumn("_v", F.col(value)).join(table, [*by, "_v"])
     whole = hit.where("_ahead + n_tied <= _quota")
     cut = hit.where("_ahead + n_tied > _quota")
-    w = Window.partitionBy(*by, "_v").orderBy(*tie)
-    cut = cut.withColumn("_p", F.row_number().over(w)).where("_ahead + _p <= _quota").drop("_p")
+    cut = numbered(cut, [*by, "_v"], tie, "_p").where("_ahead + _p <= _quota").drop("_p")
     return whole.unionByName(cut).drop("_v", "n_tied", "_ahead", "_quota")

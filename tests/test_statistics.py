@@ -198,3 +198,22 @@ def test_distribution_columns_equal_the_functions(spark):
         elif r.t == r.t:
             assert r.p == pytest.approx(student_two_sided(r.t, r.d), rel=1e-9, abs=1e-300), (r.t, r.d)
             assert r.z == pytest.approx(normal_tail(r.t), rel=1e-10, abs=1e-300), r.t
+
+
+def test_cut_inside_a_value_that_most_rows_share(spark):
+    from quantloom.operators.xsection import numbered, range_parts
+
+    rng = random.Random(8)
+    rows = [(g, f"T{i:05}", 1.0 if rng.random() < 0.9 else rng.random() * 2) for g in ("a", "b", None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, ticker string, x double").repartition(8)
+    for largest in (True, False):
+        got = {(r.g, r.ticker) for r in extreme_share(df, ["g"], "x", 0.3, ["ticker"], largest).collect()}
+        for g in ("a", "b"):
+            own = sorted(((-x if largest else x), t) for h, t, x in rows if h == g)[:900]
+            assert {t for h, t in got if h == g} == {t for _, t in own}
+    sizes = [r["count"] for r in range_parts(df.where("x = 1"), ["g", "x", "ticker"]).groupBy("_part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / 4
+    placed = numbered(df, ["g"], ["x", "ticker"], "p").collect()
+    for g in ("a", "b", None):
+        own = sorted((r.x, r.ticker, r.p) for r in placed if r.g == g)
+        assert [p for *_, p in own] == list(range(1, 3001))
