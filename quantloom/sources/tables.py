@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom import schemas
 from quantloom.functions.columns import nonzero
+from quantloom.session import reliable
 
 # Benchmark symbols that are not stocks.
 BENCHMARK_TICKERS = ["SPY", "QQQ", "IWM", "^VIX", "^GSPC"]
@@ -107,6 +108,41 @@ def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:
     df.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def touched(target: DataFrame, batch: DataFrame, partition: str, keys: Sequence[str]) -> DataFrame:
+    """The target's rows that a batch can meet: its partitions, and its range of every other key.
+
+    The partition values and the ranges come to the driver (one value per partition, one pair per key), so
+    the scan is pruned to these partitions when it is planned and to matching row groups when it runs.
+    """
+    values = [r[0] for r in batch.select(partition).distinct().collect()]
+    hit = target.where(F.col(partition).isin([v for v in values if v is not None]) | (F.col(partition).isNull() if None in values else F.lit(False)))
+    ranged = [k for k in keys if k != partition]
+    ends = batch.agg(*[f(k).alias(f"{n}_{k}") for k in ranged for n, f in (("lo", F.min), ("hi", F.max))]).first() if ranged else None
+    for k in ranged:
+        if ends[f"lo_{k}"] is not None:
+            hit = hit.where(F.col(k).between(F.lit(ends[f"lo_{k}"]), F.lit(ends[f"hi_{k}"])))
+    return hit
+
+
+def merge(batch: DataFrame, path: str, keys: Sequence[str], partition: str, order: Sequence[Column], replace: bool = False) -> None:
+    """Insert a batch into a partitioned table; rows of known keys are ignored, or replace the old ones.
+
+    Of rows that repeat a key inside the batch the first in ``order`` counts. Ignoring reads keys of touched partitions only
+    and adds files; replacing reads and rewrites touched partitions only. ``partition`` has to be a function of the keys.
+    """
+    spark = batch.sparkSession
+    batch = reliable(first_per_key(batch, keys, order))
+    target = spark.read.parquet(path)
+    if replace:
+        values = [r[0] for r in batch.select(partition).distinct().collect()]
+        old = target.where(F.col(partition).isin(values)).select(*batch.columns)
+        merged = old.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
+        overwrite_partitions(reliable(merged), path, partition)
+        return
+    known = touched(target, batch, partition, keys).select(*keys)
+    append(batch.join(known, list(keys), "left_anti"), path, partition)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -68,10 +68,9 @@ def _(m):
     target = tables.scan(p, end="1999-06-30")
     first = tables.scan(p, start="1999-01-01").withColumn("close", F.col("close") + 1).withColumn("batch", F.lit(0))
     again = p.withColumn("close", F.col("close") + 2).withColumn("batch", F.lit(1))
-    added = tables.new_rows(first.unionByName(again), target, ["ticker", "date"], [F.col("batch")]).drop("batch")
     path = scratch(m.spark, "prices")
-    tables.append(target.withColumn("year", F.year("date")), path, "year")
-    tables.append(added.withColumn("year", F.year("date")), path, "year")
+    tables.append(target.withColumn("batch", F.lit(-1)).withColumn("year", F.year("date")), path, "year")
+    tables.merge(first.unionByName(again).withColumn("year", F.year("date")), path, ["ticker", "date"], "year", [F.col("batch")])
     return m.spark.read.parquet(path)
 
 
@@ -80,8 +79,10 @@ def _(m):
 def _(m):
     b = m.bench().select("ticker", "date", "close")
     target = tables.scan(b, end="1999-06-30")
-    batch = b.withColumn("close", F.col("close") + 1)
-    return target.unionByName(tables.new_rows(batch, target, ["ticker", "date"], [F.col("close")]))
+    path = scratch(m.spark, "benchmarks")
+    tables.append(target.withColumn("year", F.year("date")), path, "year")
+    tables.merge(b.withColumn("close", F.col("close") + 1).withColumn("year", F.year("date")), path, ["ticker", "date"], "year", [F.col("close")])
+    return m.spark.read.parquet(path)
 
 
 @case("a10_upsert_fundamentals", "ticker date:d pe_ratio:6 roe:6", """SELECT ticker, date, pe_ratio, roe FROM fund WHERE date < DATE '1999-01-01'
@@ -89,7 +90,10 @@ def _(m):
 def _(m):
     f = m.fundamentals().select("ticker", "date", "pe_ratio", "roe")
     newer = tables.scan(f, start="1999-01-01").select("ticker", "date", (F.col("pe_ratio") * 2).alias("pe_ratio"), (F.col("roe") + 1).alias("roe"))
-    return tables.upserted(f, newer, ["ticker", "date"], [F.col("date")])
+    path = scratch(m.spark, "fundamentals")
+    tables.append(f.withColumn("year", F.year("date")), path, "year")
+    tables.merge(newer.withColumn("year", F.year("date")), path, ["ticker", "date"], "year", [F.col("date")], replace=True)
+    return m.spark.read.parquet(path)
 
 
 @case("a11_overwrite_meta", "ticker sector market_cap:2", "SELECT ticker, sector, coalesce(market_cap, 0) AS market_cap FROM meta")
