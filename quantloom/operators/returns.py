@@ -228,11 +228,12 @@ def reconcile(picks: DataFrame, prices: DataFrame, days: int = 30, price: str =
     )
 
 
-def mark_to_market(holdings: DataFrame, prices: DataFrame, price: str = "close") -> DataFrame:
-    """Σ shares × price per trading day, each holding valid until the next rebalance."""
-    dates = holdings.select("date").distinct()
-    spans = dates.withColumn("_until", F.lead("date").over(Window.orderBy("date")))
-    rows = join_calendar(holdings, spans, how="inner").withColumnRenamed("date", "_from")
+def mark_to_market(holdings: DataFrame, prices: DataFrame, price: str = "close", keys: Sequence[str] = ()) -> DataFrame:
+    """Σ shares × price per book (``keys``) and trading day, each holding valid until the book's next rebalance."""
+    keys = list(keys)
+    dates = holdings.select(*keys, "date").distinct()
+    spans = dates.withColumn("_until", F.lead("date").over(Window.partitionBy(*keys).orderBy("date")))
+    rows = holdings.join(spans, [*keys, "date"]).withColumnRenamed("date", "_from")
     # Equal join on (ticker, month) keeps the date test to one holding period.
     last = F.coalesce(F.date_sub("_until", 1), F.add_months("_from", 1200))
     horizon = prices.agg(F.max("date").alias("_end"))
@@ -241,4 +242,4 @@ def mark_to_market(holdings: DataFrame, prices: DataFrame, price: str = "close")
     rows = rows.withColumn("_month", months)
     bars = prices.select("ticker", "date", F.col(price).alias("_p"), F.trunc("date", "MM").alias("_month"))
     met = rows.join(bars, ["ticker", "_month"]).where("date >= _from AND date <= _last")
-    return met.groupBy("date").agg(F.sum(F.col("shares") * F.col("_p")).alias("value"))
+    return met.groupBy(*keys, "date").agg(F.sum(F.col("shares") * F.col("_p")).alias("value"))

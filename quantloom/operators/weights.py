@@ -220,8 +220,8 @@ def long_short_book(longs: DataFrame, shorts: DataFrame) -> DataFrame:
 
 
 def target_shares(targets: DataFrame, holdings: DataFrame, prices: DataFrame, value: float, keys: Sequence[str] = DATE) -> DataFrame:
-    """Whole shares wanted at the given capital and the order against shares held."""
-    priced = targets.join(prices, [*keys, "ticker"]).where("price > 0")
+    """Whole shares wanted at the given capital and the order against shares held. ``prices`` has one row per (date, ticker), for all books."""
+    priced = targets.join(prices.select("date", "ticker", "price"), ["date", "ticker"]).where("price > 0")
     want = priced.select(*keys, "ticker", "price", F.floor(F.col("weight") * value / F.col("price")).cast("long").alias("target"))
     both = want.join(holdings.select(*keys, "ticker", "shares"), [*keys, "ticker"], "full_outer").fillna(0, ["target", "shares"])
     diff = F.col("target") - F.col("shares")

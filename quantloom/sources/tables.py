@@ -147,6 +147,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``write_csv`` wrote, with the types it had; no pass over the files to infer them."""
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
 def wide_to_long(wide: DataFrame, names: Sequence[str], fields: Mapping[str, str], sep: str = "_") -> DataFrame:
     """Column groups ``<name><sep><field>`` to rows; fields renamed; rows without an
     adjusted close dropped; timestamps cut to days."""

@@ -171,30 +171,49 @@ def _(m):
     return rows.unionByName(gone.select(F.lit("removed").alias("kind"), F.lit("").alias("snapshot_date"), "ticker"))
 
 
-@case("a17_csv_sinks", "strategy date portfolio_return spy_return")
+@case("a17_csv_sinks", "sink key name value:4", """SELECT 'folds' AS sink, strategy || '/' || date AS key, 'portfolio_return' AS name, portfolio_return AS value FROM strat
+  UNION ALL SELECT 'years', strategy || '/' || year(date), 'total', sum(portfolio_return) FROM strat GROUP BY 2
+  UNION ALL SELECT 'backtest', strategy || '/' || date, 'excess_return', excess_return FROM strat
+  UNION ALL SELECT 'picks', strategy || '/' || date || '/' || ticker, 'weight', weight FROM books
+  UNION ALL SELECT 'screen', date || '/' || ticker, 'score', score FROM scores WHERE score IS NOT NULL""")
 def _(m):
-    path = scratch(m.spark, "csv")
-    tables.write_csv(m.strategy_returns(), path)
-    return m.spark.read.option("header", True).csv(path)
+    """The five CSV sinks, each written, read back with its schema and told as long rows."""
+    root = scratch(m.spark, "csv")
+    series = m.strategy_returns()
+    sinks = {
+        "folds": (series.select("strategy", "date", "portfolio_return"), ["strategy", "date"]),
+        "years": (series.groupBy("strategy", F.year("date").alias("year")).agg(F.sum("portfolio_return").alias("total")), ["strategy", "year"]),
+        "backtest": (series.select("strategy", "date", "excess_return"), ["strategy", "date"]),
+        "picks": (m.books().select("strategy", "date", "ticker", "weight"), ["strategy", "date", "ticker"]),
+        "screen": (m.scores().where("score IS NOT NULL").select("date", "ticker", "score"), ["date", "ticker"]),
+    }
+    out = None
+    for sink, (rows, keys) in sinks.items():
+        tables.write_csv(rows, f"{root}/{sink}")
+        back = tables.read_csv(m.spark, f"{root}/{sink}", rows.schema)
+        name = back.columns[-1]
+        part = back.select(F.lit(sink).alias("sink"), F.concat_ws("/", *keys).alias("key"), F.lit(name).alias("name"), F.col(name).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _log_sessions(m):
-    """One session per rebalance date of the ten-name book."""
+    """One session per rebalance date and strategy; ids sort by date."""
     root = scratch(m.spark, "sessions")
-    picks = m.books().where("strategy = 'top10'").select(F.date_format("date", "yyyyMMdd").alias("session_id"), "date", "ticker", "weight", "score")
+    picks = m.books().select(F.concat_ws("-", F.date_format("date", "yyyyMMdd"), "strategy").alias("session_id"), "date", "ticker", "weight", "score")
     meta = picks.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_picks"), F.max("date").alias("date"))
     tables.log_session(picks, meta, root)
     return root
 
 
-@case("a18_session_log", "session_id date:d ticker weight:6", "SELECT strftime(date, '%Y%m%d') AS session_id, date, ticker, weight FROM books WHERE strategy = 'top10'")
+@case("a18_session_log", "session_id date:d ticker weight:6", "SELECT strftime(date, '%Y%m%d') || '-' || strategy AS session_id, date, ticker, weight FROM books")
 def _(m):
     root = _log_sessions(m)
     return m.spark.read.parquet(f"{root}/picks").withColumn("session_id", F.col("session_id").cast("string"))
 
 
-@case("a19_latest_session", "session_id ticker weight:6 n_sessions:i", """SELECT strftime(date, '%Y%m%d') AS session_id, ticker, weight, (SELECT count(DISTINCT date) FROM scores) AS n_sessions
-  FROM books WHERE strategy = 'top10' AND date = (SELECT max(date) FROM scores)""")
+@case("a19_latest_session", "session_id ticker weight:6 n_sessions:i", """SELECT strftime(date, '%Y%m%d') || '-' || strategy AS session_id, ticker, weight, (SELECT count(*) FROM bookdates) AS n_sessions
+  FROM books WHERE strftime(date, '%Y%m%d') || '-' || strategy = (SELECT max(strftime(date, '%Y%m%d') || '-' || strategy) FROM books)""")
 def _(m):
     root = _log_sessions(m)
     count = tables.list_sessions(m.spark, root).agg(F.count(F.lit(1)).alias("n_sessions"))

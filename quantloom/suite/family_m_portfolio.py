@@ -231,21 +231,32 @@ def _(m):
     return weights.holdings_change(m.books(), _slots())
 
 
-add_cte("shares", "SELECT b.ticker, b.date, p.close AS price, floor(b.weight * 1e6 / p.close) AS target FROM books b ASOF JOIN prices p ON p.ticker = b.ticker AND p.date <= b.date WHERE strategy = 'top10'")
-add_cte("heldsh", "SELECT ticker, nxt AS date, target AS shares FROM shares JOIN (SELECT date, nxt FROM bookdates WHERE strategy = 'top10') USING (date) WHERE nxt IS NOT NULL")
+add_cte("shares", "SELECT b.strategy, b.ticker, b.date, p.close AS price, floor(b.weight * 1e6 / p.close) AS target FROM books b ASOF JOIN prices p ON p.ticker = b.ticker AND p.date <= b.date")
+add_cte("heldsh", "SELECT strategy, ticker, nxt AS date, target AS shares FROM shares JOIN bookdates USING (strategy, date) WHERE nxt IS NOT NULL")
 
 
-@case("m18_target_shares", "date:d ticker target:i shares:i order_shares:i action", """SELECT *, target - shares AS order_shares, CASE WHEN target > shares THEN 'BUY' WHEN target < shares THEN 'SELL' ELSE 'HOLD' END AS action FROM (
-  SELECT coalesce(a.date, b.date) AS date, coalesce(a.ticker, b.ticker) AS ticker, coalesce(target, 0) AS target, coalesce(shares, 0) AS shares FROM shares a FULL JOIN heldsh b ON a.ticker = b.ticker AND a.date = b.date)""")
-def _(m):
+def _quoted(m, columns):
+    """The last quote up to each distinct (ticker, date) that any book asks for."""
     from quantloom.operators.asof import asof_backward
 
-    book = m.books().where("strategy = 'top10'").select("strategy", "date", "ticker", "weight")
-    quotes = asof_backward(book, m.prices().select("ticker", "date", "close"), ["close"]).select("date", "ticker", F.col("close").alias("price"))
-    empty = book.where("false").select("date", "ticker", F.lit(0).cast("long").alias("shares"))
-    first = reliable(weights.target_shares(book, empty, quotes, 1e6))
-    moved = weights.carried_forward(first.select(F.lit("top10").alias("strategy"), "date", "ticker", F.col("target").alias("shares")))
-    return weights.target_shares(book, moved, quotes, 1e6)
+    asked = m.books().select("ticker", "date").distinct()
+    return asof_backward(asked, m.prices().select("ticker", "date", *columns), columns).select("ticker", "date", *columns)
+
+
+def _first_shares(m):
+    """Whole shares of every book of every strategy, bought from nothing, with the quotes."""
+    book = m.books().select("strategy", "date", "ticker", "weight")
+    quotes = reliable(_quoted(m, ["close"]).withColumnRenamed("close", "price"))
+    empty = book.where("false").select("strategy", "date", "ticker", F.lit(0).cast("long").alias("shares"))
+    return book, quotes, reliable(weights.target_shares(book, empty, quotes, 1e6, ["strategy", "date"]))
+
+
+@case("m18_target_shares", "strategy date:d ticker target:i shares:i order_shares:i action", """SELECT *, target - shares AS order_shares, CASE WHEN target > shares THEN 'BUY' WHEN target < shares THEN 'SELL' ELSE 'HOLD' END AS action FROM (
+  SELECT coalesce(a.strategy, b.strategy) AS strategy, coalesce(a.date, b.date) AS date, coalesce(a.ticker, b.ticker) AS ticker, coalesce(target, 0) AS target, coalesce(shares, 0) AS shares FROM shares a FULL JOIN heldsh b ON a.ticker = b.ticker AND a.date = b.date AND a.strategy = b.strategy)""")
+def _(m):
+    book, quotes, first = _first_shares(m)
+    moved = weights.carried_forward(first.select("strategy", "date", "ticker", F.col("target").alias("shares")))
+    return weights.target_shares(book, moved, quotes, 1e6, ["strategy", "date"])
 
 
 @case("m19_aligned_or_fallback", "date:d ticker n_names:i is_fallback:i fallback:6", """SELECT date, ticker, n AS n_names, CASE WHEN n < 90 THEN 1 ELSE 0 END AS is_fallback, coalesce(CASE WHEN n < 90 THEN d / nullif(sum(abs(d)) OVER (PARTITION BY date), 0) END, 0) AS fallback FROM (
@@ -328,9 +339,7 @@ add_cte("ordc", "SELECT *, greatest(trade_value * 0.0005::DOUBLE, 1.0) / trade_v
 
 @case("n08_order_costs", "strategy date:d ticker commission:8 spread:8 impact:8 total:8 total_bps:4", "SELECT *, commission + spread + impact AS total, (commission + spread + impact) * 10000 AS total_bps FROM ordc")
 def _(m):
-    from quantloom.operators.asof import asof_backward
-
-    q = asof_backward(m.books(), m.prices().select("ticker", "date", "close", "volume"), ["close", "volume"])
+    q = m.books().join(_quoted(m, ["close", "volume"]), ["ticker", "date"])
     orders = q.select("strategy", "date", "ticker", (F.col("weight") * 1e6).alias("trade_value"), (F.col("close") / 600).alias("price"), (F.col("close") * F.col("volume")).alias("daily_value"), (F.col("volatility_20d") / F.sqrt(F.lit(252.0))).alias("volatility"))
     return returns.order_costs(orders)
 
@@ -392,23 +401,18 @@ def _(m):
     return raw.join(F.broadcast(spy), "date").withColumn("excess", F.col("raw_return") - F.col("spy_return"))
 
 
-add_cte("sess", """SELECT b.date, b.ticker, b.weight, p1.adj_close AS ep, CASE WHEN p2.date - x.exit_date <= 7 THEN p2.adj_close END AS xp0, l.adj_close AS latest FROM (SELECT * FROM books WHERE strategy = 'top10') b
+add_cte("sess", """SELECT b.strategy, b.date, b.ticker, b.weight, p1.adj_close AS ep, CASE WHEN p2.date - x.exit_date <= 7 THEN p2.adj_close END AS xp0, l.adj_close AS latest FROM books b
   JOIN (SELECT date, next_date AS entry_date, CAST(next_date + INTERVAL 30 DAY AS DATE) AS exit_date FROM cal) x ON x.date = b.date ASOF JOIN prices p1 ON p1.ticker = b.ticker AND p1.date >= x.entry_date ASOF LEFT JOIN prices p2 ON p2.ticker = b.ticker AND p2.date >= x.exit_date
   JOIN (SELECT ticker, arg_max(adj_close, date) AS adj_close FROM prices GROUP BY 1) l ON l.ticker = b.ticker WHERE p1.date - x.entry_date <= 7""")
 
 
-@case("n15_reconcile_sessions", "session_id portfolio_return:6 n_priced:i", "SELECT strftime(date, '%Y%m%d') AS session_id, sum(weight * (coalesce(xp0, latest) / ep - 1)) / sum(weight) AS portfolio_return, count(*) AS n_priced FROM sess GROUP BY 1")
+@case("n15_reconcile_sessions", "session_id portfolio_return:6 n_priced:i", "SELECT strategy || '-' || strftime(date, '%Y%m%d') AS session_id, sum(weight * (coalesce(xp0, latest) / ep - 1)) / sum(weight) AS portfolio_return, count(*) AS n_priced FROM sess GROUP BY 1")
 def _(m):
-    book = m.books().where("strategy = 'top10'").select(F.date_format("date", "yyyyMMdd").alias("session_id"), "date", "ticker", "weight")
-    return returns.reconcile(book, m.prices())
+    session = F.concat_ws("-", "strategy", F.date_format("date", "yyyyMMdd")).alias("session_id")
+    return returns.reconcile(m.books().select(session, "date", "ticker", "weight"), m.prices())
 
 
-@case("n16_mark_to_market", "date:d value:2", """SELECT p.date, sum(target * p.close) AS value FROM shares s JOIN (SELECT date, nxt FROM bookdates WHERE strategy = 'top10') d ON d.date = s.date JOIN prices p ON p.ticker = s.ticker AND p.date >= s.date AND (p.date < d.nxt OR d.nxt IS NULL) GROUP BY 1""")
+@case("n16_mark_to_market", "strategy date:d value:2", """SELECT s.strategy, p.date, sum(target * p.close) AS value FROM shares s JOIN bookdates d ON d.strategy = s.strategy AND d.date = s.date JOIN prices p ON p.ticker = s.ticker AND p.date >= s.date AND (p.date < d.nxt OR d.nxt IS NULL) GROUP BY 1, 2""")
 def _(m):
-    from quantloom.operators.asof import asof_backward
-
-    book = m.books().where("strategy = 'top10'").select("strategy", "date", "ticker", "weight")
-    quotes = asof_backward(book, m.prices().select("ticker", "date", "close"), ["close"]).select("date", "ticker", F.col("close").alias("price"))
-    empty = book.where("false").select("date", "ticker", F.lit(0).cast("long").alias("shares"))
-    held = weights.target_shares(book, empty, quotes, 1e6).select("date", "ticker", F.col("target").alias("shares"))
-    return returns.mark_to_market(held, m.prices())
+    held = _first_shares(m)[2].select("strategy", "date", "ticker", F.col("target").alias("shares"))
+    return returns.mark_to_market(held, m.prices(), keys=["strategy"])
