@@ -201,8 +201,10 @@ def trie(conversations: DataFrame) -> DataFrame:
     outer = runs.where("begin > 1").select("conv_id", (F.col("begin") - 1).alias("depth")).join(paths.select("conv_id", *NAME, "upto"), ["conv_id", "depth"])
     owners = _named(nodes, "up_id")
     hung = outer.join(owners, _same_name()).select("conv_id", "up_id", F.col("depth").alias("up_depth"), "upto")
-    top = runs.where("begin = 1").select("conv_id").join(whole.select(F.col("conv_id").alias("up_id")))
-    hung = stored(hung.unionByName(top.select("conv_id", "up_id", F.lit(0).cast("long").alias("up_depth"), F.lit(0).cast("long").alias("upto"))), "trie-hung")
+    least = whole.first()  # one row: the root's owner, or none
+    above = F.lit(least and least.conv_id).cast("long").alias("up_id")
+    top = runs.where("begin = 1")
+    hung = stored(hung.unionByName(top.select("conv_id", above, F.lit(0).cast("long").alias("up_depth"), F.lit(0).cast("long").alias("upto"))), "trie-hung")
 
     compact = stored(_compact(nodes, runs, hung, whole), "trie-compact")
     totals = _totals(paths, nodes, compact, limit)
