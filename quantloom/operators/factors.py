@@ -108,10 +108,10 @@ def residual_returns(returns: DataFrame, market: DataFrame, exposure: DataFrame,
     return rows.select("ticker", "date", "sector", "ret", value.alias("residual"))
 
 
-def risk_reduction(residuals: DataFrame) -> DataFrame:
-    """Average annual volatility before and after, and the share removed."""
-    per = residuals.groupBy("ticker").agg(F.stddev_samp("ret").alias("_r"), F.stddev_samp("residual").alias("_e"))
-    out = per.agg((F.avg("_r") * math.sqrt(252)).alias("raw_vol"), (F.avg("_e") * math.sqrt(252)).alias("residual_vol"))
+def risk_reduction(residuals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Average annual volatility before and after, and the share removed, over all rows or per ``keys``."""
+    per = residuals.groupBy(*keys, "ticker").agg(F.stddev_samp("ret").alias("_r"), F.stddev_samp("residual").alias("_e"))
+    out = per.groupBy(*keys).agg((F.avg("_r") * math.sqrt(252)).alias("raw_vol"), (F.avg("_e") * math.sqrt(252)).alias("residual_vol"))
     return out.withColumn("risk_reduction_pct", (1 - F.col("residual_vol") / F.col("raw_vol")) * 100)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import factors, panel, technical
+from quantloom.operators import factors, factors_at, panel, technical
 from quantloom.operators.factors import STYLE_COEFFICIENTS
 from quantloom.operators.universe import enough_returns
 from quantloom.session import reliable
@@ -148,3 +148,65 @@ def _(m):
 @case("l13_matched_beta", "ticker date:d history_beta:6", "SELECT * FROM hist")
 def _(m):
     return technical.history_risk(m.prices(), m.bench())
+
+
+# -- as of every month end ------------------------------------------------------------
+
+add_cte("acal", "SELECT date, row_number() OVER (ORDER BY date) AS t FROM cal")
+add_cte("aspan", f"SELECT m.date AS as_of, c.t AS hi, c.t - {_LB} AS lo, c.t - 300 AS vlo FROM mends m JOIN acal c ON c.date = m.date")
+add_cte("amkt", "SELECT as_of, var_samp(spy_ret) AS market_var FROM aspan s JOIN acal c ON c.t > s.lo AND c.t <= s.hi JOIN brets b ON b.date = c.date GROUP BY 1")
+add_cte("arec", """SELECT as_of, ticker, c.date, ret, spy_ret, row_number() OVER (PARTITION BY as_of, ticker ORDER BY c.date DESC) AS k, count(*) OVER (PARTITION BY as_of, ticker) AS n
+  FROM aspan s JOIN acal c ON c.t > s.lo AND c.t <= s.hi JOIN rb ON rb.date = c.date WHERE ret IS NOT NULL AND spy_ret IS NOT NULL""")
+add_cte("aexpo", f"""SELECT f.ticker, f.as_of, max(n) AS n_obs, coalesce(any_value(g.sector), 'Unknown') AS sector, {clip_sql('covar_samp(ret, spy_ret) / any_value(v.market_var)', 0.2, 3.0)} AS beta,
+  CASE WHEN max(n) >= 63 THEN product(CASE WHEN k > 21 AND (n < 252 OR k <= 252) THEN 1 + ret ELSE 1 END) - 1 ELSE 0 END AS momentum, avg(abs(ret)) / (stddev_samp(ret) + 1e-8) AS size,
+  -(product(CASE WHEN k <= 21 THEN 1 + ret ELSE 1 END) - 1) AS value, -stddev_samp(ret) * sqrt(252) AS low_vol, -(product(CASE WHEN k <= 5 THEN 1 + ret ELSE 1 END) - 1) AS reversal, stddev_samp(ret) * sqrt(252) AS volatility
+  FROM arec f LEFT JOIN meta g ON g.ticker = f.ticker JOIN amkt v ON v.as_of = f.as_of WHERE n >= {_LEAST} GROUP BY f.ticker, f.as_of""")
+_aloads = ", ".join(f"{clip_sql(z_sql(f, 'as_of'), -2, 2)} AS {f}_load" for f in _STYLES)
+add_cte("aloads", f"SELECT *, {_aloads} FROM aexpo")
+add_cte("aexpol", " UNION ALL ".join(f"SELECT ticker, as_of, '{f}' AS factor, {f} AS x FROM aexpo" for f in _STYLES))
+add_cte("alegs", """SELECT ticker, as_of, factor, CASE WHEN hi <= q THEN 1 END AS top, CASE WHEN lo <= q THEN 1 END AS bottom FROM (SELECT *, row_number() OVER (PARTITION BY as_of, factor ORDER BY x DESC, ticker) AS hi,
+  row_number() OVER (PARTITION BY as_of, factor ORDER BY x, ticker) AS lo, floor(count(*) OVER (PARTITION BY as_of, factor) * 0.3) AS q FROM aexpol)""")
+add_cte("aheld", "SELECT c.date, max(m.date) AS as_of FROM cal c JOIN mends m ON m.date < c.date GROUP BY 1")
+add_cte("astyler", "SELECT r.date, factor, avg(ret) FILTER (top = 1) - avg(ret) FILTER (bottom = 1) AS factor_return FROM rets r JOIN aheld h ON h.date = r.date JOIN alegs l ON l.ticker = r.ticker AND l.as_of = h.as_of WHERE ret IS NOT NULL AND (top = 1 OR bottom = 1) GROUP BY 1, 2")
+add_cte("aresid", f"""SELECT x.ticker, x.date, x.as_of, x.sector, ret, ret - beta * spy_ret - (sector_ret - spy_ret) {_less} AS residual FROM (SELECT r.date, r.ret, l.*, avg(r.ret) OVER (PARTITION BY r.date, l.sector) AS sector_ret
+  FROM rets r JOIN aheld h ON h.date = r.date JOIN aloads l ON l.ticker = r.ticker AND l.as_of = h.as_of WHERE r.ret IS NOT NULL) x LEFT JOIN (SELECT date, {_wide} FROM astyler GROUP BY 1) s ON s.date = x.date LEFT JOIN brets b ON b.date = x.date""")
+
+
+def _exposure_at(m):
+    returns, market = _inputs(m)
+    ends = reliable(m.month_ends())
+    return returns, market, reliable(factors_at.exposures_at(returns, market, m.meta(), ends, _LB, _LEAST)), ends
+
+
+@case("l01_exposures_by_date", "ticker as_of:d n_obs:i sector beta:6 log_momentum:6 size:6 log_value:6 low_vol:5 log_reversal:6 volatility:5", "SELECT *, ln(1 + momentum) AS log_momentum, ln(1 - value) AS log_value, ln(1 - reversal) AS log_reversal FROM aexpo")
+def _(m):
+    e = _exposure_at(m)[2]
+    return e.select("*", F.log(1 + F.col("momentum")).alias("log_momentum"), F.log(1 - F.col("value")).alias("log_value"), F.log(1 - F.col("reversal")).alias("log_reversal"))
+
+
+@case("l02_style_returns_by_date", "date:d factor factor_return:6", "SELECT * FROM astyler")
+def _(m):
+    returns, _, e, ends = _exposure_at(m)
+    return factors_at.style_returns_at(returns, e, factors_at.holding_days(returns, ends))
+
+
+@case("l03_loadings_by_date", "ticker as_of:d " + " ".join(f"{f}_load:6" for f in _STYLES), "SELECT * FROM aloads")
+def _(m):
+    return factors_at.loadings_at(_exposure_at(m)[2])
+
+
+@case("l04_residual_returns_by_date", "ticker date:d as_of:d residual:5", "SELECT * FROM aresid")
+def _(m):
+    return factors_at.residual_returns_at(*_exposure_at(m))
+
+
+@case("l05_risk_reduction_by_date", "as_of:d raw_vol:5 residual_vol:5 risk_reduction_pct:5", "SELECT as_of, avg(r) * sqrt(252) AS raw_vol, avg(e) * sqrt(252) AS residual_vol, (1 - avg(e) / avg(r)) * 100 AS risk_reduction_pct FROM (SELECT as_of, ticker, stddev_samp(ret) AS r, stddev_samp(residual) AS e FROM aresid GROUP BY 1, 2) GROUP BY 1 HAVING avg(r) > 0")
+def _(m):
+    return factors.risk_reduction(factors_at.residual_returns_at(*_exposure_at(m)), ["as_of"]).where("raw_vol > 0")
+
+
+@case("l12_vol_beta_by_date", "ticker as_of:d beta:6 volatility:5", f"""SELECT coalesce(b.ticker, v.ticker) AS ticker, coalesce(b.as_of, v.as_of) AS as_of, beta, volatility FROM (SELECT ticker, f.as_of, CASE WHEN count(*) > {_LEAST} THEN {clip_sql('covar_samp(ret, spy_ret) / any_value(market_var)', 0.2, 3.0)} ELSE 1.0 END AS beta FROM arec f JOIN amkt v ON v.as_of = f.as_of GROUP BY 1, 2) b
+  FULL JOIN (SELECT ticker, as_of, stddev_samp(ret) * sqrt(252) AS volatility FROM aspan s JOIN acal c ON c.t > s.vlo AND c.t <= s.hi JOIN rets r ON r.date = c.date WHERE ret IS NOT NULL GROUP BY 1, 2) v ON v.ticker = b.ticker AND v.as_of = b.as_of""")
+def _(m):
+    returns, market = _inputs(m)
+    return factors_at.vol_beta_at(returns, market, reliable(m.month_ends()), 300, _LB, _LEAST)
