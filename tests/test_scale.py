@@ -75,3 +75,32 @@ def test_bar_features_visit_no_frame_bar_by_bar(spark):
     prices = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1.0, 1)], "ticker string, date date, adj_close double, volume long")
     plan = panel.bar_features(prices)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.findall(r"RowFrame, -\d+, currentrow", plan)
+
+
+def test_screen_blocks_read_written_bars(spark, monkeypatch):
+    """Before, every block and the month ends aggregated all lines again."""
+    from pyspark.sql import functions as F
+
+    from quantloom.plans import derived
+
+    class Seen(Exception):
+        pass
+
+    class Bars(derived.Market):
+        def prices(self):
+            lines = spark.createDataFrame([("a", dt.date(2020, 1, d), float(d)) for d in (1, 1, 2)], "ticker string, date date, close double")
+            return lines.groupBy("ticker", "date").agg(F.max("close").alias("close"), F.max("close").alias("adj_close"))
+
+        def bench(self):
+            return self.prices()
+
+    def look(prices):
+        raise Seen(prices)
+
+    monkeypatch.setattr(derived.technical, "level_indicators", look)
+    try:
+        Bars(spark, "none").screen_rows()
+    except Seen as seen:
+        (prices,) = seen.args
+    plan = prices._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and sorted(r.close for r in prices.collect()) == [1.0, 2.0]
