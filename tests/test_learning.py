@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from quantloom.operators import learn
@@ -36,6 +37,36 @@ def test_planted_signal_trains_more_than_twenty_trees(planted):
     assert len(losses) == 60 or len(losses) - len(kept) >= 10
 
 
+@pytest.mark.parametrize("kind", [GBTClassifier, GBTRegressor])
+def test_cut_model_is_the_model_of_fewer_rounds(planted, kind, tmp_path):
+    rows = learn.training_rows(planted, ["a", "b", "noise"])
+    estimator = kind(**SETTINGS, maxDepth=2, stepSize=0.1, subsamplingRate=0.8, seed=42)
+    cut, short = learn.cut_after(estimator.copy({estimator.maxIter: 8}).fit(rows), 5), estimator.copy({estimator.maxIter: 5}).fit(rows)
+    assert cut.getNumTrees == 5 and cut.treeWeights == short.treeWeights and cut.getMaxIter() == 5
+    assert cut.featureImportances == short.featureImportances and cut.numFeatures == 3
+    cut.write().save(str(tmp_path / "cut"))
+    for model in (cut, type(cut).load(str(tmp_path / "cut"))):
+        both = model.transform(rows.withColumn("k", F.lit(1))).agg(F.sum("prediction"), F.count("k")).first()
+        assert both == short.transform(rows.withColumn("k", F.lit(1))).agg(F.sum("prediction"), F.count("k")).first()
+
+
+def test_boosting_is_trained_at_most_twice(planted, monkeypatch):
+    rows, trained = learn.training_rows(planted, ["a", "b", "noise"]), []
+    fit = GBTClassifier._fit
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, data: trained.append(self.getMaxIter()) or fit(self, data))
+    _model, losses = learn.best_prefix(GBTClassifier(**SETTINGS, maxDepth=2, stepSize=0.1, seed=42), rows, patience=5, first=6, most=60)
+    assert len(losses) > 12 and trained == [6, 60]
+
+
+def test_looks_are_doubled_until_the_best_round_is_old():
+    falling = [1.0 / k for k in range(1, 61)]
+    assert learn._kept_rounds(falling, 5, 6, 60) == (60, 60)
+    assert learn._kept_rounds(falling[:6], 5, 6, 60) == (0, 12)
+    assert learn._kept_rounds([*falling[:10], *[1.0] * 50], 5, 6, 60) == (10, 24)
+    assert learn._kept_rounds([*falling[:1], *[1.0] * 10, *[0.0] * 49], 5, 6, 60) == (1, 6)
+    assert learn._kept_rounds(falling, 5, 80, 60) == (60, 60)
+
+
 def test_no_validation_rows_keep_the_first_rounds(planted):
     rows = learn.training_rows(planted, ["a", "b"]).withColumn("is_validation", F.lit(False))
     model, losses = learn.best_prefix(GBTClassifier(**SETTINGS, maxDepth=2), rows, first=3)
