@@ -199,7 +199,8 @@ class Market:
 
     @cached_property
     def _scores(self) -> DataFrame:
-        rows = self.month_rows().select(
+        # the written month-end rows if a plan has them already, so that bars are built once
+        rows = (self.month_table() if "_month_table" in vars(self) else self.month_rows()).select(
             "ticker", "date", "sector", "return_6m", "volatility_20d", "market_volatility", "future_return", "target_excess"
         )
         return reliable(pct_rank(reliable(rows), ["date"], {"return_6m": "score"}))

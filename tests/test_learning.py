@@ -54,8 +54,8 @@ def test_boosting_is_trained_at_most_twice(planted, monkeypatch):
     rows, trained = learn.training_rows(planted, ["a", "b", "noise"]), []
     fit = GBTClassifier._fit
     monkeypatch.setattr(GBTClassifier, "_fit", lambda self, data: trained.append(self.getMaxIter()) or fit(self, data))
-    _model, losses = learn.best_prefix(GBTClassifier(**SETTINGS, maxDepth=2, stepSize=0.1, seed=42), rows, patience=5, first=6, most=60)
-    assert len(losses) > 12 and trained == [6, 60]
+    _model, losses = learn.best_prefix(GBTClassifier(**SETTINGS, maxDepth=2, stepSize=0.1, seed=42), rows, patience=5, first=6, most=26)
+    assert len(losses) > 12 and trained == [6, 26]
 
 
 def test_looks_are_doubled_until_the_best_round_is_old():

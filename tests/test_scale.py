@@ -104,3 +104,24 @@ def test_screen_blocks_read_written_bars(spark, monkeypatch):
         (prices,) = seen.args
     plan = prices._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and sorted(r.close for r in prices.collect()) == [1.0, 2.0]
+
+
+def test_scores_take_the_written_month_rows(spark):
+    """A plan that has the month-end rows written does not build them from the bars again for the scores."""
+    from quantloom.plans.derived import Market
+
+    names = "ticker string, date date, sector string, return_6m double, volatility_20d double, market_volatility double, future_return double, target_excess double"
+    rows = spark.createDataFrame([(t, dt.date(2020, 1, 31), None, r, 0.1, 0.2, 0.3, None) for t, r in (("A", 0.5), ("B", None), ("C", 0.5), ("D", -1.0))], names)
+    built = []
+
+    class Counted(Market):
+        def month_rows(self):
+            built.append(1)
+            return rows
+
+    both, alone = Counted(spark, "none"), Counted(spark, "none")
+    both.month_table()
+    found = sorted(map(tuple, both.scores().select("ticker", "score").collect()))
+    assert len(built) == 1
+    assert found == sorted(map(tuple, alone.scores().select("ticker", "score").collect()))
+    assert found == [("A", 2.5 / 3), ("B", None), ("C", 2.5 / 3), ("D", 1 / 3)]
