@@ -69,14 +69,13 @@ def normalize(raw: Column, top: float | Column) -> Column:
     return clip(raw / top * 100, 0, 100)
 
 
-def momentum_inputs(prices: DataFrame) -> DataFrame:
-    """Look-back changes, last-day change, volume ratio and volume stability per bar."""
+def momentum_inputs(prices: DataFrame, along: bool = False) -> DataFrame:
+    """Look-back changes, last-day change, volume ratio and volume stability per bar.
+    With ``along`` the rows are those of another block: dealt out by ticker already, and all their columns stay."""
     w = by_bar()
-    base = spread(prices).select(
-        "ticker",
-        "date",
-        "close",
-        "volume",
+    kept = prices.columns if along else ["ticker", "date"]
+    base = (prices if along else spread(prices.select("ticker", "date", "close", "volume"))).select(
+        "*",
         F.row_number().over(w).alias("_n"),
         *[F.lag("close", k).over(w).alias(f"_p{k}") for k in (1, 21, 65, 125, 251)],
         F.avg("volume").over(trailing(20)).alias("_v20"),
@@ -85,8 +84,7 @@ def momentum_inputs(prices: DataFrame) -> DataFrame:
     )
     move = lambda k: (F.col("close") - F.col(f"_p{k}")) / F.col(f"_p{k}") * 100
     return base.select(
-        "ticker",
-        "date",
+        *kept,
         move(21).alias("mom_1m"),
         move(65).alias("mom_3m"),
         move(125).alias("mom_6m"),

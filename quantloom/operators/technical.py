@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import by_bar, full, ratio, trailing, upto
+from quantloom.operators.panel import trailing_parts
 from quantloom.session import spread
 
 #: Largest growing factor inside a block, and the greatest weight that may be left out.
@@ -140,18 +141,21 @@ def smoothed_indicators(prices: DataFrame, n: int = 14) -> DataFrame:
 
 
 def level_indicators(prices: DataFrame) -> DataFrame:
-    """Moving averages, year high and low with distances, volume average and ratio."""
-    n = F.row_number().over(by_bar())
-    rolled = spread(prices).select(
+    """Moving averages, year high and low with distances, volume average and ratio. Means and extremes are
+    put together from doubled frames (``trailing_parts``), so no bar visits the last 252."""
+    bars = spread(prices.select("ticker", "date", "close", "high", "low", "volume"))
+    bars = bars.select("*", F.row_number().over(by_bar()).alias("bar_no"))
+    rolled = trailing_parts(bars, {"close": (20, 50, 200), "volume": (20,)}, {"high": {"_hi": 252}, "low": {"_lo": 252}})
+    rolled = rolled.select(
         "ticker",
         "date",
         "close",
         "volume",
-        n.alias("bar_no"),
-        *[F.avg("close").over(trailing(k)).alias(f"_a{k}") for k in (20, 50, 200)],
-        F.max("high").over(trailing(252)).alias("high_52w"),
-        F.min("low").over(trailing(252)).alias("low_52w"),
-        F.avg("volume").over(trailing(20)).alias("_v20"),
+        "bar_no",
+        *[ratio(f"close_s{k}", f"close_n{k}").alias(f"_a{k}") for k in (20, 50, 200)],
+        F.col("_hi").alias("high_52w"),
+        F.col("_lo").alias("low_52w"),
+        ratio("volume_s20", "volume_n20").alias("_v20"),
     )
     out = rolled.select(
         "ticker",
@@ -323,19 +327,22 @@ def training_windows(prices: DataFrame, forward: int = 21, start: int = 60) -> D
     return kept.select("ticker", "date", "forward_return", (F.col("forward_return") > 0).cast("int").alias("direction"))
 
 
-def history_risk(prices: DataFrame, bench: DataFrame) -> DataFrame:
+def history_risk(prices: DataFrame, bench: DataFrame, along: bool = False) -> DataFrame:
     """Risk of the whole history up to each bar: volatility, volatility of volatility,
-    worst drawdown and benchmark beta (60 matched returns). Growing frames: linear."""
+    worst drawdown and benchmark beta (60 matched returns). Growing frames: linear.
+    With ``along`` the rows are those of another block: dealt out by ticker already, and all their columns stay."""
     from quantloom.operators.panel import daily_returns
 
     market = daily_returns(bench, "close", "spy_ret").select("date", "spy_ret")
-    rows = daily_returns(spread(prices), "close").join(F.broadcast(market), "date", "left")
+    kept = [c for c in prices.columns if c not in ("ticker", "date", "close")] if along else []
+    rows = daily_returns(prices if along else spread(prices), "close").join(F.broadcast(market), "date", "left")
     h = upto()
     both = F.col("ret").isNotNull() & F.col("spy_ret").isNotNull()
     one = rows.select(
         "ticker",
         "date",
         "close",
+        *kept,
         F.count("ret").over(h).alias("n_returns"),
         F.stddev_samp("ret").over(h).alias("_sd"),
         F.avg("ret").over(h).alias("mean_return"),
@@ -353,6 +360,7 @@ def history_risk(prices: DataFrame, bench: DataFrame) -> DataFrame:
     return three.select(
         "ticker",
         "date",
+        *(["close", *kept] if along else []),
         "n_returns",
         "mean_return",
         F.col("_sd").alias("daily_vol"),

@@ -182,8 +182,21 @@ class Market:
     def calendar(self) -> DataFrame:
         return trading_calendar(self.prices())
 
+    @cached_property
+    def _bar_table(self) -> DataFrame:
+        return reliable(self.prices())
+
+    @cached_property
+    def _bench_table(self) -> DataFrame:
+        return reliable(self.bench())
+
+    def _bars_and_bench(self) -> tuple[DataFrame, DataFrame]:
+        """The written bars and benchmark if a plan has them already, so that lines are combined once."""
+        known = vars(self)
+        return (self._bar_table if "_bar_table" in known else self.prices()), (self._bench_table if "_bench_table" in known else self.bench())
+
     def month_rows(self) -> DataFrame:
-        return monthly.month_end_features(self.prices(), self.bench(), self.meta())
+        return monthly.month_end_features(*self._bars_and_bench(), self.meta())
 
     @cached_property
     def _month_table(self) -> DataFrame:
@@ -272,8 +285,9 @@ class Market:
     def macro(self) -> DataFrame:
         """Regime inputs per benchmark date, from a damped benchmark (the test data's own
         volatility is far above any market's)."""
-        damped = self.bench().withColumn("close", 100 * F.pow(F.col("close") / 50000, F.lit(0.08)))
-        vix = panel.benchmark_features(self.bench()).select("date", F.round(F.col("market_volatility") * 100 / 12, 6).alias("vix"))
+        bench = self._bars_and_bench()[1]
+        damped = bench.withColumn("close", 100 * F.pow(F.col("close") / 50000, F.lit(0.08)))
+        vix = panel.benchmark_features(bench).select("date", F.round(F.col("market_volatility") * 100 / 12, 6).alias("vix"))
         inputs = regime.regime_inputs(damped, vix)
         rows = inputs.select(
             "date", "vix", F.round(F.col("spy_trend") * 8, 6).alias("spy_trend"), F.round("spy_volatility", 6).alias("spy_volatility")
@@ -285,20 +299,18 @@ class Market:
 
     @cached_property
     def _screen_rows(self) -> DataFrame:
-        """One analysis row per (ticker, month end). Every block is sampled at month ends
-        first, so the joins between blocks meet a twentieth of the bars. The bars are written
-        once for all blocks; joins by (ticker, date) come before the look-up and join by ticker, so
+        """One analysis row per (ticker, month end). Levels, momentum and risk share one exchange and sort of the
+        bars; the smoothed block, which sorts by blocks, has its own. Both are sampled at month ends
+        first, so their join meets a twentieth of the bars. Bars and benchmark are written
+        once for all blocks, the scores and the regimes; joins by (ticker, date) come before the look-up and join by ticker, so
         that the wide rows are dealt out once for either key."""
-        prices, bench = reliable(self.prices()), self.bench()
+        prices, bench = self._bar_table, self._bench_table
         ends = reliable(monthly.month_ends(prices))
         key = ["ticker", "date"]
-        rows = sample_at(technical.level_indicators(prices), ends)
-        for block in (
-            technical.smoothed_indicators(prices).drop("close"),
-            technical.history_risk(prices, bench).drop("close"),
-            scores.momentum_inputs(prices),
-        ):
-            rows = rows.join(sample_at(block, ends).drop("bar_date"), key)
+        bars = scores.momentum_inputs(technical.level_indicators(prices), along=True)
+        rows = sample_at(technical.history_risk(bars, bench, along=True), ends)
+        smooth = technical.smoothed_indicators(prices).drop("close")
+        rows = rows.join(sample_at(smooth, ends).drop("bar_date"), key)
         rows = rows.join(news.as_of(self.news(), ends), key, "left")
         model = self.scores().select(
             *key,
