@@ -9,10 +9,11 @@ ranks decide the order, so the library's merges and those of the rank rule agree
 
 **Encoding.** A text is cut at safe blanks (``tokens.cut``) into chunks, a chunk by the public pattern
 into pieces, each merged separately. Pieces of up to ``CACHED_CHARS`` are looked up in a worker's
-table of at most ``CACHED_PIECES`` entries, emptied when full; the rest of a chunk goes to the library
-as one batch. ``encode`` gives ids with the byte offset at which each token starts.
+tables of at most ``CACHED_PIECES`` entries, a newer and an older half: when the newer one is full it becomes the older
+one, and pieces met again move back, so frequent ones stay. The library's model merges the others. A piece's ids are kept packed, so a chunk's ids are one join of bytes and no Python number is made for
+an id. ``encode`` gives ids with the byte offset at which each token starts.
 
-**Decoding.** ``decode`` reverses the byte table: an id gives characters, these give bytes, bytes are joined before
+**Decoding.** ``decode`` reverses the byte table: an id gives characters, these give bytes (an Arrow take), bytes are joined before
 anything is read as UTF-8, so characters split over tokens come back whole. ``char_starts`` tells
 the character in which each token starts; a token inside a character points to that character.
 
@@ -29,19 +30,22 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.tokens import PIECE_BYTES, cut, file_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHED_PIECES = 1 << 17
+#: Pieces held by a worker; a packed entry takes about 200 bytes.
+CACHED_PIECES = 1 << 18
 CACHED_CHARS = 64
 #: Blocks before Armenian are full since Unicode 7; only later ones can be disputed.
 _LATER_SCRIPTS = re.compile("[\u0530-\U0010ffff]").search
@@ -71,6 +75,10 @@ def halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
+def _joined(parts: pa.Array, between):
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(parts)], parts), pa.scalar(between, parts.type))[0].as_py()
+
+
 def _members(spans, n: int) -> np.ndarray:
     out = np.zeros(n, bool)
     for start, end in spans:
@@ -98,6 +106,26 @@ def disputed_characters() -> str:
     return ranges or "\\U0010ffff"
 
 
+class _Pieces(dict):
+    """The packed ids of pieces: a newer table, and an older one from which pieces that are met again move back."""
+
+    def __init__(self, merge) -> None:
+        self._merge, self._spelling, self._older = merge, "".join(byte_chars()), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self._older.get(piece)
+        if packed is None:
+            word = piece.encode().decode("latin-1").translate(self._spelling)
+            packed = array("i", [token.id for token in self._merge(word)]).tobytes()
+            if len(piece) > CACHED_CHARS:
+                return packed
+        if len(self) >= CACHED_PIECES // 2:
+            self._older = dict(self)
+            self.clear()
+        self[piece] = packed
+        return packed
+
+
 class ByteBpe:
     """One rank file: ``ids`` of a text, ``bytes_of`` ids."""
 
@@ -105,7 +133,7 @@ class ByteBpe:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        from tokenizers import Regex, models, pre_tokenizers
 
         ranks = read_ranks(file_of(name))
         chars = byte_chars()
@@ -114,16 +142,15 @@ class ByteBpe:
         merges = [(spelled[pair[0]], spelled[pair[1]]) for token in by_rank if (pair := halves(token, ranks))]
         vocabulary = {spelled[token]: rank for token, rank in ranks.items()}
         # an entry that equals a whole piece is taken at once, as the rank rule does
-        self._model = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
-        self._model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._known = _Pieces(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True).tokenize)
         self._match = regex.compile(public_tokenizers.PATTERN).findall
         self._split = pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated").pre_tokenize_str
         back = {c: b for b, c in enumerate(chars)}
         self.token_bytes = [_UNKNOWN] * (max(ranks.values()) + 1)
         for word, rank in vocabulary.items():
             self.token_bytes[rank] = bytes(back[c] for c in word)
-        self.id_texts = [str(i) for i in range(len(self.token_bytes))]
-        self._known: dict[str, list[int]] = {}
+        self._bytes = pa.array([*self.token_bytes, _UNKNOWN], pa.large_binary())
+        self._numbers = pa.array([str(i) for i in range(len(self.token_bytes))], pa.large_string())
 
     @cached_property
     def _disputed(self):
@@ -135,31 +162,26 @@ class ByteBpe:
             return [piece for piece, _ in self._split(chunk)]
         return self._match(chunk)
 
-    def _encoded(self, pieces: list[str]) -> list[list[int]]:
-        known = self._known
-        missing = list(set(pieces).difference(known))
-        if missing and len(known) + len(missing) > CACHED_PIECES:
-            known.clear()
-            missing = list(set(pieces))
-        if missing:
-            known.update(zip(missing, [e.ids for e in self._model.encode_batch_fast(missing, add_special_tokens=False)]))
-        out = [known[p] for p in pieces]
-        for p in missing:
-            if len(p) > CACHED_CHARS:
-                del known[p]
-        return out
+    def _encoded(self, pieces: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._known.__getitem__, pieces)), np.int32)
 
-    def chunks(self, text: str, size: int = PIECE_BYTES) -> Iterator[list[int]]:
+    def chunks(self, text: str, size: int = PIECE_BYTES) -> Iterator[np.ndarray]:
         """Ids of a text, chunk after chunk; joined they are the ids of the whole text."""
         for chunk in cut(text, size, False) if text else []:
-            yield [i for ids in self._encoded(self.pieces(chunk)) for i in ids]
+            yield self._encoded(self.pieces(chunk))
 
     def ids(self, text: str) -> list[int]:
-        return [i for chunk in self.chunks(text) for i in chunk]
+        return [i for chunk in self.chunks(text) for i in chunk.tolist()]
 
     def bytes_of(self, ids) -> bytes:
-        table = self.token_bytes
-        return b"".join([table[i] if i is not None and 0 <= i < len(table) else _UNKNOWN for i in ids])
+        """The bytes of a list or an array of ids, joined; U+FFFD for an id (or None) outside the table."""
+        at = ids if isinstance(ids, np.ndarray) else np.array([-1 if i is None else i for i in ids], np.int64)
+        outside = (at < 0) | (at >= len(self.token_bytes))
+        return _joined(self._bytes.take(pa.array(np.where(outside, len(self.token_bytes), at) if outside.any() else at)), b"")
+
+    def listed(self, ids: np.ndarray) -> bytes:
+        """The ids of the table as decimal numbers, joined by commas."""
+        return _joined(self._numbers.take(pa.array(ids)), ",").encode()
 
     def starts(self, ids: list[int]) -> list[int]:
         out, at = [], 0
@@ -172,7 +194,7 @@ class ByteBpe:
         """The index of the character that holds each token's first byte."""
         out, begun = [], 0
         for i in ids:
-            token = self.bytes_of([i])
+            token = self.token_bytes[i] if i is not None and 0 <= i < len(self.token_bytes) else _UNKNOWN
             inside = bool(token) and token[0] & 0xC0 == 0x80
             out.append(max(begun - 1, 0) if inside else begun)
             begun += sum(b & 0xC0 != 0x80 for b in token)
@@ -230,7 +252,7 @@ def _round_trip(text: str, bpe: ByteBpe) -> dict:
     """Token count and digests of a text's ids and of what they decode to, one chunk in memory at a time."""
     n, listed, back = 0, sha256(), sha256()
     for ids in bpe.chunks(text):
-        listed.update(("," if n else "").encode() + ",".join([bpe.id_texts[i] for i in ids]).encode())
+        listed.update((b"," if n else b"") + bpe.listed(ids))
         back.update(bpe.bytes_of(ids))
         n += len(ids)
     return {"n_tokens": n, "ids_sha256": listed.hexdigest(), "decoded_sha256": back.hexdigest()}

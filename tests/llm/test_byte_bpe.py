@@ -52,6 +52,26 @@ def test_a_full_table_is_emptied_without_change(exact, monkeypatch):
     assert len(bpe._known) <= 200
 
 
+def test_frequent_pieces_stay_in_a_full_table(exact, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHED_PIECES", 64)
+    bpe, merged = byte_bpe.ByteBpe(), []
+    merge = bpe._known._merge
+    bpe._known._merge = lambda word: merged.append(word) or merge(word)
+    for k in range(400):
+        text = f" frequent {'abcdefghij'[k % 10]}{'xyzuvwklmn'[k // 10 % 10]}{'opqrst'[k // 100]}"
+        assert bpe.ids(text) == exact.encode_ordinary(text)
+    assert merged.count("Ġfrequent") == 1 and len(merged) == 402 - 1
+    assert len(bpe._known) + len(bpe._known._older) <= 64
+
+
+def test_odd_ids_among_many(exact):
+    bpe = byte_bpe.loaded(byte_bpe.RANKS)
+    ids = bpe.ids("zero \x00 and ÿ and \n漢")
+    whole = exact.decode_bytes(ids)
+    assert bpe.bytes_of(ids) == whole and bpe.bytes_of([*ids, -1, None, 10**6]) == whole + "\ufffd".encode() * 3
+    assert b"".join(bpe.listed(c) for c in bpe.chunks("zero \x00 and ÿ and \n漢")) == ",".join(map(str, ids)).encode()
+
+
 def test_op11_on_odd_rows(spark, make_docs, exact):
     texts = [*odd_texts(), None, "twice", "twice"]
     rows = byte_bpe.op11(make_docs([(i, t, "en", None) for i, t in enumerate(texts)])).collect()
