@@ -10,8 +10,8 @@ ranks decide the order, so the library's merges and those of the rank rule agree
 **Encoding.** A text is cut at safe blanks (``tokens.cut``) into chunks, a chunk by the public pattern
 into pieces, each merged separately. Pieces of up to ``CACHED_CHARS`` are looked up in a worker's
 tables of at most ``CACHED_PIECES`` entries, a newer and an older half: when the newer one is full it becomes the older
-one, and pieces met again move back, so frequent ones stay. The library's model merges the others. A piece's ids are kept packed, so a chunk's ids are one join of bytes and no Python number is made for
-an id. ``encode`` gives ids with the byte offset at which each token starts.
+one, and pieces met again move back, so frequent ones stay. The library's model merges the others. A piece's ids are
+kept packed, so a chunk's ids are one join of bytes. ``encode`` gives ids with the byte offset at which each token starts.
 
 **Decoding.** ``decode`` reverses the byte table: an id gives characters, these give bytes (an Arrow take), bytes are joined before
 anything is read as UTF-8, so characters split over tokens come back whole. ``char_starts`` tells
