@@ -1,12 +1,15 @@
 """Fits in few partitions, screening rows and ranks that move few bytes, pairs of a bounded number of blocks."""
 
 import random
+import re
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import learn
+from quantloom.operators.asof import beside
+from quantloom.session import spread
 
 
 def test_small_fits_are_read_in_few_partitions(spark, monkeypatch):
@@ -19,3 +22,21 @@ def test_small_fits_are_read_in_few_partitions(spark, monkeypatch):
     ready = learn.training_rows(train, ["a"])
     assert ready.rdd.getNumPartitions() == 6
     assert ready.where("is_validation").count() == 120 and ready.count() == 600
+
+
+def test_rows_dealt_out_by_ticker_stay_where_they_are(spark):
+    day = lambda k: date(2001, 1, 1) + timedelta(days=30 * k)
+    wide = spark.createDataFrame([(t, day(k), 10 * k) for t in ("A", "B", "C", None) for k in range(4)], "ticker string, date date, x int")
+    other = spark.createDataFrame([("A", day(1), 1.0), ("A", day(3), 3.0), ("B", day(0), 0.5), ("D", day(0), 9.0), (None, day(0), 7.0), ("C", None, 8.0)], "ticker string, date date, y double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how in ("inner", "left"):
+            out = beside(spread(wide), spread(other), how)
+            # before, both sides moved once more, to be dealt out by ticker and date
+            assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+            assert out.columns == ["ticker", "date", "x", "y"]
+            want = wide.join(other, ["ticker", "date"], how)
+            assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
