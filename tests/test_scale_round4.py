@@ -7,7 +7,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import learn, panel
+from quantloom.operators import factors, learn, panel
 from quantloom.operators.asof import beside
 from quantloom.operators.xsection import rank_table
 from quantloom.plans import monthly
@@ -78,3 +78,17 @@ def test_residuals_and_znorms_are_not_written(spark, monkeypatch):
         middle = sum(known) / len(known)
         if got.future_return_resid is not None:
             assert got.target_regression == pytest.approx((got.future_return_resid - middle) / (sum((v - middle) ** 2 for v in known) / (len(known) - 1)) ** 0.5)
+
+
+def test_pairs_of_a_bounded_number_of_blocks(spark):
+    rng = random.Random(4)
+    rows = [(f"T{t:02}", date(2001, 1, 1) + timedelta(days=k), rng.gauss(0, 1)) for t in range(40) for k in range(12)]
+    grid = spark.createDataFrame(rows, "ticker string, date date, ret double")
+    pairs = factors.one_factor_covariance(grid, block=1)
+    # before, 40 blocks: every ticker's parts moved 40 times
+    assert {int(n) for n in re.findall(r"pmod\(xxhash64\(ticker#\d+, 42\), (\d+)\)", pairs._jdf.queryExecution().optimizedPlan().toString())} == {factors.MOST_BLOCKS}
+    parts = {r.ticker: r for r in factors.one_factor_parts(grid).collect()}
+    found = {(r.ticker_i, r.ticker_j): r.cov for r in pairs.collect()}
+    assert len(found) == 40 * 41 // 2
+    for (i, j), cov in found.items():
+        assert cov == pytest.approx(parts[i].beta * parts[j].beta * parts[i].mvar + (parts[i].resid_var if i == j else 0.0))
