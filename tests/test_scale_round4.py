@@ -19,7 +19,7 @@ def test_small_fits_are_read_in_few_partitions(spark, monkeypatch):
     rows = [(f"T{k:03}", date(2001, 1 + k % 12, 15), rng.random(), k % 3 // 2) for k in range(600)]
     train = spark.createDataFrame(rows, "ticker string, date date, a double, target_binary int").repartition(16)
     monkeypatch.setattr(learn, "reliable", lambda df: df.repartition(16))
-    assert learn.training_rows(train, ["a"]).rdd.getNumPartitions() == 1
+    assert learn.training_rows(train, ["a"]).rdd.getNumPartitions() == learn.LEAST_PARTS
     monkeypatch.setattr(learn, "ROWS_A_PART", 100)
     ready = learn.training_rows(train, ["a"])
     assert ready.rdd.getNumPartitions() == 6
